@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition
+from . import bpe, repetition
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in (op1_bpe, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
