@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, repetition, suffix_dedup
+from . import bpe, ngram_join, passages, repetition, suffix_dedup
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op5_quality_rules, op7_ngram_join)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op5_quality_rules, op6_substring_dedup, op7_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
