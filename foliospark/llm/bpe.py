@@ -16,6 +16,7 @@ outside the vocabulary give null, bytes that aren't UTF-8 become U+FFFD.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.iinfo(np.int64).max
 #: Words that one Python worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -266,15 +267,15 @@ def vocabulary(path: str = VOCABULARY, pattern: str = PATTERN) -> Vocabulary:
     return Vocabulary(read_ranks(path), pattern)
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
-    if id(shared.value) not in _encoders:
+def _encoder(name: str, shared) -> Encoder:
+    """The encoder of this Python worker, kept from task to task; another vocabulary takes its place."""
+    if name not in _encoders:
         _encoders.clear()
-        _encoders[id(shared.value)] = Encoder(shared.value)
-    return _encoders[id(shared.value)]
+        _encoders[name] = Encoder(shared.value)
+    return _encoders[name]
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text_col: str = "text", *, keep_text: bool = True) -> DataFrame:
@@ -286,13 +287,14 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
     made = {"tokens": ArrayType(IntegerType()), "n_tokens": IntegerType(), "round_trip": BooleanType()}
     kept = [x for x in docs.schema if x.name not in made and (keep_text or x.name != text_col)]
     schema = StructType(list(kept))
-    for name, kind in made.items():
-        schema = schema.add(name, kind)
+    for column, kind in made.items():
+        schema = schema.add(column, kind)
     names = [x.name for x in kept]
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
+    v = vocabulary(path, pattern)
+    name, shared = hashlib.sha256(repr((pattern, v.tokens)).encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(name, shared)
         for batch in batches:
             for part in pieces(batch, text_col):
                 column = part.column(text_col)
