@@ -38,18 +38,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from ._spark import cut, id_text
-from ._text import U64, Words, mix, ngrams, pieces, signed
+from ._spark import id_text
+from ._text import U64, Words, buffers, mix, ngrams, pieces, signed
 
-Q, TOKENS, FUNCTIONS, ENOUGH, THRESHOLD = 5, 44, 4, 2, 0.7
+Q, TOKENS, FUNCTIONS, ENOUGH, THRESHOLD = 5, 46, 4, 2, 0.7
 _SEEDS = mix(np.arange(1, 65, dtype=U64) * U64(0x632BE59BD9B4E019))
 RESULT = "doc_a bigint, a_start int, a_stop int, doc_b bigint, b_start int, b_stop int, jaccard double"
 
 
 def compact_windows(values: np.ndarray, row: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all compact windows of at least t tokens; ties go to the leftmost token.
+    """(l, c, r) of all compact windows of at least t tokens; equal least tokens share one window, c is the leftmost.
 
-    All intervals of one depth of the Cartesian trees are split at once.
+    All intervals of one depth of the Cartesian trees are split at once, at all
+    their least tokens; so a text of few distinct tokens has shallow trees.
     """
     at = np.arange(len(values))
     fresh = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, dtype=bool)
@@ -70,9 +71,10 @@ def compact_windows(values: np.ndarray, row: np.ndarray, t: int) -> tuple[np.nda
         left.append(at[start])
         middle.append(at[c])
         right.append(at[start + size - 1])
-        fresh[np.minimum(c + 1, len(at) - 1)] |= c + 1 < len(at)
         keep = np.ones(len(at), dtype=bool)
-        keep[c] = False
+        keep[hit] = False
+        after = hit + 1
+        fresh[after[after < len(at)]] = True
         at, fresh = at[keep], fresh[keep]
     empty = [np.zeros(0, dtype=np.int64)]
     return np.concatenate(left or empty), np.concatenate(middle or empty), np.concatenate(right or empty)
@@ -87,7 +89,7 @@ def _tokens(column: pa.Array, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
-    """key, doc_id, place (c and a MinHash of its neighbourhood), reach (l and r)."""
+    """key (its lowest bits are the function), doc_id, near (a MinHash of c's neighbourhood), reach (l and r)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,15 +109,35 @@ def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
                         np.minimum(near, other[np.maximum(c - shift, left)], out=near)
                         np.minimum(near, other[np.minimum(c + shift, right)], out=near)
                     base = first[row[c]]
-                    key = mix(values[c] + U64(f))
-                    place = ((c - base).astype(U64) << U64(32)) | near
+                    key = (values[c] & ~U64(63)) | U64(f)
                     reach = ((left - base).astype(U64) << U64(32)) | (right - base).astype(U64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(key)), ids.take(pa.array(row[c])), pa.array(signed(place)), pa.array(signed(reach)), pa.array(np.full(len(c), f, dtype=np.int8))],
-                        ["key", "doc_id", "place", "reach", "f"],
+                        [pa.array(signed(key)), ids.take(pa.array(row[c])), pa.array(near.astype(np.uint32).view(np.int32)), pa.array(signed(reach))], ["key", "doc_id", "near", "reach"]
                     )
 
-    return texts.mapInArrow(run, "key bigint, doc_id bigint, place bigint, reach bigint, f tinyint")
+    return texts.mapInArrow(run, "key bigint, doc_id bigint, near int, reach bigint")
+
+
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> str:
+    return pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), codec="zstd", asbytes=True).decode("utf-8", "replace")
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """(doc_id, packed): compressed texts, for exchanges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                data, offsets = buffers(part.column("text"))
+                raw = data.tobytes()
+                packed = [_pack(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    return texts.mapInArrow(run, "doc_id bigint, packed binary")
 
 
 def _regions(links: list[dict], enough: int) -> list[tuple[int, int, int, int]]:
@@ -170,47 +192,48 @@ def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int =
     by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "near")
     me = F.struct("doc_id", "reach")
     linked = (
-        windows.withColumn("near", F.col("place").bitwiseAND(0xFFFFFFFF))
-        .withColumns({"one": F.min(me).over(by_key), "two": F.min(me).over(by_both)})
+        windows.withColumns({"one": F.min(me).over(by_key), "two": F.min(me).over(by_both)})
         .where("doc_id != one.doc_id")
-        .select("doc_id", "reach", "f", F.explode(F.expr("array_distinct(array(one, two))")).alias("to"))
+        .select("doc_id", "reach", F.col("key").bitwiseAND(63).cast("tinyint").alias("f"), F.explode(F.expr("array_distinct(array(one, two))")).alias("to"))
         .where("doc_id != to.doc_id")
     )
     pairs = linked.groupBy(F.col("to.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b")).agg(F.collect_set(F.struct("f", F.col("reach").alias("b"), F.col("to.reach").alias("a"))).alias("links"))
-    pairs = cut(pairs.where(f"size(array_distinct(links.f)) >= {enough}"))
-    # texts are exchanged once by doc_id, for both joins
-    single = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    pairs = pairs.where(f"size(array_distinct(links.f)) >= {enough}")
+    # texts are exchanged once by doc_id, packed, for both joins
+    single = _packed(texts).groupBy("doc_id").agg(F.min("packed").alias("packed"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
-                tokens, _, first = _tokens(part.column("text"), q)
-                rows = []
-                for i, (a, b, links) in enumerate(zip(*(part.column(x).to_pylist() for x in ("doc_a", "doc_b", "links")), strict=True)):
-                    for bl, br, al, ar in _regions(links, enough):
-                        rows.append((a, b, bl, al, ar, tokens[first[i] + bl : first[i] + br + 1].tobytes()))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_a", "doc_b", "bl", "al", "ar", "tokens"])
-
-    found = pairs.join(single, pairs.doc_b == single.doc_id).select("doc_a", "doc_b", "links", "text").mapInArrow(regions, "doc_a bigint, doc_b bigint, bl int, al int, ar int, tokens binary")
+            rows = []
+            for a, b, links, packed in zip(*(batch.column(x).to_pylist() for x in ("doc_a", "doc_b", "links", "packed")), strict=True):
+                if not (regions_ := _regions(links, enough)):
+                    continue
+                words = Words(pa.array([_unpack(packed)]))
+                for bl, br, al, ar in regions_:
+                    rows.append((a, b, bl, al, ar, _pack(words.data[words.start[bl] : words.end[br + q - 1]].tobytes())))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_a", "doc_b", "bl", "al", "ar", "part"])
+
+    found = pairs.join(single, pairs.doc_b == single.doc_id).select("doc_a", "doc_b", "links", "packed").mapInArrow(regions, "doc_a bigint, doc_b bigint, bl int, al int, ar int, part binary")
     sides = found.join(single.withColumnRenamed("doc_id", "doc_a"), "doc_a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, np.zeros(0, U64)
         for batch in batches:
             rows = []
-            column = batch.column("text")
-            for i, (a, b, bl, al, ar, raw) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc_a", "doc_b", "bl", "al", "ar", "tokens")), strict=True)):
+            column = batch.column("packed")
+            for i, (a, b, bl, al, ar, part) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc_a", "doc_b", "bl", "al", "ar", "part")), strict=True)):
                 if a != at:
-                    at, mine = a, _tokens(column.slice(i, 1), q)[0]
-                for s, e, bs, be, jaccard in verify(mine[al : ar + 1], np.frombuffer(raw, dtype=U64), t, threshold, q):
+                    at, mine = a, _tokens(pa.array([_unpack(column[i].as_py())]), q)[0]
+                theirs = _tokens(pa.array([_unpack(part)]), q)[0]
+                for s, e, bs, be, jaccard in verify(mine[al : ar + 1], theirs, t, threshold, q):
                     rows.append((a, al + s, al + e + q - 1, b, bl + bs, bl + be + q - 1, jaccard))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return sides.select("doc_a", "doc_b", "bl", "al", "ar", "tokens", "text").mapInArrow(check, RESULT).distinct()
+    return sides.select("doc_a", "doc_b", "bl", "al", "ar", "part", "packed").mapInArrow(check, RESULT).distinct()
 
 
 def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
