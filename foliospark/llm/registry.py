@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, passages, repetition, suffix_dedup, topk
+from . import bpe, mixture, ngram_join, passages, repetition, sharding, suffix_dedup, topk
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +37,28 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Sources by domain, and integer weights of nodes of the domain-language-source tree; other nodes have weight 1.
+DOMAINS = {"reference": ("src5", "src6", "src7", "src8", "src9"), "news": ("src10", "src11", "src12", "src13", "src14"), "community": ("src15", "src16", "src17", "src18", "src19")}
+WEIGHTS = {("web",): 4, ("reference",): 3, ("news",): 2, ("community",): 1} | {(d, "en"): 5 for d in (*DOMAINS, "web")} | {(d, "de"): 2 for d in (*DOMAINS, "web")}
+
+
+def domain() -> F.Column:
+    column = F.lit("web")
+    for name, sources in DOMAINS.items():
+        column = F.when(F.col("source").isin(*sources), name).otherwise(column)
+    return column
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS, numerator=7, denominator=10, max_epochs=2, seed=8).select("doc_id", "lang", "source", "epoch")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=64, seed=10)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_topk_search, op5_quality_rules, op6_substring_dedup, op7_ngram_join)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_topk_search, op5_quality_rules, op6_substring_dedup, op7_ngram_join, op8_mixture, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
