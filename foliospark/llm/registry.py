@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixture, ngram_join, passages, repetition, sharding, suffix_dedup, topk
+from . import bpe, chat, mixture, ngram_join, passages, repetition, sharding, suffix_dedup, topk, warc
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,13 +57,23 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS, numerator=7, denominator=10, max_epochs=2, seed=8).select("doc_id", "lang", "source", "epoch")
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=64, seed=10)
 
 
+OPERATORS = (
+    op1_bpe, op2_suffix_dedup, op3_chat_format, op4_topk_search, op5_quality_rules,
+    op6_substring_dedup, op7_ngram_join, op8_mixture, op9_warc_derivatives, op10_sharding,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_topk_search, op5_quality_rules, op6_substring_dedup, op7_ngram_join, op8_mixture, op10_sharding)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk_search": topk.SQL}
+    return {"op3_chat_format": chat.SQL, "op4_topk_search": topk.SQL, "op9_warc_derivatives": warc.SQL}
