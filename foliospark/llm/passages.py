@@ -144,14 +144,18 @@ def _regions(links: list[dict], enough: int) -> list[tuple[int, int, int, int]]:
     """(b's first and last token, a's) where windows of enough functions overlap in both documents."""
     links = sorted((x["b"] >> 32, x["b"] & 0xFFFFFFFF, x["a"] >> 32, x["a"] & 0xFFFFFFFF, x["f"]) for x in links)
     regions: list[list] = []
+    open_regions: list[list] = []
     for bl, br, al, ar, f in links:
-        for region in reversed(regions[-8:]):
-            if bl <= region[1] and al <= region[3] and ar >= region[2]:
+        # links come by their begin in b: a region that ends before it meets no further one
+        open_regions = [region for region in open_regions if region[1] >= bl]
+        for region in reversed(open_regions):
+            if al <= region[3] and ar >= region[2]:
                 region[1], region[2], region[3] = max(region[1], br), min(region[2], al), max(region[3], ar)
                 region[4].add(f)
                 break
         else:
-            regions.append([bl, br, al, ar, {f}])
+            open_regions.append([bl, br, al, ar, {f}])
+            regions.append(open_regions[-1])
     return [tuple(r[:4]) for r in regions if len(r[4]) >= enough]
 
 
