@@ -48,7 +48,7 @@ def strip_code_fence(text: Column) -> Column:
     text = strip(text)
     lines = F.split(F.regexp_replace(text, LINE_BREAK, "\n"), "\n")
     rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    rest = F.when(F.element_at(rest, -1).startswith("```"), F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+    rest = F.when(F.try_element_at(rest, F.lit(-1)).startswith("```"), F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
     body = F.when(F.size(lines) >= 2, strip(F.array_join(rest, "\n"))).otherwise(text)
     return F.when(text.startswith("```"), body).otherwise(text)
 

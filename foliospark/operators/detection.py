@@ -29,7 +29,7 @@ def _page_box(page_index: Column, raw: Column) -> Column:
     good = page_index.isNotNull()
     for v in values.values():
         good = good & v.isNotNull()
-    return F.when(good, F.struct(page_index.cast("int").alias("page_index"), *[G.clamp(values[e]).alias(e) for e in EDGES]))
+    return F.when(good, F.struct(page_index.try_cast("int").alias("page_index"), *[G.clamp(values[e]).alias(e) for e in EDGES]))
 
 
 def parse_page_boxes(answer: Column) -> Column:
@@ -93,9 +93,9 @@ def parse_edge_decision(answer: Column) -> Column:
             .when(~F.coalesce(action.isin(*ACTIONS), F.lit(False)), "unknown action")
             .when(amount.isNull(), "amount isn't a number")
         )
-        clean = F.when(action == "no_change", 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(1000), F.rint(amount).cast("int"))))
+        clean = F.when(action == "no_change", 0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.rint(amount))).cast("int"))
         good = lambda c: F.when(error.isNull(), c)
-        return F.struct(_number(parsed["page_index"]).cast("int").alias("page_index"), good(edge).alias("edge"), good(action).alias("action"), good(clean).alias("amount"), error.alias("error"))
+        return F.struct(_number(parsed["page_index"]).try_cast("int").alias("page_index"), good(edge).alias("edge"), good(action).alias("action"), good(clean).alias("amount"), error.alias("error"))
 
     return let(strip_code_fence(answer), of)
 
@@ -188,7 +188,7 @@ def review(boxes: Column, rounds: Column) -> Column:
     values = lambda pages: F.transform(pages, lambda p: F.transform(p["edges"], lambda e: e["value"]))
 
     def step(state: Column, proposals: Column) -> Column:
-        new = F.transform(state["pages"], lambda p: _next_page(p, F.element_at(F.filter(proposals, lambda q: q["page_index"] == p["page_index"]), -1)))
+        new = F.transform(state["pages"], lambda p: _next_page(p, F.try_element_at(F.filter(proposals, lambda q: q["page_index"] == p["page_index"]), F.lit(-1))))
         frozen = F.forall(state["pages"], lambda p: F.forall(p["edges"], lambda e: e["frozen"]))
 
         def after(new: Column) -> Column:

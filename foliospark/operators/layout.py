@@ -144,7 +144,7 @@ def merge_equations(blocks: Column) -> Column:
         kept = F.filter(blocks, lambda b: ~F.array_contains(gone, b["idx"]) & ((b["type"] != "equation_block") | F.exists(groups, lambda g: g["idx"] == b["idx"])))
 
         def one(b: Column) -> Column:
-            parts = F.element_at(F.filter(groups, lambda g: g["idx"] == b["idx"]), 1)["parts"]
+            parts = F.try_element_at(F.filter(groups, lambda g: g["idx"] == b["idx"]), F.lit(1))["parts"]
             new = F.struct(b["idx"].alias("idx"), F.lit("equation").alias("type"), b["bbox"].alias("bbox"), b["angle"].alias("angle"), joined(parts).alias("content"), F.lit(False).alias("merge_prev"))
             return F.when(b["type"] == "equation_block", new).otherwise(b)
 
