@@ -35,10 +35,38 @@ def edit_distance(a: str, b: str) -> int:
     a, b = a[start : len(a) - end], b[start : most - end]
     if not b:
         return len(a)
-    where: dict[str, int] = {}
-    for i, c in enumerate(b):
-        where[c] = where.get(c, 0) | 1 << i
     m = len(b)
+    if m < _BAND_FROM:
+        return _whole(a, b)
+    # the error rate at the beginning says how wide a band is tried first
+    bound = max(64, len(a) - m, _whole(a[:_PROBE], b[:_PROBE]) * m * 5 // (4 * _PROBE) + 32)
+    while 2 * bound + 2 < m // 2:
+        if (found := _banded(a, b, bound)) <= bound:
+            return found
+        bound *= 2
+    return _whole(a, b)
+
+
+_BAND_FROM, _PROBE = 1024, 512
+
+
+def _places(b: str) -> dict[str, int]:
+    """A bit for each place of each character."""
+    found: dict[str, list[int]] = {}
+    for i, c in enumerate(b):
+        found.setdefault(c, []).append(i)
+    size = len(b) // 8 + 1
+    bits = {}
+    for c, at in found.items():
+        raw = bytearray(size)
+        for i in at:
+            raw[i >> 3] |= 1 << (i & 7)
+        bits[c] = int.from_bytes(raw, "little")
+    return bits
+
+
+def _whole(a: str, b: str) -> int:
+    where, m = _places(b), len(b)
     full, last = (1 << m) - 1, 1 << (m - 1)
     up, down, distance = full, 0, m
     for c in a:
@@ -57,6 +85,34 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def _banded(a: str, b: str, bound: int) -> int:
+    """The distance if it is at most bound (else something larger): only the cells near the diagonal (Hyyro 2003).
+
+    The band moves down by one row with each character of a; its top bit is
+    followed until it comes to the last row, then the last row is.
+    """
+    where, m = _places(b), len(b)
+    width = 2 * bound + 2
+    full, top = (1 << width) - 1, width - 1
+    up, down, distance, start = ((1 << (bound + 1)) - 1) << (width - bound - 1), 0, bound, bound + 1 - width
+    for i, c in enumerate(a):
+        eq = where.get(c, 0)
+        eq = (eq >> start if start >= 0 else eq << -start) & full
+        start += 1
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & full
+        plus = down | (full & ~(diagonal | up))
+        minus = diagonal & up
+        if i < m - bound:
+            distance += not diagonal >> top & 1
+        else:
+            row = top - 1 - (i - (m - bound))
+            distance += (plus >> row & 1) - (minus >> row & 1)
+        shifted = diagonal >> 1
+        up = minus | (full & ~(shifted | plus))
+        down = shifted & plus
+    return distance
+
+
 def tail_repeats(text: str) -> bool:
     """Whether a suffix of at least a fifth of the text, but not all of it, is two or more copies of one block."""
     n = len(text)

@@ -100,23 +100,25 @@ def split_front_matter(text: Column) -> tuple[Column, Column]:
     Values are trimmed; ``null`` is null, true and false are in lower case; a
     later key replaces an equal one.  Without front matter the map is empty.
     """
-    text = strip(text)
-    rest = F.substring(text, 5, 2**31 - 1)
-    has = text.startswith("---\n") & (F.locate("\n---", text, 5) > 0)
-    end = F.locate("\n---", text, 5)
-    block = F.substring(rest, F.lit(1), F.greatest(end - 5, F.lit(0)))
-    body = strip(F.substring(text, end + 4, F.lit(2**31 - 1)))
-    lines = F.filter(F.split(F.regexp_replace(block, LINE_BREAK, "\n"), "\n"), lambda x: x.contains(":"))
-
-    def pair(line: Column) -> Column:
+    def value_of(line: Column) -> Column:
         value = strip(F.substring(line, F.locate(":", line) + 1, F.lit(2**31 - 1)))
-        value = F.when(value.rlike(r"\A-?[0-9]+\z"), F.regexp_replace(value, r"\A(-?)0+([0-9])", "$1$2")).otherwise(value)
-        low = F.lower(value)
-        return F.struct(strip(F.substring_index(line, ":", 1)).alias("key"), F.when(low == "null", None).when(low.isin("true", "false"), low).otherwise(value).alias("value"))
+        return let(value, lambda v: F.when(F.lower(v) == "null", None).when(F.lower(v).isin("true", "false"), F.lower(v)).when(v.rlike(r"\A-?[0-9]+\z"), F.regexp_replace(v, r"\A(-?)0+([0-9])", "$1$2")).otherwise(v))
+
+    def fields(block: Column) -> Column:
+        lines = F.filter(F.split(F.regexp_replace(block, LINE_BREAK, "\n"), "\n"), lambda x: x.contains(":"))
+        pairs = F.transform(lines, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), value_of(x).alias("value")))
+        last = let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps) + 1), lambda q: q["key"] == p["key"])))
+        return F.map_from_entries(last)
+
+    def end(t: Column) -> Column:
+        return F.when(t.startswith("---\n"), F.locate("\n---", t, 5)).otherwise(0)  # from 1, or 0
+
+    def front(t: Column) -> Column:
+        return let(end(t), lambda e: F.when(e > 0, fields(F.substring(t, F.lit(5), F.greatest(e - 5, F.lit(0))))).otherwise(F.create_map().cast("map<string,string>")))
 
-    pairs = F.transform(lines, pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["key"] == p["key"]))
-    return F.when(has, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>")), F.when(has, body).otherwise(text)
+    # the body has no nested lambdas: as an argument of a Python function such an expression isn't planned
+    body = let(strip(text), lambda t: F.when(end(t) > 0, strip(F.substring(t, end(t) + 4, F.lit(2**31 - 1)))).otherwise(t))
+    return let(strip(text), front), body
 
 
 # --- markup -------------------------------------------------------------------
