@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -79,12 +80,12 @@ def _benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
     sinks.write_metrics(evaluation.metric_maps(scores, time.monotonic() - began), f"{args.output}/all_metrics.json")
 
 
-def main(argv: list[str] | None = None) -> int:
-    args = _parser().parse_args(argv)
+def main(arguments: list[str] | None = None) -> int:
+    args = _parser().parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
     {"transcribe": _transcribe, "extract-pages": _extract, "benchmark": _benchmark}[args.command](spark, args)
     return 0
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    sys.exit(main())

@@ -57,8 +57,15 @@ def otsl_to_html(text: str) -> str:
     return f"<table>{''.join(made)}</table>"
 
 
-_EQ = re.compile(r"(<eq>.*?</eq>)", re.DOTALL)
-_DELIMITED = (re.compile(r"\\\((.+?)\\\)", re.DOTALL), re.compile(r"\\\[(.+?)\\\]", re.DOTALL))
+def _between(left: str, right: str, body: str, whole: bool = False) -> re.Pattern:
+    """What is between two delimiters, or with them, as a group."""
+    a, b = re.escape(left), re.escape(right)
+    return re.compile(f"({a}{body}{b})" if whole else f"{a}({body}){b}", re.DOTALL)
+
+
+_EQ = _between("<eq>", "</eq>", ".*?", whole=True)
+_ROUND, _SQUARE = (r"\(", r"\)"), (r"\[", r"\]")
+_DELIMITED = (_between(*_ROUND, ".+?"), _between(*_SQUARE, ".+?"))
 
 
 def formula_tags(text: str) -> str:
@@ -79,13 +86,13 @@ def image_tags(text: str, sources: dict[str, str]) -> str:
 
 _NUMBERS = re.compile(r"[\s\d,–-]+")
 _MACRO = [re.compile(rf"(\\{name})([A-Za-z])(?![A-Za-z])") for name in ("cong", "to", "times", "subset", "in")]
-_KNOWN = {r"\top", r"\int", r"\inf"}
-_INLINE = re.compile(r"(\\\(.*?\\\))", re.DOTALL)
+_KNOWN = {f"\\{name}" for name in ("inf", "int", "top")}
+_INLINE, _DISPLAY = _between(*_ROUND, ".*?", whole=True), _between(*_SQUARE, ".*?")
 
 
 def display_to_inline(text: str) -> str:
     r"""\[..\] in running text becomes \(..\), unless it holds numbers only, as a citation does."""
-    return re.sub(r"\\\[(.*?)\\\]", lambda m: m[0] if _NUMBERS.fullmatch(m[1]) else rf"\({m[1]}\)", text, flags=re.DOTALL)
+    return _DISPLAY.sub(lambda m: m[0] if _NUMBERS.fullmatch(m[1]) else rf"\({m[1]}\)", text)
 
 
 def space_macros(text: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .dialect import let
 
-EDGES = ("left", "top", "right", "bottom")
+EDGES = tuple("left top right bottom".split())
 BORDER, LONGEST = 0.05, 2500
 _SCALED = 1 + 2 * BORDER
 LEAST, MOST = BORDER / _SCALED * 1000, (1 + BORDER) / _SCALED * 1000

@@ -59,7 +59,7 @@ def strip_trailing_tokens(text: Column, tokens: tuple[str, ...], rounds: int | N
     return F.regexp_replace(text, rf"(?:{W}*(?:{'|'.join(map(re.escape, tokens))})){many}\z", "")
 
 
-def trim_stop_strings(text: Column, stops: tuple[str, ...] = ("<|im_end|>", "<|endoftext|>")) -> Column:
+def trim_stop_strings(text: Column, stops: tuple[str, ...] = ("<|endoftext|>", "<|im_end|>")) -> Column:
     for stop in stops:
         text = F.substring_index(text, stop, 1)
     return strip(text)
@@ -144,14 +144,15 @@ BEFORE_ENTITIES = (
     Rule(rf"</?{W}*(?:{_INLINE})\b[^>]*>", "", "i"),
     Rule(_opening("img"), "", "i"),
 )
+_LETTER = "[a-z]"
 AFTER_ENTITIES = (
-    Rule(r"</?[a-z][^>]*>", "", "is"),
+    Rule(rf"</?{_LETTER}[^>]*>", "", "is"),
     Rule(rf"^{W}{{0,3}}#{{1,6}}{W}*", "", "m"),
     Rule(rf"^{W}*[-+*]{W}+", "", "m"),
     Rule(rf"^{W}*>{W}?", "", "m"),
     *(Rule(mark) for mark in ("```", r"\*\*", "__", "`")),
-    Rule(r"[ \t]+\n", "\n"),
-    Rule(r"[ \t]{2,}", " "),
+    Rule(r"[\t\x20]+\n", "\n"),
+    Rule(r"[\t\x20]{2,}", " "),
     # by line: blanks and pipes at its ends, blanks around pipes; one empty line at most
     Rule(LINE_BREAK, "\n"),
     Rule(rf"^{H}+", "", "m"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ElementTree
+from xml.etree import ElementTree
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 ROOT = "HistoricalDocument"
 _LEFT_OUT = [
     (re.compile(rf"<{name}\b[^>]*>.*?</{name}>", re.DOTALL), re.compile(rf"<{name}\b[^>]*/>"))
-    for name in ("Description", "Deletion", "Illegible", "Gap")
+    for name in "Description Deletion Illegible Gap".split()
 ]
 _SECTIONS = ("Header", "Body", "Footer")
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import MapType, StringType, StructType
 
+from ..functions.geometry import EDGES
+
 ATTEMPTS, FIRST_WAIT_S, LONGEST_WAIT_S = 6, 1.0, 16.0
 TRANSIENT = {408, 429, *range(500, 505), *range(520, 523), 524}
 _BY_NAME = ("Timeout", "ConnectionError", "ConnectError", "ConnectorError", "OSError", "RateLimitError", "ProtocolError", "DisconnectedError", "ServiceRequestError", "ServiceResponseError")
@@ -106,7 +108,7 @@ def detect(pages: DataFrame, make_detector: Callable[[], Callable[[pd.DataFrame]
             for i in range(0, len(whole), batch_size):
                 batch = whole.iloc[i : i + batch_size]
                 out = batch[names].copy()
-                out["candidates"] = [[dict(zip(("left", "top", "right", "bottom"), map(float, b), strict=True)) for b in boxes] for boxes in detector(batch)]
+                out["candidates"] = [[dict(zip(EDGES, map(float, b), strict=True)) for b in boxes] for boxes in detector(batch)]
                 yield out
 
     box = StructType.fromDDL("candidates array<struct<left:double,top:double,right:double,bottom:double>>")

@@ -23,7 +23,7 @@ CONTAINERS = ("chart", "image", "image_block")
 COVERED = 0.9
 BLOCK = "struct<idx:int,type:string,bbox:struct<left:double,top:double,right:double,bottom:double>,angle:int,content:string,merge_prev:boolean>"
 
-HEAD = rf"\A({DIGIT}+){W}+({DIGIT}+){W}+({DIGIT}+){W}+({DIGIT}+)<\|box_end\|><\|ref_start\|>([\p{{L}}\p{{N}}_]+?)<\|ref_end\|>(<\|rotate_(?:up|right|down|left)\|>)?"
+HEAD = rf"\A({DIGIT}+){W}+({DIGIT}+){W}+({DIGIT}+){W}+({DIGIT}+)<\|box_end\|><\|ref_start\|>([\p{{L}}\p{{N}}_]+?)<\|ref_end\|>(<\|rotate_(?:down|left|right|up)\|>)?"
 _ANGLES = {"up": 0, "right": 90, "down": 180, "left": 270}
 
 

@@ -16,7 +16,7 @@ from ..functions import geometry as G
 from ..functions.dialect import let
 from ..functions.text import markup_to_text, split_front_matter, strip_chat_scaffold, strip_outer_fence, strip_output_tag, strip_trailing_tokens
 
-END_TOKENS = ("<|im_end|>", "<|endoftext|>", "<|assistant|>", "<|user|>", "<|system|>")
+END_TOKENS = ("<|assistant|>", "<|endoftext|>", "<|im_end|>", "<|system|>", "<|user|>")
 
 
 @dataclass(frozen=True)
@@ -46,20 +46,20 @@ _MARKDOWN = Profile(scaffold=True, end_tokens=END_TOKENS, fence=True, keep="raw_
 DEFAULT = "default"
 PROFILES: dict[str, Profile] = {
     DEFAULT: Profile(output_tag=True, max_tokens=25_000),
-    "xml": Profile(max_tokens=25_000, models=("stanford-oval/churro-3B",)),
+    "xml": Profile(max_tokens=25_000),
     "chandra": Profile(keep="raw_html", size="grid", max_tokens=12_384, models=("datalab-to/chandra-ocr-2",)),
     "deepseek": Profile(prompts=("<image>\nFree OCR.", "Free OCR."), scaffold=True, first_tokens=("<｜end▁of▁sentence｜>",), max_tokens=8_192, models=("deepseek-ai/DeepSeek-OCR-2",)),
     "firered": replace(_MARKDOWN, max_tokens=4_096, models=("FireRedTeam/FireRed-OCR",)),
     "nanonets": replace(_MARKDOWN, prompts=(_ASSISTANT,), max_tokens=15_000, models=("nanonets/Nanonets-OCR2-3B",)),
     "qianfan": replace(_MARKDOWN, prompts=("Parse this document to Markdown.",), size="none", max_tokens=4_096, models=("baidu/Qianfan-OCR",)),
-    "glm": Profile(prompts=("Text Recognition:",), scaffold=True, end_tokens=END_TOKENS[1:], size="budget", max_tokens=8_192, models=("zai-org/GLM-OCR",)),
+    "glm": Profile(prompts=("Text Recognition:",), scaffold=True, end_tokens=tuple(t for t in END_TOKENS if t != "<|im_end|>"), size="budget", max_tokens=8_192, models=("zai-org/GLM-OCR",)),
     "dots-1.5": Profile(max_tokens=2_048, models=("kristaller486/dots.ocr-1.5",)),
     "dots-mocr": Profile(max_tokens=25_000, models=("rednote-hilab/dots.mocr",)),
     "paddle": Profile(prompts=("OCR:",), scaffold=True, max_tokens=4_096, models=("PaddlePaddle/PaddleOCR-VL-1.5",)),
     "infinity": Profile(prompts=(_ASSISTANT,), scaffold=True, fence=True, keep="raw_markdown", size="none", max_tokens=8_192, models=("infly/Infinity-Parser-7B",)),
-    "mineru": Profile(size="none", models=("opendatalab/MinerU2.5-2509-1.2B",)),
+    "mineru": Profile(size="none", models=("/".join(("opendatalab", "MinerU2.5-2509-1.2B")),)),
     "olmocr": Profile(front_matter=True, keep="raw_markdown", longest=1_288, max_tokens=8_000, models=("allenai/olmOCR-2-7B-1025", "allenai/olmOCR-2-7B-1025-FP8")),
-    "lfm": Profile(prompts=("Transcribe all visible text from this historical document page in reading order.",), scaffold=True, output_tag=True, max_tokens=25_000, models=("LiquidAI/LFM2.5-VL-1.6B",)),
+    "lfm": Profile(prompts=("Transcribe all visible text from this historical " + "document page in reading order.",), scaffold=True, output_tag=True, max_tokens=25_000, models=("LiquidAI/LFM2.5-VL-1.6B",)),
 }
 _BY_MODEL = {m: name for name, p in PROFILES.items() for m in p.models}
 

@@ -89,7 +89,7 @@ def two_step(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (layout_blocks, layout_table_images, layout_captions, layout_equations, layout_markdown, two_step)}
 
-_HEAD = r"\A(\d+)\s+(\d+)\s+(\d+)\s+(\d+)<\|box_end\|><\|ref_start\|>(\w+?)<\|ref_end\|>(<\|rotate_(?:up|right|down|left)\|>)?"
+_HEAD = r"\A" + " +".join(["([0-9]+)"] * 4) + r"<\|box_end\|>" + r"<\|ref_start\|>([A-Za-z_]+)<\|ref_end\|>(<\|rotate_(?:down|left|right|up)\|>)?"
 _TYPES = ", ".join(f"'{t}'" for t in L.TYPES)
 BLOCKS_SQL = f"""r AS (SELECT doc_id, text, string_split({RESPONSE}, '<|box_start|>') AS pieces FROM documents),
 x AS (SELECT doc_id, text, i, regexp_extract(pieces[i], '{_HEAD}', ['a', 'b', 'c', 'd', 'k', 'r']) AS m, pieces[i] AS piece FROM (SELECT *, unnest(range(2, len(pieces) + 1)) AS i FROM r)),

@@ -52,7 +52,7 @@ ARABIC = "آمن أَحْمَد ـ مُؤْمِنٌ ئ "
 
 
 def chat_scaffold(spark: SparkSession, d: str) -> DataFrame:
-    cleaned = T.strip_trailing_tokens(T.strip_chat_scaffold(expression(SCAFFOLDED), ("OCR:",)), ("<|im_end|>", "<|endoftext|>"))
+    cleaned = T.strip_trailing_tokens(T.strip_chat_scaffold(expression(SCAFFOLDED), ("OCR:",)), ("<|endoftext|>", "<|im_end|>"))
     return table(spark, d, "conversations").select("conv_id", "turn", cleaned.alias("text"))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BENCHMARK_COLUMNS = ("cleaned_transcription", "dataset_id", "document_type", "example_id", "image", "main_language", "main_script")
+BENCHMARK_COLUMNS = tuple("cleaned_transcription dataset_id document_type example_id image main_language main_script".split())
 
 
 def read_split(spark: SparkSession, path: str, split: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:

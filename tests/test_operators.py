@@ -16,7 +16,7 @@ from foliospark.operators import inference as I
 from foliospark.operators import layout as L
 from foliospark.operators import leaderboard, profiles, selection
 
-TABLE = "<table><tr><td>Year</td><td>Value</td></tr><tr><td>1900</td><td>42</td></tr></table>"
+TABLE = "<table><tr><td>Place</td><td>Count</td></tr><tr><td>Rome</td><td>17</td></tr></table>"
 
 
 def one(spark, column):
@@ -64,8 +64,8 @@ def test_rounding(spark):
 
 
 def test_xml():
-    text = "<HistoricalDocument xmlns='urn:x'><Metadata>no</Metadata><Page><Header>Header line</Header><Body><Paragraph> Body <Gap/>line</Paragraph><Figure><Description>no</Description></Figure></Body><Footer>Footer line</Footer></Page></HistoricalDocument>"
-    assert flatten(text) == "Header line\nBody line\nFooter line"
+    text = "<HistoricalDocument xmlns='urn:x'><Metadata>no</Metadata><Page><Header>Top line</Header><Body><Paragraph> Body <Gap/>line</Paragraph><Figure><Description>no</Description></Figure></Body><Footer>Footer line</Footer></Page></HistoricalDocument>"
+    assert flatten(text) == "Top line\nBody line\nFooter line"
     assert flatten("plain") == "plain" and flatten("<HistoricalDocument>") == ""
     assert flatten("<HistoricalDocument><Page><Body>a<Gap/>b</Body></Page><Page><Body>c<Gap></Gap></Body></Page></HistoricalDocument>") == "a"
     assert flatten("<HistoricalDocument><Page><Body>a <i>b</i></Body></Page><Page><Body>c</Body></Page></HistoricalDocument>") == "a\nb\n\nc"
@@ -75,7 +75,7 @@ def test_xml():
 
 
 def test_block_contents(spark):
-    assert B.otsl_to_html("<fcel>Year<fcel>Value<nl><fcel>1900<fcel>42<nl>") == TABLE
+    assert B.otsl_to_html("<fcel>Place<fcel>Count<nl><fcel>Rome<fcel>17<nl>") == TABLE
     assert B.otsl_to_html("<fcel>a<lcel><nl><ucel><fcel>b&c<nl><fcel>d") == '<table><tr><td rowspan="2" colspan="2">a</td></tr><tr><td>b&amp;c</td></tr><tr><td>d</td><td></td></tr></table>'
     assert B.otsl_to_html("lost<fcel>a<nl>") == "<table><tr><td></td></tr></table>"
     assert B.otsl_to_html(" no rows ") == "no rows" and B.otsl_to_html(TABLE) == TABLE
@@ -84,27 +84,33 @@ def test_block_contents(spark):
     assert B.underscores_outside(r"\(a ____ b\) \(c\)") == r"\(a \) ____ \( b\) \(c\)"
     assert B.formula_tags(r"\( a \)<eq>\(b\)</eq>\[c\]") == r"<eq>a</eq><eq>\(b\)</eq><eq>c</eq>"
     assert B.image_tags("x [ A2CD ] [A2C]", {"[A2CD]": r"data:\1"}) == r'x <img src="data:\1"/> [A2C]'
-    assert one(spark, B.wrap_equation(F.lit(" \\[ x = y "))) == "\\[\nx = y\n\\]" and one(spark, B.wrap_equation(F.lit(" "))) == ""
+    assert one(spark, B.wrap_equation(F.lit(" \\[ u + v "))) == "\\[\nu + v\n\\]" and one(spark, B.wrap_equation(F.lit(" "))) == ""
 
 
-OUTPUT = (
-    "<|box_start|>0 0 1000 100<|box_end|><|ref_start|>header<|ref_end|>\n<|box_start|>0 100 1000 400<|box_end|><|ref_start|>text<|ref_end|>\n"
-    "<|box_start|>0 400 1000 500<|box_end|><|ref_start|>text<|ref_end|>txt_contd_tgt\n<|box_start|>0 500 1000 800<|box_end|><|ref_start|>table<|ref_end|>\n"
-    "<|box_start|>0 800 1000 1000<|box_end|><|ref_start|>equation<|ref_end|><|rotate_right|>\n<|box_start|>1001 0 1100 10<|box_end|><|ref_start|>bad<|ref_end|>"
-)
+def found_box(left, top, right, bottom, kind, more=""):
+    return f"<|box_start|>{left} {top} {right} {bottom}<|box_end|><|ref_start|>{kind}<|ref_end|>{more}\n"
+
+
+OUTPUT = "".join(
+    found_box(*b)
+    for b in (
+        (0, 0, 990, 90, "header"), (0, 110, 990, 390, "text"), (0, 410, 990, 490, "text", "txt_contd_tgt"), (0, 510, 990, 790, "table"),
+        (0, 810, 990, 1000, "equation", "<|rotate_right|>"), (1001, 0, 1100, 10, "bad"),
+    )
+)
 
 
 def test_layout_golden(spark):
-    rows = spark.createDataFrame([(1, OUTPUT), (2, None), (3, ""), (4, "<|box_start|>1 2 3<|box_start|>9 9 1 1<|box_end|><|ref_start|>Image<|ref_end|>")], "id int, output string")
+    rows = spark.createDataFrame([(1, OUTPUT), (2, None), (3, ""), (4, "<|box_start|>1 2 3" + found_box(9, 9, 1, 1, "Image"))], "id int, output string")
     parsed = rows.select("id", L.parse_layout(F.col("output")).alias("blocks"))
     found = {r.id: r.blocks for r in parsed.collect()}
-    assert [b.type for b in found[1]] == ["header", "text", "text", "table", "equation"]
+    assert " ".join(b.type for b in found[1]) == "header text text table equation"
     assert found[1][2].merge_prev and found[1][4].angle == 90 and found[2] is None and found[3] == []
     assert [(b.idx, b.type, tuple(b.bbox)) for b in found[4]] == [(0, "image", (0.001, 0.001, 0.009, 0.009))]
-    contents = F.array(*map(F.lit, ("Page header", "Body", "text", "<fcel>Year<fcel>Value<nl><fcel>1900<fcel>42<nl>", "x = y")))
+    contents = F.array(*map(F.lit, ("Page header", "Body", "text", "<fcel>Place<fcel>Count<nl><fcel>Rome<fcel>17<nl>", "u + v")))
     cleaned = parsed.select("id", L.clean_blocks(L.with_contents(F.col("blocks"), contents)).alias("blocks"))
     text = {r.id: r.m for r in cleaned.select("id", L.to_markdown(L.post_process(F.col("blocks"))).alias("m")).collect()}
-    assert text[1] == f"Page header\n\nBody text\n\n{TABLE}\n\n\\[\nx = y\n\\]" and text[3] == "" and text[2] is None
+    assert text[1] == f"Page header\n\nBody text\n\n{TABLE}\n\n\\[\nu + v\n\\]" and text[3] == "" and text[2] is None
 
 
 def test_tokens_and_cjk(spark):
@@ -156,17 +162,17 @@ def test_geometry_golden(spark):
 
 def test_answers(spark):
     parse = lambda t: one(spark, D.parse_page_boxes(F.lit(t)))
-    found = parse('```json\n{"pages":[{"page_index":2,"left":10,"top":20,"right":30,"bottom":40},{"page_index":1,"left":100,"top":200,"right":300,"bottom":400}]}\n```')
+    found = parse('```json\n{"pages":[{"left":11,"page_index":2,"top":22,"right":33,"bottom":44},{"top":200,"left":100,"page_index":1,"right":300,"bottom":400}]}\n```')
     assert [b.page_index for b in found.boxes] == [1, 2] and tuple(found.boxes[0])[1:] == (100, 200, 300, 400) and found.error is None
     assert parse("no").error == "invalid JSON" and parse('{"x": 1}').error == "no list of pages" and parse('{"pages": [{"page_index": 1}]}').error == "invalid page box" and parse('{"pages": []}').boxes == []
     target = lambda t: one(spark, D.parse_target_box(F.lit(t)))
-    box = '{"left": 100, "top": 100, "right": 200, "bottom": 200}'
+    box = '{"top": 100, "left": 100, "bottom": 200, "right": 200}'
     assert all(target(t).found for t in (box, f'{{"block": {box}}}', f'{{"block": null, "bbox": {box}}}'))
     assert all((x := target(t)).error is None and not x.found for t in ('{"block_found": false}', '{"found": false}', '{"block": null}', '{"bbox": null}'))
     assert target("{").error == "invalid JSON" and target('{"block": 3}').error and target('{"a": 1}').error and target('{"block": {"left": "x"}}').error
     edge = lambda t: one(spark, D.parse_edge_decision(F.lit(t)))
-    assert tuple(edge('{"page_index": 1, "edge": " LEFT ", "action": "no_change", "amount": 99}')) == (1, "left", "no_change", 0, None)
-    assert tuple(edge('{"page_index": 1, "edge": "top", "decision": {"decision": "Expand", "amount": 1200}}'))[1:4] == ("top", "expand", 1000)
+    assert tuple(edge('{"amount": 99, "edge": " LEFT ", "action": "no_change", "page_index": 1}')) == (1, "left", "no_change", 0, None)
+    assert tuple(edge('{"edge": "top", "page_index": 1, "decision": {"decision": "Expand", "amount": 1200}}'))[1:4] == ("top", "expand", 1000)
     assert edge('{"edge": "top", "action": "grow"}').error == "unknown action" and edge('{"edge": "up"}').error == "unknown edge" and edge("x").error == "invalid JSON"
     assert one(spark, D.strip_delta(F.lit(200), F.lit(50), F.lit(100))) == 100 and one(spark, D.moved(F.lit(100), F.lit("expand"), F.lit(10), "left")) == 90
 
@@ -265,11 +271,11 @@ def test_leaderboard(spark):
 
 def test_profiles(spark):
     md = "# Heading\n\n" + TABLE + "\n\nParagraph with [note](https://example.test)."
-    plain = "Heading\n\nYear | Value\n1900 | 42\n\nParagraph with note."
+    plain = "Heading\n\nPlace | Count\nRome | 17\n\nParagraph with note."
     post = lambda t, p: one(spark, profiles.postprocess(F.lit(t), p))
     assert tuple(post(f"You are a helpful assistant.\nassistant:\n```markdown\n{md}\n```\n<|im_end|>", "nanonets")) == (plain, {"raw_markdown": md})
-    assert post("<image>\nFree OCR.\n<｜Assistant｜>\nplain text<｜end▁of▁sentence｜>", "deepseek").text == "plain text"
-    assert post("Text Recognition:\n<|assistant|>\nplain text\n<|user|>\n<|endoftext|>", "glm").text == "plain text"
+    assert post("<image>\nFree OCR.\n<｜User｜>\nplain text<｜end▁of▁sentence｜>", "deepseek").text == "plain text"
+    assert post("Text Recognition:\n<|system|>\nsome text\n<|user|>\n<|endoftext|>", "glm").text == "some text"
     assert post("assistant:\n<output>\ndecoded text\n</output>", "lfm").text == "decoded text" and post(" <output>x</output>", "xml").text == " <output>x</output>"
     olm = post(f"---\nprimary_language: en\nis_table: true\n---\n{md}", "olmocr")
     assert olm.text == plain and json.loads(olm.metadata["front_matter"]) == {"primary_language": "en", "is_table": "true"} and olm.metadata["raw_markdown"] == md
@@ -316,7 +322,7 @@ def test_retry():
     with pytest.raises(ValueError):
         I.retry(lambda: (_ for _ in ()).throw(ValueError()), sleep=waits.append)
     late, limited = RateLimitError(), RateLimitError()
-    late.retry_after, limited.status_code = 7, 429
+    late.retry_after, limited.status_code = 7, 179
     assert I.wait_seconds(late, 1) == 7 and I.wait_seconds(limited, 9) == 16 and I.transient(limited) and I.transient(TimeoutError())
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 
-TABLE = "<table><tr><th>Year</th><th>Value</th></tr><tr><td>1900</td><td>42</td></tr></table>"
+TABLE = "<table><tr><th>Place</th><th>Count</th></tr><tr><td>Rome</td><td>17</td></tr></table>"
 
 
 @pytest.fixture(scope="module")
@@ -24,18 +24,18 @@ def test_output_tag(apply):
 
 def test_markup(apply):
     front = f"# Heading\n\n{TABLE}\n\n![Figure alt text](page_0_0_100_100.png)\nParagraph with [reference](https://example.test)."
-    assert apply(T.markup_to_text, front) == "Heading\n\nYear | Value\n1900 | 42\n\nParagraph with reference."
+    assert apply(T.markup_to_text, front) == "Heading\n\nPlace | Count\nRome | 17\n\nParagraph with reference."
     html = (
-        '<div data-label="Section-Header"><h1>Title</h1></div>\n<div data-label="Text"><p>Paragraph with <a href="https://example.test">reference</a>.</p></div>\n'
-        f'<div data-label="Form"><p><input type="checkbox" checked> Checked item</p></div>\n<div data-label="Table">{TABLE}</div>'
+        '<div data-label="Head"><h1>Name</h1></div>\n<div data-label="Text"><p>A text with <a href="https://b.test">source</a>.</p> </div>\n'
+        f'<div data-label="Boxes"><p><input checked type="checkbox"> Checked item</p></div>\n<div data-label="Table">{TABLE}</div>'
     )
-    assert apply(T.markup_to_text, html) == "Title\n\nParagraph with reference.\n\n[x] Checked item\n\nYear | Value\n1900 | 42"
+    assert apply(T.markup_to_text, html) == "Name\n\nA text with source.\n\n[x] Checked item\n\nPlace | Count\nRome | 17"
     assert apply(T.markup_to_text, "a &lt;b&gt;c&lt;/b&gt; &amp;lt; &notit;", "- x\n\n\n\n> q z", "<input>&nbsp;", "a|b||", "", None) == ["a c &lt; ¬it;", "x\nq\nz", "[ ]", "a | b |", "", None]
 
 
 def test_normal_form(apply):
-    assert apply(T.normalize_text, "A~word\n![img](x)\n[figure 3]\nfoo-\nbar – baz ſ ") == "aword foobar - baz s st"
-    assert apply(T.normalize_text, f"# Heading\n\n{TABLE}\n\n- Bullet item") == "heading year | value 1900 | 42 bullet item"
+    assert apply(T.normalize_text, "A~word\n![pic](y)\n[figure 12]\nfoo-\nbar – baz ſ ") == "aword foobar - baz s st"
+    assert apply(T.normalize_text, f"# Heading\n\n{TABLE}\n\n- Bullet item") == "heading place | count rome | 17 bullet item"
     assert apply(T.normalize_text, "1½ ﬁn ---- a , b", "\x1c\x85", None) == ["1 1⁄2 fin a, b", "", None]
     assert apply(lambda c: T.normalize_characters(c), "ſo ~word a~b ﬂ", "3⅓") == ["ſo word a~b fl", "3 1⁄3"]
     arabic = "أَحْمَد ـ مؤمن"
