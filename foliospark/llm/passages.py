@@ -7,19 +7,22 @@ the position c of their least value: the Cartesian tree of the values gives
 [l, c] and end in [c, r].  There are about 2n / (t + 1) of them.
 
 1. Windows of several hash functions; those with an equal least value meet in
-   one sort.  A window is linked to the first window of its value, and to the
-   first one of its value whose neighbourhood of c has an equal MinHash under
-   the next function too.  So a passage that n documents share has at most 2n
-   links a window, not n * n, and no partner is capped.
-2. Interval join: links of one pair of documents whose windows overlap in both
-   are joined; where windows of ``enough`` hash functions meet, the region is
-   a candidate.
-3. Verification on the tokens themselves: runs of shared tokens, bridged over
+   one sort.  Equal windows are exact copies: each is linked to the first one.
+2. The distinct windows of a value meet with their tokens.  Those that share
+   too few tokens with the others for any near copy are left out; the rest are
+   trimmed to where enough of their tokens are shared, so a passage in many
+   surroundings is one window again.  Equal trimmed windows are linked to their
+   first, and the firsts all with one another, if they share enough tokens.
+3. Interval join: links of one pair of documents whose windows overlap in both
+   are joined to a candidate region.
+4. Verification on the tokens themselves: runs of shared tokens, bridged over
    one edit, of at least t tokens, with their exact Jaccard similarity.
 
-The search is approximate only in 1: a passage's partner is its first near copy
-and not all of them, and near copies that agree in fewer than ``enough``
-functions are missed.
+Nothing is capped.  The result is the full join in factored form: exact copies
+with the first document that has the passage, near copies among all distinct
+versions; other pairs of two versions have the similarity of the first ones.
+The search is approximate only in 1: near copies whose least tokens differ in
+all functions are missed.
 
 Defined results: words are as in ``_text``; null, empty and short texts have no
 passage; rows with a null doc_id take no part; rows of one doc_id are one
@@ -38,10 +41,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from ._spark import id_text
+from ._spark import cut, id_text
 from ._text import U64, Words, buffers, mix, ngrams, pieces, signed
 
-Q, TOKENS, FUNCTIONS, ENOUGH, THRESHOLD = 5, 46, 4, 2, 0.7
+Q, TOKENS, FUNCTIONS, THRESHOLD = 5, 46, 4, 0.7
 _SEEDS = mix(np.arange(1, 65, dtype=U64) * U64(0x632BE59BD9B4E019))
 RESULT = "doc_a bigint, a_start int, a_stop int, doc_b bigint, b_start int, b_stop int, jaccard double"
 
@@ -89,7 +92,7 @@ def _tokens(column: pa.Array, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
-    """key (its lowest bits are the function), doc_id, near (a MinHash of c's neighbourhood), reach (l and r)."""
+    """key (its lowest bits are the function), doc_id, content (a hash of the window's tokens and of c in it), reach (l and r)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,24 +101,22 @@ def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
                 if not len(tokens):
                     continue
                 ids = part.column("doc_id")
+                sums = np.zeros(len(tokens) + 1, dtype=U64)
+                np.cumsum(mix(tokens), out=sums[1:])
                 for f in range(functions):
                     values = mix(tokens ^ _SEEDS[f])
                     left, c, right = compact_windows(values, row, t)
                     if not len(c):
                         continue
-                    other = mix(tokens ^ _SEEDS[(f + 1) % functions]) >> U64(32)
-                    near = other[c].copy()
-                    for shift in range(1, t // 4 + 1):
-                        np.minimum(near, other[np.maximum(c - shift, left)], out=near)
-                        np.minimum(near, other[np.minimum(c + shift, right)], out=near)
+                    content = mix(sums[right + 1] - sums[left] + mix(((c - left).astype(U64) << U64(32)) | (right - left).astype(U64)))
                     base = first[row[c]]
                     key = (values[c] & ~U64(63)) | U64(f)
                     reach = ((left - base).astype(U64) << U64(32)) | (right - base).astype(U64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(key)), ids.take(pa.array(row[c])), pa.array(near.astype(np.uint32).view(np.int32)), pa.array(signed(reach))], ["key", "doc_id", "near", "reach"]
+                        [pa.array(signed(key)), ids.take(pa.array(row[c])), pa.array(signed(content)), pa.array(signed(reach))], ["key", "doc_id", "content", "reach"]
                     )
 
-    return texts.mapInArrow(run, "key bigint, doc_id bigint, near int, reach bigint")
+    return texts.mapInArrow(run, "key bigint, doc_id bigint, content bigint, reach bigint")
 
 
 def _pack(raw: bytes) -> bytes:
@@ -140,23 +141,91 @@ def _packed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, packed binary")
 
 
-def _regions(links: list[dict], enough: int) -> list[tuple[int, int, int, int]]:
-    """(b's first and last token, a's) where windows of enough functions overlap in both documents."""
-    links = sorted((x["b"] >> 32, x["b"] & 0xFFFFFFFF, x["a"] >> 32, x["a"] & 0xFFFFFFFF, x["f"]) for x in links)
+def _trimmed(shared: np.ndarray, c: int, threshold: float) -> tuple[int, int]:
+    """The first and last shared token that a run around c has which is shared to the threshold."""
+    sums = np.r_[0.0, np.cumsum(shared - threshold)]
+    at = np.flatnonzero(shared)
+    left, right = at[at <= c], at[at >= c]
+    from_, to = left[sums[c + 1 :].max() - sums[left] > -1e-6], right[sums[right + 1] - sums[: c + 1].min() > -1e-6]
+    return int(from_[0]) if len(from_) else c, int(to[-1]) if len(to) else c
+
+
+def _versions(rows: list[int], windows: list[np.ndarray]) -> tuple[list[int], list[tuple[int, int]]]:
+    """(first rows of equal windows, (first, other) of equal windows)."""
+    first: dict[bytes, int] = {}
+    copies = []
+    for i, window in zip(rows, windows, strict=True):
+        one = first.setdefault(window.tobytes(), i)
+        if one != i:
+            copies.append((one, i))
+    return list(first.values()), copies
+
+
+def _window_links(key: np.ndarray, doc: np.ndarray, reach: np.ndarray, c: np.ndarray, grams: list[bytes], t: int, threshold: float) -> tuple[list, list, list, list]:
+    """(doc_a, a's reach, doc_b, b's reach) of windows, sorted by key and doc_id, that may hold a near copy."""
+    size = np.array([len(g) // 4 for g in grams])
+    begin = np.r_[0, np.cumsum(size)]
+    row = np.repeat(np.arange(len(size)), size)
+    group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    values = (group[row].astype(U64) << U64(32)) | np.frombuffer(b"".join(grams), dtype=np.uint32)
+    order = np.argsort(values, kind="stable")
+    edges = np.flatnonzero(np.r_[True, values[order][1:] != values[order][:-1], True])
+    name = np.empty(len(values), dtype=np.int64)
+    name[order] = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    # rows come by doc_id: a token is shared when its first and last row are of two documents
+    shared = (doc[row[order[edges[:-1]]]] != doc[row[order[edges[1:] - 1]]])[name]
+    least = int(threshold * t)  # fewer equal tokens make no passage of t tokens
+    alive = np.flatnonzero(np.add.reduceat(shared.astype(np.int64), begin[:-1]) >= least)
+    out: tuple[list, list, list, list] = ([], [], [], [])
+
+    def link(i: int, j: int, wi: tuple[int, int], wj: tuple[int, int]) -> None:
+        if doc[i] != doc[j]:
+            for column, (x, w) in zip((0, 2), ((i, wi), (j, wj)), strict=True):
+                base = int(reach[x]) >> 32
+                out[column].append(int(doc[x]))
+                out[column + 1].append((base + w[0]) << 32 | (base + w[1]))
+
+    for rows in np.split(alive, np.flatnonzero(np.diff(group[alive])) + 1):
+        if len(rows) < 2:
+            continue
+        trim = {i: _trimmed(shared[begin[i] : begin[i + 1]], int(c[i]), threshold) for i in rows.tolist()}
+        firsts, copies = _versions(list(trim), [name[begin[i] + s : begin[i] + e + 1] for i, (s, e) in trim.items()])
+        for i, j in copies:
+            link(i, j, trim[i], trim[j])
+        if len(firsts) < 2:
+            continue
+        parts = [name[begin[i] + trim[i][0] : begin[i] + trim[i][1] + 1] for i in firsts]
+        who = np.repeat(np.arange(len(firsts)), [len(p) for p in parts])
+        every = np.concatenate(parts)
+        by = np.argsort(every, kind="stable")
+        every, who = every[by], who[by]
+        for k, p in enumerate(parts[:-1]):
+            p = np.unique(p)
+            lo, hi = np.searchsorted(every, p), np.searchsorted(every, p, side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            common = np.bincount(who[at], minlength=len(firsts))
+            for m in (np.flatnonzero(common[k + 1 :] >= least) + k + 1).tolist():
+                link(firsts[k], firsts[m], trim[firsts[k]], trim[firsts[m]])
+    return out
+
+
+def _regions(links: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(b's first and last token, a's) of links joined where they overlap in both documents."""
+    links = sorted((x["b"] >> 32, x["b"] & 0xFFFFFFFF, x["a"] >> 32, x["a"] & 0xFFFFFFFF) for x in links)
     regions: list[list] = []
     open_regions: list[list] = []
-    for bl, br, al, ar, f in links:
+    for bl, br, al, ar in links:
         # links come by their begin in b: a region that ends before it meets no further one
         open_regions = [region for region in open_regions if region[1] >= bl]
         for region in reversed(open_regions):
             if al <= region[3] and ar >= region[2]:
                 region[1], region[2], region[3] = max(region[1], br), min(region[2], al), max(region[3], ar)
-                region[4].add(f)
                 break
         else:
-            open_regions.append([bl, br, al, ar, {f}])
+            open_regions.append([bl, br, al, ar])
             regions.append(open_regions[-1])
-    return [tuple(r[:4]) for r in regions if len(r[4]) >= enough]
+    return [tuple(r) for r in regions]
 
 
 def _runs(mask: np.ndarray, gap: int) -> list[tuple[int, int]]:
@@ -189,31 +258,63 @@ def verify(a: np.ndarray, b: np.ndarray, t: int, threshold: float, q: int) -> li
     return found
 
 
-def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int = FUNCTIONS, enough: int = ENOUGH, threshold: float = THRESHOLD) -> DataFrame:
+def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int = FUNCTIONS, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of near-duplicate passages: words [a_start, a_stop) of doc_a and [b_start, b_stop) of doc_b > doc_a."""
     texts = id_text(docs).where("doc_id is not null")
     windows = _windows(texts, q, t, functions)
-    by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "near")
-    me = F.struct("doc_id", "reach")
-    linked = (
-        windows.withColumns({"one": F.min(me).over(by_key), "two": F.min(me).over(by_both)})
-        .where("doc_id != one.doc_id")
-        .select("doc_id", "reach", F.col("key").bitwiseAND(63).cast("tinyint").alias("f"), F.explode(F.expr("array_distinct(array(one, two))")).alias("to"))
-        .where("doc_id != to.doc_id")
-    )
-    pairs = linked.groupBy(F.col("to.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b")).agg(F.collect_set(F.struct("f", F.col("reach").alias("b"), F.col("to.reach").alias("a"))).alias("links"))
-    pairs = pairs.where(f"size(array_distinct(links.f)) >= {enough}")
-    # texts are exchanged once by doc_id, packed, for both joins
+    by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "content")
+    met = windows.withColumns({"low": F.min("doc_id").over(by_key), "high": F.max("doc_id").over(by_key), "least": F.min("content").over(by_key), "most": F.max("content").over(by_key)})
+    met = cut(met.where("low < high").withColumn("one", F.min(F.struct("doc_id", "reach")).over(by_both)).selectExpr("key", "doc_id", "reach", "one", "least < most as varied"))
+    copies = met.where("doc_id != one.doc_id").selectExpr("one.doc_id as doc_a", "one.reach as a", "doc_id as doc_b", "reach as b")
+    # texts are exchanged once by doc_id, packed, for all joins
     single = _packed(texts).groupBy("doc_id").agg(F.min("packed").alias("packed"))
+    varied = met.where("varied and doc_id = one.doc_id and reach = one.reach").groupBy("doc_id").agg(F.collect_set(F.struct("key", "reach")).alias("windows"))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, found_, packed in zip(*(batch.column(x) for x in ("doc_id", "windows", "packed")), strict=True):
+                mine = _tokens(pa.array([_unpack(packed.as_py())]), q)[0]
+                key, reach = (found_.values.field(x).to_numpy() for x in ("key", "reach"))
+                left, right = reach >> 32, reach & 0xFFFFFFFF
+                inside = right < len(mine)  # rows of one doc_id may have other texts
+                key, reach, left, right = key[inside], reach[inside], left[inside], right[inside]
+                short = mine.astype(np.uint32)
+                hashed = [mix(mine ^ _SEEDS[f]) for f in range(functions)]
+                c = [int(hashed[k & 63][s : e + 1].argmin()) for k, s, e in zip(key.tolist(), left.tolist(), right.tolist(), strict=True)]
+                grams = [short[s : e + 1].tobytes() for s, e in zip(left.tolist(), right.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([doc.as_py()] * len(key), pa.int64()), pa.array(reach), pa.array(c, pa.int32()), pa.array(grams, pa.binary())], ["key", "doc_id", "reach", "c", "grams"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table) -> pa.RecordBatch:
+            columns = _window_links(*(table.column(x).to_numpy() for x in ("key", "doc_id", "reach", "c")), table.column("grams").to_pylist(), t, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_a", "a", "doc_b", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last key of a batch may go on in the next one
+            key = batch.column("key").to_numpy()
+            start = int(np.flatnonzero(key == key[-1])[0])
+            if start or (held and held[-1].column("key")[-1].as_py() != key[0]):
+                yield out(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    contents = varied.join(single, "doc_id").select("doc_id", "windows", "packed").mapInArrow(tokens, "key bigint, doc_id bigint, reach bigint, c int, grams binary")
+    near = contents.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(meet, "doc_a bigint, a bigint, doc_b bigint, b bigint")
+    pairs = copies.unionByName(near).groupBy("doc_a", "doc_b").agg(F.collect_set(F.struct("b", "a")).alias("links"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for a, b, links, packed in zip(*(batch.column(x).to_pylist() for x in ("doc_a", "doc_b", "links", "packed")), strict=True):
-                if not (regions_ := _regions(links, enough)):
-                    continue
                 words = Words(pa.array([_unpack(packed)]))
-                for bl, br, al, ar in regions_:
+                for bl, br, al, ar in _regions(links):
+                    if br + q > len(words.end):  # a row of this doc_id with another text
+                        continue
                     rows.append((a, b, bl, al, ar, _pack(words.data[words.start[bl] : words.end[br + q - 1]].tobytes())))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())

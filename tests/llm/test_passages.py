@@ -94,3 +94,35 @@ def test_cut_and_edges(spark):
     assert near_passages(docs.limit(0)).count() == 0 and drop_passages(docs.limit(0)).count() == 0
     spans = spark.createDataFrame([(3, 0, 1), (3, 60, 62)], "doc_id long, start int, stop int")
     assert {r.text for r in cut_passages(docs.where("doc_id = 3"), spans).collect()} == {passage[: passage.index("word59")]}
+
+
+def found_pairs(got):
+    """All pairs that the factored form holds: those of its rows, and those of an exact copy's first document."""
+    direct = {(r.doc_a, r.doc_b) for r in got}
+    firsts = {}
+    for r in got:
+        if r.jaccard == 1:
+            firsts.setdefault(r.doc_b, {r.doc_b}).add(r.doc_a)
+    docs = sorted({d for pair in direct for d in pair})
+    near = direct | {(d, d) for d in docs}
+    return {(x, y) for x in docs for y in docs if x < y and any((min(a, b), max(a, b)) in near for a in firsts.get(x, {x}) for b in firsts.get(y, {y}))}
+
+
+def test_pair_recall_in_groups(spark):
+    """Every member of a group is a query: all pairs of a group, not only those with its first documents."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows, want = [], {}
+    for edits, n in ((1, 5), (1, 5), (1, 5), (1, 5), (1, 20), (1, 50), (0, 20)):
+        passage, members = [rng.choice(words) for _ in range(75)], []
+        for _ in range(n):
+            copy = list(passage)
+            for _ in range(edits):
+                copy[rng.randrange(75)] = rng.choice(words)
+            members.append((len(rows), {tuple(copy[i : i + 5]) for i in range(71)}))
+            rows.append((len(rows), " ".join([*rng.choices(words, k=rng.randrange(60)), *copy, *rng.choices(words, k=rng.randrange(60))])))
+        pairs = {(a, b) for i, (a, x) in enumerate(members) for b, y in members[i + 1 :] if len(x & y) >= 0.7 * len(x | y)}
+        want.setdefault((edits, n), set()).update(pairs)
+    found = found_pairs(near_passages(spark.createDataFrame(rows, SCHEMA)).collect())
+    for kind, pairs in want.items():
+        assert len(pairs & found) >= 0.9 * len(pairs) > 0, (kind, len(pairs & found), len(pairs))
