@@ -11,8 +11,8 @@ the position c of their least value: the Cartesian tree of the values gives
 2. The distinct windows of a value meet with their tokens.  Those that share
    too few tokens with the others for any near copy are left out; the rest are
    trimmed to where enough of their tokens are shared, so a passage in many
-   surroundings is one window again.  Equal trimmed windows are linked to their
-   first, and the firsts all with one another, if they share enough tokens.
+   surroundings is one window again.  Trimmed windows of equal token sets are
+   linked to their first, and the firsts all with one another, if they share enough tokens.
 3. Interval join: links of one pair of documents whose windows overlap in both
    are joined to a candidate region.
 4. Verification on the tokens themselves: runs of shared tokens, bridged over
@@ -141,6 +141,13 @@ def _packed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, packed binary")
 
 
+def _wide(grams: bytes) -> np.ndarray:
+    """Tokens that were cut to three bytes for the exchange."""
+    wide = np.zeros((len(grams) // 3, 8), dtype=np.uint8)
+    wide[:, :3] = np.frombuffer(grams, dtype=np.uint8).reshape(-1, 3)
+    return wide.view(U64).ravel()
+
+
 def _trimmed(shared: np.ndarray, c: int, threshold: float) -> tuple[int, int]:
     """The first and last shared token that a run around c has which is shared to the threshold."""
     sums = np.r_[0.0, np.cumsum(shared - threshold)]
@@ -151,11 +158,11 @@ def _trimmed(shared: np.ndarray, c: int, threshold: float) -> tuple[int, int]:
 
 
 def _versions(rows: list[int], windows: list[np.ndarray]) -> tuple[list[int], list[tuple[int, int]]]:
-    """(first rows of equal windows, (first, other) of equal windows)."""
+    """(first rows of windows of equal token sets, (first, other) of such windows)."""
     first: dict[bytes, int] = {}
     copies = []
     for i, window in zip(rows, windows, strict=True):
-        one = first.setdefault(window.tobytes(), i)
+        one = first.setdefault(np.unique(window).tobytes(), i)
         if one != i:
             copies.append((one, i))
     return list(first.values()), copies
@@ -163,11 +170,11 @@ def _versions(rows: list[int], windows: list[np.ndarray]) -> tuple[list[int], li
 
 def _window_links(key: np.ndarray, doc: np.ndarray, reach: np.ndarray, c: np.ndarray, grams: list[bytes], t: int, threshold: float) -> tuple[list, list, list, list]:
     """(doc_a, a's reach, doc_b, b's reach) of windows, sorted by key and doc_id, that may hold a near copy."""
-    size = np.array([len(g) // 4 for g in grams])
+    size = np.array([len(g) // 3 for g in grams])
     begin = np.r_[0, np.cumsum(size)]
     row = np.repeat(np.arange(len(size)), size)
     group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-    values = (group[row].astype(U64) << U64(32)) | np.frombuffer(b"".join(grams), dtype=np.uint32)
+    values = (group[row].astype(U64) << U64(32)) | _wide(b"".join(grams))
     order = np.argsort(values, kind="stable")
     edges = np.flatnonzero(np.r_[True, values[order][1:] != values[order][:-1], True])
     name = np.empty(len(values), dtype=np.int64)
@@ -278,7 +285,7 @@ def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int =
                 left, right = reach >> 32, reach & 0xFFFFFFFF
                 inside = right < len(mine)  # rows of one doc_id may have other texts
                 key, reach, left, right = key[inside], reach[inside], left[inside], right[inside]
-                short = mine.astype(np.uint32)
+                short = mine.view(np.uint8).reshape(-1, 8)[:, :3]
                 hashed = [mix(mine ^ _SEEDS[f]) for f in range(functions)]
                 c = [int(hashed[k & 63][s : e + 1].argmin()) for k, s, e in zip(key.tolist(), left.tolist(), right.tolist(), strict=True)]
                 grams = [short[s : e + 1].tobytes() for s, e in zip(left.tolist(), right.tolist(), strict=True)]
@@ -308,10 +315,12 @@ def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int =
     pairs = copies.unionByName(near).groupBy("doc_a", "doc_b").agg(F.collect_set(F.struct("b", "a")).alias("links"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words = None, None
         for batch in batches:
             rows = []
             for a, b, links, packed in zip(*(batch.column(x).to_pylist() for x in ("doc_a", "doc_b", "links", "packed")), strict=True):
-                words = Words(pa.array([_unpack(packed)]))
+                if b != at:
+                    at, words = b, Words(pa.array([_unpack(packed)]))
                 for bl, br, al, ar in _regions(links):
                     if br + q > len(words.end):  # a row of this doc_id with another text
                         continue

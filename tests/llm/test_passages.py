@@ -126,3 +126,20 @@ def test_pair_recall_in_groups(spark):
     found = found_pairs(near_passages(spark.createDataFrame(rows, SCHEMA)).collect())
     for kind, pairs in want.items():
         assert len(pairs & found) >= 0.9 * len(pairs) > 0, (kind, len(pairs & found), len(pairs))
+
+
+def test_partial_copies_at_a_lower_doc_id(spark):
+    """Equal passages are found also when an earlier document has too little of them to be a passage."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows, want = [], set()
+    for n in range(60):
+        passage, part = [rng.choice(words) for _ in range(55)], (30, 40, 45)[n % 3]
+        at = rng.randrange(55 - part)
+        for copy in (passage[at : at + part], passage, passage):
+            rows.append((len(rows), " ".join([*rng.choices(words, k=60), *copy, *rng.choices(words, k=60)])))
+        want.add((len(rows) - 2, len(rows) - 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.doc_a, r.doc_b) for r in near_passages(docs).collect()} == want
+    kept = {r.doc_id: len(r.text.split()) for r in drop_passages(docs).collect()}
+    assert all(kept[a] == 175 and kept[b] <= 120 for a, b in want)
