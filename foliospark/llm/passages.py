@@ -15,8 +15,8 @@ the position c of their least value: the Cartesian tree of the values gives
    linked to their first, and the firsts all with one another, if they share enough tokens.
 3. Interval join: links of one pair of documents whose windows overlap in both
    are joined to a candidate region.
-4. Verification on the tokens themselves: runs of shared tokens, bridged over
-   one edit, of at least t tokens, with their exact Jaccard similarity.
+4. Verification on the tokens themselves: runs of at least t tokens from one
+   shared block to another, as long as they reach the threshold, with their exact Jaccard similarity.
 
 Nothing is capped.  The result is the full join in factored form: exact copies
 with the first document that has the passage, near copies among all distinct
@@ -244,24 +244,94 @@ def _runs(mask: np.ndarray, gap: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, breaks + 1]].tolist(), (at[np.r_[breaks, len(at) - 1]] + 1).tolist(), strict=True))
 
 
-def verify(a: np.ndarray, b: np.ndarray, t: int, threshold: float, q: int) -> list[tuple[int, int, int, int, float]]:
-    """(a_start, a_stop, b_start, b_stop, jaccard) of the near-duplicate runs of tokens of b in a."""
-    found = []
-    todo = [(s, e, True) for s, e in _runs(np.isin(b, a), q + 1)]
-    while todo:
-        start, stop, bridged = todo.pop()
-        if stop - start < t:
-            continue
+def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The position in a of each token of b, or -1; of several, the one nearest to the diagonal of the last token that is once in a."""
+    order = np.argsort(a, kind="stable")
+    lo, hi = np.searchsorted(a[order], b), np.searchsorted(a[order], b, side="right")
+    at = np.where(hi > lo, order[np.minimum(lo, len(a) - 1)], -1)
+    single = np.flatnonzero(hi - lo == 1)
+    for i in np.flatnonzero(hi - lo > 1).tolist():
+        near = single[max(np.searchsorted(single, i) - 1, 0)] if len(single) else i
+        places = order[lo[i] : hi[i]]
+        at[i] = places[np.abs(places - i - (at[near] - near)).argmin()]
+    return at
+
+
+def _chain(start: np.ndarray, stop: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of blocks by their order in b, those of the longest sequence that is in order in a too."""
+    best, before = size.copy(), np.full(len(size), -1)
+    for y in range(1, len(size)):
+        fits = np.where(stop[:y] <= start[y], best[:y], 0)
+        if fits.max() > 0:
+            before[y] = fits.argmax()
+            best[y] += fits.max()
+    way = [int(best.argmax())]
+    while before[way[-1]] >= 0:
+        way.append(int(before[way[-1]]))
+    return np.array(way[::-1])
+
+
+def verify(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
+    """(a_start, a_stop, b_start, b_stop, jaccard) of the near-duplicate runs of tokens of b in a.
+
+    A run goes from one block of equal tokens to another one, over whatever lies
+    between, as far as its similarity stays at the threshold.
+    """
+    if not len(a) or not len(b):
+        return []
+    at = _matches(a, b)
+    here = np.flatnonzero(at >= 0)
+    if not len(here):
+        return []
+    step = at[here[1:]] - at[here[:-1]]
+    cut_ = np.flatnonzero((np.diff(here) > 1) | (step < 0) | (step > 1))
+    first, last = here[np.r_[0, cut_ + 1]], here[np.r_[cut_, len(here) - 1]]
+    fresh = np.zeros(len(b), dtype=bool)
+    fresh[np.unique(b, return_index=True)[1]] = True
+    missing = np.r_[0, np.cumsum(fresh & (at < 0))]
+    found: list[tuple[int, int, int, int, float]] = []
+
+    def similarity(start: int, stop: int, low: int, high: int) -> tuple[float, int, int]:
+        if high - low == stop - start and (np.diff(at[start:stop]) == 1).all():
+            return 1.0, low, high
         part = np.unique(b[start:stop])
-        best = (0.0, 0, 0)
-        for s, e in _runs(np.isin(a, part), q + 1):
-            other = np.unique(a[s:e])
-            common = len(np.intersect1d(part, other, assume_unique=True))
-            best = max(best, (common / (len(part) + len(other) - common), s, e))
-        if best[0] >= threshold and best[2] - best[1] >= t:
-            found.append((best[1], best[2], start, stop, best[0]))
-        elif bridged:
-            todo += [(start + s, start + e, False) for s, e in _runs(np.isin(b[start:stop], a), 0)]
+        inside = np.isin(a, part)
+        outside = np.flatnonzero(~inside)
+        left, right = outside[outside < low], outside[outside >= high]
+        low, high = int(left[-1]) + 1 if len(left) else 0, int(right[0]) if len(right) else len(a)
+        other = np.unique(a[low:high])
+        common = len(np.intersect1d(part, other, assume_unique=True))
+        return common / (len(part) + len(other) - common), low, high
+
+    def longest(first: np.ndarray, last: np.ndarray) -> None:
+        todo = [(0, len(first))]
+        while todo:
+            x, end = todo.pop()
+            best: tuple = ()
+            for i in range(x, end):
+                if last[end - 1] + 1 - first[i] < (best[3] - best[2] + 1 if best else t):
+                    break
+                least = max(t, best[3] - best[2] + 1) if best else t
+                stop = last[i:end] + 1
+                # unshared tokens alone may rule a run out
+                may = np.flatnonzero((stop - first[i] >= least) & (missing[stop] - missing[first[i]] <= (1 - threshold) * (stop - first[i])))
+                for j in (may[::-1] + i).tolist():
+                    jaccard, low, high = similarity(int(first[i]), int(last[j]) + 1, int(at[first[i]]), int(at[last[j]]) + 1)
+                    if jaccard >= threshold and high - low >= t:
+                        best = (low, high, int(first[i]), int(last[j]) + 1, jaccard, i, j)
+                        break
+            if best:
+                found.append(best[:5])
+                todo += [(x, best[5]), (best[6] + 1, end)]
+
+    while len(first):
+        way = _chain(at[first], at[last] + 1, last + 1 - first)
+        if (last[way] + 1 - first[way]).sum() < int(threshold * t):
+            break
+        longest(first[way], last[way])
+        left = np.ones(len(first), dtype=bool)
+        left[way] = False
+        first, last = first[left], last[left]
     return found
 
 
@@ -341,7 +411,7 @@ def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int =
                 if a != at:
                     at, mine = a, _tokens(pa.array([_unpack(column[i].as_py())]), q)[0]
                 theirs = _tokens(pa.array([_unpack(part)]), q)[0]
-                for s, e, bs, be, jaccard in verify(mine[al : ar + 1], theirs, t, threshold, q):
+                for s, e, bs, be, jaccard in verify(mine[al : ar + 1], theirs, t, threshold):
                     rows.append((a, al + s, al + e + q - 1, b, bl + bs, bl + be + q - 1, jaccard))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())

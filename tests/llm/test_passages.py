@@ -143,3 +143,23 @@ def test_partial_copies_at_a_lower_doc_id(spark):
     assert {(r.doc_a, r.doc_b) for r in near_passages(docs).collect()} == want
     kept = {r.doc_id: len(r.text.split()) for r in drop_passages(docs).collect()}
     assert all(kept[a] == 175 and kept[b] <= 120 for a, b in want)
+
+
+def test_edits_that_lie_together(spark):
+    """Deletions, insertions and clustered edits leave near copies above the threshold, which are one passage each."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    make = {
+        "deleted": lambda p: p[:44] + p[47:],
+        "inserted": lambda p: p[:45] + rng.choices(words, k=3) + p[45:],
+        "replaced": lambda p: p[:43] + ["x1"] + p[44:46] + ["x2"] + p[47:],
+    }
+    for edit, change in make.items():
+        rows = []
+        for _ in range(20):
+            passage = [rng.choice(words) for _ in range(90)]
+            for copy in (passage, change(passage)):
+                rows.append((len(rows), " ".join([*rng.choices(words, k=30), *copy, *rng.choices(words, k=30)])))
+        got = near_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+        whole = {(r.doc_a, r.doc_b) for r in got if r.b_stop - r.b_start >= 85 and 0.8 < r.jaccard < 1}
+        assert len(whole) >= 18, edit
