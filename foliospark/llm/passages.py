@@ -44,7 +44,7 @@ from pyspark.sql.types import StringType, StructType
 from ._spark import cut, id_text
 from ._text import U64, Words, buffers, mix, ngrams, pieces, signed
 
-Q, TOKENS, FUNCTIONS, THRESHOLD = 5, 46, 4, 0.7
+Q, TOKENS, FUNCTIONS, THRESHOLD = 5, 44, 4, 0.7
 _SEEDS = mix(np.arange(1, 65, dtype=U64) * U64(0x632BE59BD9B4E019))
 RESULT = "doc_a bigint, a_start int, a_stop int, doc_b bigint, b_start int, b_stop int, jaccard double"
 

@@ -163,3 +163,19 @@ def test_edits_that_lie_together(spark):
         got = near_passages(spark.createDataFrame(rows, SCHEMA)).collect()
         whole = {(r.doc_a, r.doc_b) for r in got if r.b_stop - r.b_start >= 85 and 0.8 < r.jaccard < 1}
         assert len(whole) >= 18, edit
+
+
+def test_passages_with_an_edit_near_an_end(spark):
+    """51 words with one of the outer words replaced leave a run of 44 or 45 tokens, which is a passage."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(3000)]
+    rows, want = [], set()
+    for n in range(40):
+        passage = [rng.choice(words) for _ in range(51)]
+        copy = list(passage)
+        copy[(1, 2, 48, 49)[n % 4]] = "x"
+        for one in (passage, copy):
+            rows.append((len(rows), " ".join([*rng.choices(words, k=30), *one, *rng.choices(words, k=30)])))
+        want.add((len(rows) - 2, len(rows) - 1))
+    found = {(r.doc_a, r.doc_b) for r in near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(found & want) >= 0.9 * len(want)
