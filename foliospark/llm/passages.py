@@ -289,6 +289,9 @@ def verify(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tuple
     fresh = np.zeros(len(b), dtype=bool)
     fresh[np.unique(b, return_index=True)[1]] = True
     missing = np.r_[0, np.cumsum(fresh & (at < 0))]
+    fresh = np.zeros(len(a), dtype=bool)
+    fresh[np.unique(a, return_index=True)[1]] = True
+    lacking = np.r_[0, np.cumsum(fresh & ~np.isin(a, b))]
     found: list[tuple[int, int, int, int, float]] = []
 
     def similarity(start: int, stop: int, low: int, high: int) -> tuple[float, int, int]:
@@ -313,8 +316,10 @@ def verify(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tuple
                     break
                 least = max(t, best[3] - best[2] + 1) if best else t
                 stop = last[i:end] + 1
-                # unshared tokens alone may rule a run out
-                may = np.flatnonzero((stop - first[i] >= least) & (missing[stop] - missing[first[i]] <= (1 - threshold) * (stop - first[i])))
+                # unshared tokens alone, of b and of a, may rule a run out
+                size = stop - first[i]
+                alone = lacking[at[last[i:end]] + 1] - lacking[at[first[i]]]
+                may = np.flatnonzero((size >= least) & (size - (missing[stop] - missing[first[i]]) >= threshold * (size + alone) - 1e-6))
                 for j in (may[::-1] + i).tolist():
                     jaccard, low, high = similarity(int(first[i]), int(last[j]) + 1, int(at[first[i]]), int(at[last[j]]) + 1)
                     if jaccard >= threshold and high - low >= t:
