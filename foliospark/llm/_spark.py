@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids that repeat are broadcast up to this number of rows (8 bytes each), and joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that all executors share, without its lineage.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests, a
-    single machine) does a temporary one take its place.
+    The folder is spark.checkpoint.dir.  Where that is unset, a local master
+    (tests) gets a temporary folder until the process ends; a cluster is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="folio-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -25,6 +36,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, longer by underscores until no column of the frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id bigint, text string): other columns, whatever they are called, stay out of the way."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id, of several the one with the least text (of equal texts, the least row as JSON); without null ids.
+
+    Only the ids are exchanged; texts of ids that repeat are too, and only theirs
+    as long as the ids that repeat are few enough for a broadcast.
+    """
+    docs = docs.where("doc_id is not null")
+    ids = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    n = ids.count()
+    if not n:
+        return docs
+    ids = cut(ids)
+    if n <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    again = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text"), F.to_json(row))).alias("row"))
+    return docs.join(ids, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns]).unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

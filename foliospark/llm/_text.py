@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _byte = np.arange(256, dtype=np.uint8)
@@ -127,3 +128,40 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(packed_: bytes, raw: bool = False) -> str | bytes:
+    data = pa.decompress(packed_[4:], int.from_bytes(packed_[:4], "little"), codec="zstd", asbytes=True)
+    return data if raw else data.decode("utf-8", "replace")
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """(doc_id, packed): compressed texts, for exchanges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                data, offsets = buffers(part.column("text"))
+                raw = data.tobytes()
+                made = [pack(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "packed"])
+
+    return texts.mapInArrow(run, "doc_id bigint, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The texts of the column ``packed``, as ``text``, in slices of about ``limit`` bytes."""
+    column = batch.column("packed")
+    held: list[str] = []
+    size = 0
+    for i in range(len(column)):
+        raw = column[i].as_py()
+        held.append(unpack(raw))
+        size += int.from_bytes(raw[:4], "little")
+        if size >= limit or i == len(column) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.large_string())], ["text"])
+            held, size = [], 0

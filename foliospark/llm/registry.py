@@ -38,7 +38,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
 
 
 #: Sources by domain, and integer weights of nodes of the domain-language-source tree; other nodes have weight 1.
