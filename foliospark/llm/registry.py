@@ -22,7 +22,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chat.format_chats(chat.with_parts(table(spark, sf_dir, "conversations")))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

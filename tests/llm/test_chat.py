@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from foliospark.llm.chat import SQL, format_chats
+from foliospark.llm.chat import SQL, format_chats, with_parts
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -50,7 +50,7 @@ def test_against_brute_force(spark):
     rows = []
     for conv in range(40):
         for turn in range(rng.randrange(1, 6)):
-            text = rng.choice(["plain text", json.dumps([part() for _ in range(rng.randrange(1, 5))]), "[not json", '[{"type": "video"}]', "[]", None, "", "x " * 20_000 if conv == 3 else "y"])
+            text = rng.choice(["plain text", json.dumps([part() for _ in range(rng.randrange(1, 5))]), "[not json", '[{"type":"text","text":"hi"}] trailing words', '[{"type":"text"}][]', '[{"type": "video"}]', "[]", None, "", "x " * 20_000 if conv == 3 else "y"])
             rows.append((conv, rng.choice([turn, None, 0]), rng.choice(["user", "assistant", None]), text))
     rows += [(None, 0, "user", "n"), rows[0]]
     frame = spark.createDataFrame([(*r, 1, "p") for r in rows], SCHEMA + ", n_turns int, prompt string")
@@ -62,4 +62,13 @@ def test_against_brute_force(spark):
 def test_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
-    assert {tuple(r) for r in format_chats(spark.read.parquet(f"{sf}/conversations.parquet")).collect()} == set(con.sql(SQL).fetchall())
+    assert {tuple(r) for r in format_chats(with_parts(spark.read.parquet(f"{sf}/conversations.parquet"))).collect()} == set(con.sql(SQL).fetchall())
+
+
+def test_many_parts_and_rows_without_a_conversation(spark):
+    parts = [{"type": "image", "url": f"u{i}", "width": 28, "height": 28} if i % 2 else {"type": "text", "text": f"t{i} "} for i in range(4000)]
+    rows = [(1, 0, "user", json.dumps(parts)), (None, 0, "user", "a"), (None, 1, None, "b")]
+    got = format_chats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.prompt for r in got if r.conv_id is None) == ["<|user|>\na<|end|>\n", "<|user|>\nb<|end|>\n"]
+    (one,) = [r for r in got if r.conv_id == 1]
+    assert (one.prompt, one.n_attachments, one.expanded_tokens) == (brute(rows[:1])[1][0], 2000, 4000)
