@@ -10,25 +10,32 @@ Record ids are UUIDs made from the MD5 of a name, so a rerun gives the same
 ids.  Digests are SHA-256 in lower-case hexadecimal digits.
 
 Plain text: comments and the contents of script, style, noscript and template
-go; block elements end lines; other tags go; the entities &nbsp; &lt; &gt;
-&quot; &#39; &apos; &copy; &middot; and last &amp; are replaced; blanks are
+go; block elements end lines; other tags go; character references that end in a
+semicolon are decoded, all names of HTML and all numbers, once; blanks are
 collapsed and empty lines go.
 
 Defined results: a null html is an empty payload, which gives records with an
-empty text; a null url gives an empty target; a null page_id is the id 'null';
+empty text; a null url gives an empty target; control characters in a url are
+percent-encoded, so that no url adds a header line; a name that HTML doesn't have stays as it is; a null page_id is the id 'null';
 repeated rows give records with equal ids; other columns are not looked at; an
 empty table gives no records.
 """
 
 from __future__ import annotations
 
+import html as html_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Name and character, in the order in which they are looked for; then the numbers that stand for another character than their own.
+FREQUENT = ("amp", "nbsp", "quot", "lt", "gt", "apos", "copy", "middot", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "bull", "eacute", "agrave", "uuml", "ouml", "auml", "szlig", "reg", "trade", "raquo", "laquo")
+NAMES = {n: html_.entities.html5[n + ";"] for n in FREQUENT} | {n[:-1]: c for n, c in sorted(html_.entities.html5.items()) if n.endswith(";")}
+NUMBERS = {n: html_.unescape(f"&#{n};") for n in (0, 13, *range(128, 160))}
+CONTROLS = [*range(32), 127]
 
 
 def patterns() -> list[tuple[str, str]]:
@@ -41,11 +48,36 @@ def patterns() -> list[tuple[str, str]]:
     ]
 
 
+def decoded(text: Column) -> Column:
+    """text with its character references replaced, once: each piece after an ampersand begins with a reference or is left."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    numbers = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
+
+    def piece(x: Column) -> Column:
+        body = F.substring_index(x, ";", 1)
+        rest = F.substring(x, F.length(body) + 2, F.length(x))
+        digits = F.regexp_extract(body, "^#(?:[xX]([0-9a-fA-F]{1,7})|([0-9]{1,9}))$", 0)
+        code = F.when(F.substring(digits, 2, 1).isin("x", "X"), F.conv(F.substring(digits, 3, 9), 16, 10).cast("int")).otherwise(F.substring(digits, 2, 9).cast("int"))
+        own = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        character = F.when(F.substring(x, 1, 1) == "#", F.when(digits != "", F.coalesce(F.try_element_at(numbers, code), own))).otherwise(F.try_element_at(names, body))
+        return F.coalesce(F.when(F.contains(x, F.lit(";")), F.concat(character, rest)), F.concat(F.lit("&"), x))
+
+    pieces = F.split(text, "&", -1)
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))
+
+
+def encoded_uri(url: Column) -> Column:
+    """url with its control characters percent-encoded."""
+    made = url
+    for c in CONTROLS:
+        made = F.replace(made, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), made).otherwise(url)
+
+
 def html_text(html: Column) -> Column:
     for pattern, replacement in patterns():
         html = F.regexp_replace(html, pattern, replacement)
-    for entity, character in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(character))
+    html = F.when(F.contains(html, F.lit("&")), decoded(html)).otherwise(html)
     html = F.regexp_replace(html, r"[ \t\r\f\x{A0}]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(html, " ?\n ?", "\n"), "\n+", "\n"), F.lit(" \n"))
 
@@ -63,7 +95,7 @@ def sha256(text: Column) -> Column:
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of fetched pages (page_id, url, html)."""
     page, url, html = F.col("page_id").cast("string"), F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.coalesce(page, F.lit("null")).alias("page"), F.col("page_id").cast("long"), url.alias("target_uri"), html.alias("payload"))
+    rows = pages.select(F.coalesce(page, F.lit("null")).alias("page"), F.col("page_id").cast("long"), encoded_uri(url).alias("target_uri"), html.alias("payload"))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"))
     return rows.select(
         "page_id", uuid(F.lit("response"), "page", "target_uri").alias("record_id"), "target_uri", F.lit(date).alias("date"), headers.alias("http_headers"),
@@ -73,7 +105,8 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response of ``records`` (the columns of responses()); the body is in ``block``."""
-    title = F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1), r"\s+", " "))
+    raw = F.regexp_extract("payload", r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
+    title = F.trim(F.regexp_replace(F.when(F.contains(raw, F.lit("&")), decoded(raw)).otherwise(raw), r"\s+", " "))
     language = F.regexp_extract("payload", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)
     links = F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href="))
     named = records.select(
@@ -95,23 +128,36 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def serialise(derived: DataFrame) -> DataFrame:
-    """derived with ``record``, the bytes of the WARC/1.1 record."""
+    """derived with ``record``, the bytes of the WARC/1.1 record; each HTTP header line of the response is a WARC-Source-Header."""
+    source = F.array_join(F.transform(F.split("source_headers", "\r?\n"), lambda line: F.concat(F.lit("WARC-Source-Header: "), line, F.lit("\r\n"))), "")
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), "warc_type", F.lit("\r\nWARC-Record-ID: "), "record_id", F.lit("\r\nWARC-Refers-To: "), "refers_to",
         F.lit("\r\nWARC-Concurrent-To: "), "concurrent_to", F.lit("\r\nWARC-Target-URI: "), "target_uri", F.lit("\r\nWARC-Date: "), "warc_date",
         F.lit("\r\nWARC-Block-Digest: "), "block_digest", F.lit("\r\nWARC-Source-Payload-Digest: "), "source_payload_digest",
-        F.lit("\r\nContent-Type: "), "content_type", F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"),
+        F.lit("\r\nContent-Type: "), "content_type", F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n"), source, F.lit("\r\n"),
     )
     return derived.withColumn("record", F.encode(F.concat(header, "block", F.lit("\r\n\r\n")), "UTF-8"))
 
 
+#: The references that the table pages has; all others are tested against Python's decoder.
+SQL_NAMES = ("&nbsp;", "&lt;", "&gt;", "&quot;", "&#39;", "&apos;", "&copy;", "&middot;", "&amp;")
+
+
+def quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_names(text: str) -> str:
+    for name in SQL_NAMES:
+        text = f"replace({text}, {quote(name)}, {quote(html_.unescape(name))})"
+    return text
+
+
 def _sql_text() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
     text = "payload"
     for pattern, replacement in patterns():
         text = f"regexp_replace({text}, {quote(pattern)}, {'chr(10)' if replacement else quote('')}, 'g')"
-    for entity, character in ENTITIES:
-        text = f"replace({text}, {quote(entity)}, {quote(character)})"
+    text = _sql_names(text)
     text = f"regexp_replace({text}, '[ \\t\\r\\f\\x{{A0}}]+', ' ', 'g')"
     return f"trim(regexp_replace(regexp_replace({text}, ' ?\\n ?', chr(10), 'g'), '\\n+', chr(10), 'g'), ' ' || chr(10))"
 
@@ -121,13 +167,19 @@ def _sql_uuid(name: str, *parts: str) -> str:
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({m}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
+def _sql_uri(url: str) -> str:
+    for c in CONTROLS[1:]:
+        url = f"replace({url}, chr({c}), '%{c:02X}')"
+    return url
+
+
 _NL = "chr(13) || chr(10)"
 SQL = f"""
-WITH p AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), 'null') AS page, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+WITH p AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), 'null') AS page, {_sql_uri("coalesce(url, '')")} AS target_uri, coalesce(html, '') AS payload FROM pages),
 r AS (SELECT page_id, {_sql_uuid("response", "page", "target_uri")} AS rid, target_uri, payload,
   'HTTP/1.1 200 OK' || {_NL} || 'Content-Type: text/html; charset=utf-8' || {_NL} || 'Content-Length: ' || octet_length(encode(payload)) AS headers FROM p),
 n AS (SELECT *, 'sha256:' || sha256(headers || {_NL} || {_NL} || payload) AS bd, {_sql_text()} AS text,
-  trim(regexp_replace(regexp_extract(payload, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g')) AS title,
+  trim(regexp_replace({_sql_names("regexp_extract(payload, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1)")}, '\\s+', ' ', 'g')) AS title,
   regexp_extract(payload, '(?i)<html[^>]*\\slang=["'']?([A-Za-z-]+)', 1) AS language,
   len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href=')) AS links,
   {_sql_uuid("metadata", "rid")} AS mid, {_sql_uuid("conversion", "rid")} AS cid FROM r),
