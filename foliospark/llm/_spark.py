@@ -5,13 +5,19 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Ids that repeat are broadcast up to this number of rows (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
 
+#: Values that HOT rows or more of one in SAMPLE documents have, and HOT_PART of all rows, are salted: a salt for each SALTED rows.
+SAMPLE, HOT, HOT_PART, SALTED = 64, 64, 1e-5, 1 << 18
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that all executors share, without its lineage.
@@ -71,3 +77,36 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
     again = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text"), F.to_json(row))).alias("row"))
     return docs.join(ids, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns]).unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """One in SAMPLE documents, by their ids."""
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+
+
+def salted(rows: DataFrame, sampled: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """rows with ``salts`` and ``salt`` by doc_id, where rows of sampled documents show that some values of key are very frequent; else rows as they are.
+
+    At most 1 / HOT_PART values are salted, so the broadcast has a bound.  What
+    is computed from the rows must not depend on the salts.
+    """
+    counts = sampled.groupBy(key).count().where(F.col("count") >= HOT)
+    hot = []
+    if not counts.isEmpty():
+        least = sampled.count() * HOT_PART
+        hot = [(r[key], r["count"] * SAMPLE // SALTED + 1) for r in counts.where(F.col("count") >= least).collect()]
+    if not hot:
+        return rows, False
+    salts = rows.sparkSession.createDataFrame(hot, f"{key} bigint, salts int")
+    rows = rows.join(F.broadcast(salts), key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return rows.withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)")), True
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), for column names of any characters."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pa.RecordBatch.from_arrays(batch.columns, names) for batch in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
+from ._spark import map_rows
 from ._text import buffers, lists, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -312,7 +313,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
                     ids = pa.ListArray.from_arrays(pa.array(np.asarray(ids.offsets), pa.int32(), mask=np.append(null, False)), ids.values)
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), ids, pa.array(counts, pa.int32(), mask=null), pa.array(same, pa.bool_(), mask=null)], [*names, *made])
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens", text_col: str = "text") -> DataFrame:
@@ -332,4 +333,4 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens
                     texts.append(b"".join([v.tokens[i] for i in ids]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(texts, pa.string())], [*names, text_col])
 
-    return encoded.withColumn(tokens_col, F.col(tokens_col).cast("array<int>")).mapInArrow(run, StructType(kept).add(text_col, StringType()))
+    return map_rows(encoded.withColumn(tokens_col, F.col(tokens_col).cast("array<int>")), run, StructType(kept).add(text_col, StringType()))

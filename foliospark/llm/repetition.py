@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import map_rows
 from ._text import U64, _grams, buffers, mix, pieces
 
 MIN_REPEAT, MAX_FRACTION, MAX_LONGEST = 60, 0.5, 1000
@@ -155,7 +156,7 @@ def repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, *, keep_columns: b
     from pyspark.sql.types import StructType
 
     kept = StructType([x for x in docs.schema if x.name != "repetition"])
-    return docs.mapInArrow(run, kept.add("repetition", StructType.fromDDL(SCHEMA.split(", ", 1)[1])))
+    return map_rows(docs, run, kept.add("repetition", StructType.fromDDL(SCHEMA.split(", ", 1)[1])))
 
 
 def _good(at: str, max_fraction: float, max_longest: int) -> F.Column:

@@ -6,7 +6,10 @@ permutation of all rows.  The matrix of counts is never built: a task walks
 down a binary tree of the partitions, splitting the vector of shard sizes at
 each node with a generator seeded by the node, and so finds its own row.
 Each partition then deals its rows to the shards by a random permutation, the
-rows are exchanged, and each shard puts its rows in random order.
+rows are exchanged, and each shard puts its rows in the order of their random
+keys.  A shard is ordered in sections, ranges of the keys of about SECTION
+bytes, so that the work of a task doesn't grow with the shard; where a section
+begins is known from a rehearsal of the dealing, which reads no rows.
 
 Only the row counts of the partitions come to the driver.  Tasks that are run
 again deal the same cards, as long as a partition has the same rows in the same
@@ -31,9 +34,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from ._spark import cut
+from ._spark import cut, map_rows, quoted, unused
 
 _NUMPY_LIMIT = 10**9
+SECTION = 32 << 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -112,36 +116,65 @@ def _is_scan(df: DataFrame) -> bool:
     return kinds <= {"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation"}
 
 
-def shard(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+def _cards(counts: list[int], sizes: list[int], partition: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, random key) of each row of a partition."""
+    rng = np.random.default_rng([seed, 1, partition])
+    mine = counts[partition] if partition < len(counts) else 0
+    row = matrix_row(counts, sizes, partition, seed) if mine else []
+    cards = rng.permutation(np.repeat(np.arange(len(row), dtype=np.int32), row)) if mine else np.zeros(0, np.int32)
+    return cards, rng.integers(0, 1 << 62, mine)
+
+
+def _section(key: np.ndarray, sections: int) -> np.ndarray:
+    return ((key >> 31) * sections >> 31).astype(np.int32)
+
+
+def shard(docs: DataFrame, shards: int, seed: int = 0, section: int = SECTION) -> DataFrame:
     """docs with ``shard`` and ``position``, a row's place from 0 in its shard; sizes differ by one at most."""
     if not _is_scan(docs):
         docs = cut(docs)
+    spark = docs.sparkSession
     kept = [x for x in docs.schema if x.name not in ("shard", "position")]
     names = [x.name for x in kept]
     found = {p: n for p, n in docs.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}
     counts = [found.get(p, 0) for p in range(max(found, default=0) + 1)]
     sizes = shard_sizes(sum(counts), shards)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # where the plan has no estimate of its size, a section has a thousand rows at least
+    sections = max(1, min(-(-size // (shards * section)), sum(counts) // shards // 1000))
+    shared = spark.sparkContext.broadcast(counts)
+    at = [unused(x, docs) for x in ("section", "key", "shard", "position")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, counts = TaskContext.get().partitionId(), shared.value
-        rng = np.random.default_rng([seed, 1, partition])
-        mine = counts[partition] if partition < len(counts) else 0
-        row = matrix_row(counts, sizes, partition, seed) if mine else []
-        cards = rng.permutation(np.repeat(np.arange(len(row), dtype=np.int32), row)) if mine else np.zeros(0, np.int32)
-        at = 0
+        partition = TaskContext.get().partitionId()
+        cards, keys = _cards(shared.value, sizes, partition, seed)
+        here = 0
         for batch in batches:
-            end = at + batch.num_rows
+            end = here + batch.num_rows
             if end > len(cards):
                 break
-            order = rng.integers(-(1 << 63), (1 << 63) - 1, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(cards[at:end]), pa.array(order)], [*names, "shard", "position"])
-            at = end
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(_section(keys[here:end], sections)), pa.array(keys[here:end]), pa.array(cards[here:end])], [*names, *at[:3]])
+            here = end
         else:
-            if at == len(cards):
+            if here == len(cards):
                 return
         raise RuntimeError(f"partition {partition} doesn't have the {len(cards)} rows that were counted")
 
-    schema = StructType(list(kept)).add("shard", IntegerType()).add("position", LongType())
-    dealt = docs.mapInArrow(deal, schema)
-    return dealt.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy("position")).cast("long") - 1)
+    def rehearse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for partition in batch.column("id").to_pylist():
+                cards, keys = _cards(shared.value, sizes, partition, seed)
+                place, n = np.unique(cards.astype(np.int64) * sections + _section(keys, sections), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((place // sections).astype(np.int32)), pa.array((place % sections).astype(np.int32)), pa.array(n)], [at[2], at[0], "n"])
+
+    by = Window.partitionBy(at[2]).orderBy(at[0]).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = map_rows(docs, deal, StructType(list(kept)).add(at[0], IntegerType()).add(at[1], LongType()).add(at[2], IntegerType()))
+    begin = F.lit(0)
+    if sections > 1:
+        told = spark.range(0, len(counts), 1, len(counts)).mapInArrow(rehearse, f"{at[2]} int, {at[0]} int, n bigint").groupBy(at[2], at[0]).agg(F.sum("n").alias("n"))
+        begin = unused("begin", docs)
+        told = told.select(at[2], at[0], F.coalesce(F.sum("n").over(by), F.lit(0)).alias(begin))
+        dealt, begin = dealt.join(told, [at[2], at[0]]), F.col(begin)
+    place = F.row_number().over(Window.partitionBy(at[2], at[0]).orderBy(at[1])) - 1 + begin
+    dealt = dealt.withColumn(at[3], place.cast("long"))
+    return dealt.select(*map(quoted, names), F.col(at[2]).alias("shard"), F.col(at[3]).alias("position"))

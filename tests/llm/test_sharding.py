@@ -42,6 +42,13 @@ def test_shards(spark, sf):
     assert sorted(map(str, shard(docs, 7, seed=4).collect())) != sorted(map(str, rows))
 
 
+def test_sections_change_nothing(spark):
+    docs = spark.range(0, 9000, 1, 5).selectExpr("id as doc_id", "id % 7 as `a.b`", "id as section", "id as Key")
+    whole, cut = ({tuple(r) for r in shard(docs, 2, 1, section).collect()} for section in (1 << 40, 10))
+    assert whole == cut and {(r[-2], r[-1]) for r in cut} == {(s, i) for s in range(2) for i in range(4500)}
+    assert shard(docs, 2).columns == ["doc_id", "a.b", "section", "Key", "shard", "position"]
+
+
 def test_uniform(spark):
     """Each row is as likely in each shard."""
     docs = spark.range(12).withColumnRenamed("id", "doc_id").repartition(3)
@@ -59,9 +66,9 @@ def test_edges(spark):
     assert len(rows) == 4 and len({(r.shard, r.position) for r in rows}) == 4 and {r.position for r in rows} == {0}
     assert shard(docs.limit(0), 3).count() == 0
     with pytest.raises(Exception, match="counted"):
-        real = sharding.matrix_row
-        sharding.matrix_row = lambda *a: [0] * 9
+        real = sharding._cards
+        sharding._cards = lambda *a: (np.zeros(0, np.int32), np.zeros(0, np.int64))
         try:
             shard(docs, 9).collect()
         finally:
-            sharding.matrix_row = real
+            sharding._cards = real
