@@ -53,8 +53,15 @@ def domain() -> F.Column:
     return column
 
 
+MIXTURE = {"numerator": 7, "denominator": 10, "max_epochs": 2, "seed": 8}
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS, numerator=7, denominator=10, max_epochs=2, seed=8).select("doc_id", "lang", "source", "epoch")
+    return mixture.mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS, **MIXTURE).select("doc_id", "lang", "source", "epoch")
+
+
+def domain_sql() -> str:
+    return "CASE " + " ".join(f"WHEN source IN {sources} THEN '{name}'" for name, sources in DOMAINS.items()) + " ELSE 'web' END"
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.SQL, "op4_topk_search": topk.SQL, "op9_warc_derivatives": warc.SQL}
+    return {"op3_chat_format": chat.SQL, "op4_topk_search": topk.SQL, "op8_mixture": mixture.sql(domain_sql(), WEIGHTS, **MIXTURE), "op9_warc_derivatives": warc.SQL}
