@@ -90,14 +90,13 @@ def salted(rows: DataFrame, sampled: DataFrame, key: str) -> tuple[DataFrame, bo
     At most 1 / HOT_PART values are salted, so the broadcast has a bound.  What
     is computed from the rows must not depend on the salts.
     """
-    counts = sampled.groupBy(key).count().where(F.col("count") >= HOT)
-    hot = []
-    if not counts.isEmpty():
-        least = sampled.count() * HOT_PART
-        hot = [(r[key], r["count"] * SAMPLE // SALTED + 1) for r in counts.where(F.col("count") >= least).collect()]
-    if not hot:
+    counts = sampled.groupBy(key).count()
+    # one pass: the frequent values, and all others as one row
+    counts = cut(counts.select(F.when(F.col("count") >= HOT, F.col(key)).alias(key), "count").groupBy(key).agg(F.sum("count").alias("n")))
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * HOT_PART
+    salts = counts.where(F.col(key).isNotNull() & (F.col("n") >= least)).select(key, F.expr(f"cast(n * {SAMPLE} div {SALTED} + 1 as int)").alias("salts")).where("salts > 1")
+    if salts.isEmpty():
         return rows, False
-    salts = rows.sparkSession.createDataFrame(hot, f"{key} bigint, salts int")
     rows = rows.join(F.broadcast(salts), key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     return rows.withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)")), True
 

@@ -4,25 +4,34 @@ A document is a sequence of tokens, here the hashes of its runs of q words.
 For one hash function, all its subsequences of at least t tokens are grouped by
 the position c of their least value: the Cartesian tree of the values gives
 *compact windows* (l, c, r), each standing for all subsequences that begin in
-[l, c] and end in [c, r].  There are about 2n / (t + 1) of them.
-
-1. Windows of several hash functions; those with an equal least value meet in
-   one sort.  Equal windows are exact copies: each is linked to the first one.
-2. The distinct windows of a value meet with their tokens.  Those that share
-   too few tokens with the others for any near copy are left out; the rest are
-   trimmed to where enough of their tokens are shared, so a passage in many
-   surroundings is one window again.  Trimmed windows of equal token sets are
-   linked to their first, and the firsts all with one another, if they share enough tokens.
-3. Interval join: links of one pair of documents whose windows overlap in both
-   are joined to a candidate region.
-4. Verification on the tokens themselves: runs of at least t tokens from one
-   shared block to another, as long as they reach the threshold, with their exact Jaccard similarity.
-
-Nothing is capped.  The result is the full join in factored form: exact copies
-with the first document that has the passage, near copies among all distinct
-versions; other pairs of two versions have the similarity of the first ones.
-The search is approximate only in 1: near copies whose least tokens differ in
-all functions are missed.
+[l, c] and end in [c, r].  There are about 2n / (t + 1) of them.  A window goes
+2t tokens to either side of c; a longer passage has several such c, and their
+spans overlap.
+
+1. Windows of several hash functions; those with an equal least value meet as a
+   unit.  Equal windows are exact copies: one of them, with their number, goes on.
+2. The distinct windows of a unit meet with their tokens.  Each is trimmed to
+   where enough of its tokens are shared with other documents, so a passage in
+   many surroundings is one version again; equal token sets are linked, and one of them goes on.
+3. All pairs of versions of a unit are compared, by bitmaps of shared tokens.
+   A pair that has enough equal tokens is verified: the exact Jaccard
+   similarity of the two token sets as trimmed, or, below the threshold, of the
+   parts around c where the tokens are shared with the other one.  Pairs are
+   never exchanged: a window reports its links, the span of
+   them, and the least window that it is connected with.
+4. Interval join: spans of a document's windows, of all functions, that overlap are one
+   passage; passages that are linked through their windows are a class.
+
+Nothing is capped.  A unit with very many windows is cut into blocks; versions
+that are left in each block meet once more in pairs of blocks, so that any two
+are compared and no task has more than two blocks.  Values that very many
+windows have are found in a sample of documents and salted before the first exchange.
+
+Each passage has a row: its class, named by its first passage (lowest doc_id,
+then start), and its links, the most occurrences in any document that one of
+its windows is linked with, exact copies included.  The search is approximate
+only in 1: near copies whose least tokens differ in all functions are missed.
+A token that repeats in a window counts at its first place.
 
 Defined results: words are as in ``_text``; null, empty and short texts have no
 passage; rows with a null doc_id take no part; rows of one doc_id are one
@@ -41,12 +50,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from ._spark import cut, id_text
-from ._text import U64, Words, buffers, mix, ngrams, pieces, signed
+from ._spark import cut, id_text, map_rows, one_row_each, quoted, salted, sample, unused
+from ._text import U64, Words, mix, ngrams, packed, pieces, signed, unpacked
+from .ngram_join import components, connected, whole_units
 
 Q, TOKENS, FUNCTIONS, THRESHOLD = 5, 44, 4, 0.7
 _SEEDS = mix(np.arange(1, 65, dtype=U64) * U64(0x632BE59BD9B4E019))
-RESULT = "doc_a bigint, a_start int, a_stop int, doc_b bigint, b_start int, b_stop int, jaccard double"
+SIDES = 2  # times t: so far a window goes to either side of c
+TABLE, TABLE_SIZE = 64, 1 << 26  # versions that are verified together where a batch's table has more places
+SMALL = 8  # units of so many versions are compared all together
+BLOCK = 4096  # windows of a block of a large unit
 
 
 def compact_windows(values: np.ndarray, row: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +105,7 @@ def _tokens(column: pa.Array, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
-    """key (its lowest bits are the function), doc_id, content (a hash of the window's tokens and of c in it), reach (l and r)."""
+    """key (its lowest bits are the function), doc_id, content (a hash of the window's tokens and of c in it), reach (l, c - l and r - c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +121,11 @@ def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
                     left, c, right = compact_windows(values, row, t)
                     if not len(c):
                         continue
+                    left, right = np.maximum(left, c - SIDES * t), np.minimum(right, c + SIDES * t)
                     content = mix(sums[right + 1] - sums[left] + mix(((c - left).astype(U64) << U64(32)) | (right - left).astype(U64)))
                     base = first[row[c]]
                     key = (values[c] & ~U64(63)) | U64(f)
-                    reach = ((left - base).astype(U64) << U64(32)) | (right - base).astype(U64)
+                    reach = ((left - base).astype(U64) << U64(32)) | ((c - left).astype(U64) << U64(16)) | (right - c).astype(U64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(signed(key)), ids.take(pa.array(row[c])), pa.array(signed(content)), pa.array(signed(reach))], ["key", "doc_id", "content", "reach"]
                     )
@@ -119,120 +133,432 @@ def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, doc_id bigint, content bigint, reach bigint")
 
 
-def _pack(raw: bytes) -> bytes:
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _met(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
+    """Windows of values that several documents have: key, block, content, doc_id, reach; of the equal ones the first (doc, at), their number and their last document."""
+    windows, spread = salted(_windows(texts, q, t, functions), _windows(sample(texts), q, t, functions), "key")
+    own = ["key", "salt"] if spread else ["key"]
+    unit = Window.partitionBy(*own)
+    met = windows.withColumns({"low": F.min("doc_id").over(unit), "high": F.max("doc_id").over(unit), "n": F.count("*").over(unit)})
+    met = met.where("low < high or salts > 1" if spread else "low < high")
+    # 0: a unit of its own; others: blocks of a unit, by document
+    block = f"cast(pmod(xxhash64(doc_id, 1), ceil(n / {BLOCK})) as int)"
+    block = f"if(salts > 1 or n > {BLOCK}, salt * 1048576 + {block} + 1, 0)" if spread else f"if(n > {BLOCK}, {block} + 1, 0)"
+    met = met.withColumn("block", F.expr(block))
+    same = Window.partitionBy(*own, "block", "content")
+    met = met.withColumns({"one": F.min(F.struct("doc_id", "reach")).over(same), "copies": F.count("*").over(same), "last": F.max("doc_id").over(same)})
+    varied = Window.partitionBy(*own, "block")
+    met = met.withColumn("varied", F.min("content").over(varied) < F.max("content").over(varied))
+    return met.select("key", "block", "content", "doc_id", "reach", F.col("one.doc_id").alias("doc"), F.col("one.reach").alias("at"), "copies", "last", "varied")
+
+
+def _contents(windows: DataFrame, texts: DataFrame, q: int) -> DataFrame:
+    """windows (doc, at, key and others) with c, the place of the least token in the window, and words, two bytes of each of its words."""
+    names = [x for x in windows.columns if x != "doc"]
+    kinds = {x.name: x.dataType.simpleString() for x in windows.schema}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in unpacked(batch, 1 << 20):
+                mine = batch.slice(at, part.num_rows)
+                at += part.num_rows
+                all_ = Words(part.column("text"))
+                lists_ = mine.column("windows")
+                flat = lists_.flatten()
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists_.offsets)))
+                reach = flat.field("at").to_numpy()
+                c = reach >> 16 & 0xFFFF
+                low = (reach >> 32) + all_.first[row]
+                high = low + c + (reach & 0xFFFF) + q
+                short = all_.hash.astype(np.uint16).tobytes()
+                words = [short[2 * s : 2 * e] for s, e in zip(low.tolist(), high.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in names), mine.column("doc").take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(words, pa.binary())], [*names, "doc", "c", "words"])
+
+    schema = ", ".join(f"{x} {kinds[x]}" for x in names) + ", doc bigint, c int, words binary"
+    by_doc = windows.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("windows"))  # as many as a document has
+    return by_doc.join(packed(texts).withColumnRenamed("doc_id", "doc"), "doc").select("doc", "windows", "packed").mapInArrow(run, schema)
+
+
+def _around(score: np.ndarray, good: np.ndarray, begin: np.ndarray, end: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval [begin, end) of tokens the first and last good one that a run around c of no negative score has; c itself if there is none."""
+    sums = np.r_[0, np.cumsum(score)]
+    # sums[c + 1 .. end] and sums[begin .. c]
+    most = np.maximum.reduceat(np.append(sums, sums[-1]), np.ravel([c + 1, end + 1], "F"))[::2]
+    least = np.minimum.reduceat(np.append(sums, sums[-1]), np.ravel([begin, c + 1], "F"))[::2]
+    size = end - begin
+    row = np.repeat(np.arange(len(begin)), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+    fit = good[at]
+    left = np.where(fit & (at <= c[row]) & (most[row] >= sums[at]), at, c[row])
+    right = np.where(fit & (at >= c[row]) & (sums[at + 1] >= least[row]), at, c[row])
+    first = np.cumsum(size) - size
+    return np.minimum.reduceat(left, first), np.maximum.reduceat(right, first)
+
+
+class _Unit:
+    """Windows of a batch of whole units, rows by unit and document, with their tokens."""
+
+    def __init__(self, batch: pa.RecordBatch, start: np.ndarray, q: int, threshold: float) -> None:
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        self.doc, self.last, self.weight = column("doc"), column("last"), column("copies")
+        n = len(self.doc)
+        self.unit = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+        raw = batch.column("words")
+        offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + n + 1].astype(np.int64)
+        words = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.uint16).astype(U64)
+        first = (offsets - offsets[0]) // 2
+        self.size = np.diff(first) - (q - 1)
+        self.begin = np.r_[0, np.cumsum(self.size)]
+        self.row = np.repeat(np.arange(n), self.size)
+        place = np.arange(self.begin[-1]) + np.repeat(first[:-1] - self.begin[:-1], self.size)
+        token = np.zeros(len(place), dtype=U64)
+        for i in range(q):
+            token *= U64(0x9E3779B97F4A7C15)
+            token += words[place + i]
+        token = mix(token)
+        # a token has 40 bits within its unit
+        value = self.unit[self.row].astype(U64) << U64(40) | token >> U64(24)
+        by = np.argsort(value)
+        new = np.r_[True, value[by][1:] != value[by][:-1]]
+        if len(by) < 1 << 31:  # a plain sort by (name, place) is quicker than a stable one
+            by = (np.sort(np.cumsum(new) << 31 | by) & ((1 << 31) - 1)).astype(np.int64)
+        row = self.row[by]
+        edge = np.flatnonzero(new)
+        self.name = np.empty(len(value), dtype=np.int64)
+        self.by, self.name[by] = by, np.cumsum(new) - 1
+        self.fresh = np.empty(len(value), dtype=bool)
+        self.fresh[by] = new | np.r_[True, row[1:] != row[:-1]]
+        low, high = np.minimum.reduceat(self.doc[row], edge), np.maximum.reduceat(self.last[row], edge)
+        self.shared = (low != high)[self.name]
+        self.c = self.begin[:-1] + column("c")
+        self.scale(threshold)
+
+    def scale(self, threshold: float) -> None:
+        good = self.fresh & self.shared
+        score = np.where(self.fresh, np.where(good, 1000, 0) - int(1000 * threshold), 0)
+        self.s, self.e = _around(score, good, self.begin[:-1], self.begin[1:], self.c)
+        names = np.r_[U64(0), np.cumsum(np.where(self.fresh, mix(self.name.astype(U64) + U64(1)), U64(0)))]
+        self.hash = names[self.e + 1] - names[self.s]
+        self.fresh_sum, self.good_sum = np.r_[0, np.cumsum(self.fresh)], np.r_[0, np.cumsum(good)]
+        self.n = self.fresh_sum[self.e + 1] - self.fresh_sum[self.s]
+        self.common = self.good_sum[self.e + 1] - self.good_sum[self.s]
+
+
+class _Places:
+    """Where each token of a unit is in each of its versions, as one flat table; and for each version its tokens as columns of that table."""
+
+    def __init__(self, u: _Unit, firsts: np.ndarray) -> None:
+        n, units = len(u.doc), int(u.unit[-1]) + 1
+        self.u = u
+        chosen = np.zeros(n, dtype=bool)
+        chosen[firsts] = True
+        inside = np.flatnonzero(chosen[u.row])
+        inside = inside[(inside >= u.s[u.row[inside]]) & (inside <= u.e[u.row[inside]])]
+        on = inside[(u.fresh & u.shared)[inside]]
+        used = np.zeros(int(u.name.max(initial=0)) + 1, dtype=bool)
+        used[u.name[on]] = True
+        column = np.cumsum(used) - 1
+        unit_of = np.zeros(len(used), dtype=np.int64)
+        unit_of[u.name[on]] = u.unit[u.row[on]]
+        width = np.bincount(unit_of[used], minlength=units)
+        column -= (np.cumsum(width) - width)[unit_of]
+        versions = np.bincount(u.unit[firsts], minlength=units)
+        size = versions * (width + 1)  # the last column is of tokens that no other version has
+        slot = np.arange(len(firsts)) - (np.cumsum(versions) - versions)[u.unit[firsts]]
+        self.fits = int(size.sum()) <= TABLE_SIZE
+        if not self.fits:
+            return
+        self.base, self.line = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.base[firsts] = (np.cumsum(size) - size)[u.unit[firsts]] + slot * (width[u.unit[firsts]] + 1)
+        self.table = np.full(int(size.sum()), -1, dtype=np.int16)
+        row = u.row[on]
+        self.table[self.base[row] + column[u.name[on]]] = on - u.s[row]
+        self.line[firsts] = np.arange(len(firsts))
+        long = int((u.e - u.s)[firsts].max(initial=0)) + 1
+        self.columns = np.repeat(width[u.unit[firsts]].astype(np.int32)[:, None], long, axis=1)
+        self.fresh = np.zeros((len(firsts), long), dtype=np.int16)
+        self.columns[self.line[row], on - u.s[row]] = column[u.name[on]]
+        self.fresh[self.line[u.row[inside]], inside - u.s[u.row[inside]]] = u.fresh[inside]
+        self.at = np.arange(long, dtype=np.int16)
+
+    def _trimmed(self, hit: np.ndarray, fresh: np.ndarray, c: np.ndarray, density: float) -> tuple[np.ndarray, np.ndarray]:
+        score = hit * np.int16(100) - fresh * np.int16(np.ceil(100 * density - 1e-9))
+        upto = np.cumsum(score, axis=1, dtype=np.int16)
+        before = upto - score
+        left, right = self.at <= c[:, None], self.at >= c[:, None]
+        most = np.where(right, upto, np.int16(-32768)).max(axis=1)
+        least = np.where(left, before, np.int16(32767)).min(axis=1)
+        left &= hit & (before <= most[:, None])
+        right &= hit & (upto >= least[:, None])
+        first, last = left.argmax(axis=1), len(self.at) - 1 - right[:, ::-1].argmax(axis=1)
+        return np.where(left.any(axis=1), first, c), np.where(right.any(axis=1), last, c)
+
+    def parts(self, a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> tuple[np.ndarray, ...]:
+        """(a's first and last token, b's, whether they are near copies) of the parts of windows a[i] and b[i] around c whose tokens the other one has.
+
+        The parts are as dense with such tokens as the threshold needs of one
+        of two windows, or if that is too little, as it needs of both.
+        """
+        u, least = self.u, int(2 * threshold * t / (1 + threshold))
+        ends = np.zeros((4, len(a)), dtype=np.int64)
+        good = np.zeros(len(a), dtype=bool)
+        step = max(1, (1 << 17) // len(self.at))
+        for i in range(0, len(a), step):
+            x, y = a[i : i + step], b[i : i + step]
+            sides = [(p, self.table[self.base[q][:, None] + self.columns[self.line[p]]], self.fresh[self.line[p]]) for p, q in ((x, y), (y, x))]
+            index = np.arange(i, i + len(x))
+            for density in (threshold, 2 * threshold / (1 + threshold)):
+                (sa, ea), (sb, eb) = (self._trimmed(other >= 0, fresh, u.c[p] - u.s[p], density) for p, other, fresh in sides)
+                p, other, _ = sides[0]
+                here = (other >= sb[:, None]) & (other <= eb[:, None]) & (other >= 0) & (self.at >= sa[:, None]) & (self.at <= ea[:, None])
+                common = here.sum(axis=1)
+                sa, ea, sb, eb = sa + u.s[x], ea + u.s[x], sb + u.s[y], eb + u.s[y]
+                na, nb = u.fresh_sum[ea + 1] - u.fresh_sum[sa], u.fresh_sum[eb + 1] - u.fresh_sum[sb]
+                ok = (common >= threshold * (na + nb - common)) & (ea - sa + 1 >= t) & (eb - sb + 1 >= t)
+                good[index[ok]] = True
+                ends[:, index[ok]] = np.stack([sa, ea, sb, eb])[:, ok]
+                on = ~ok & (common >= least)
+                if not on.any():
+                    break
+                x, y, index = x[on], y[on], index[on]
+                sides = [(p[on], other[on], fresh[on]) for p, other, fresh in sides]
+        return (*ends, good)
+
+
+def _links(batch: pa.RecordBatch, start: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None, q: int, t: int, threshold: float) -> dict[str, np.ndarray]:
+    """For each window of the units: ``lead`` (the first row of its version), links (occurrences linked with it), its linked span, the part of that span which
+    a lower document has (tokens from l; -1 if none), and ``root``, the least row that it is connected with.  With ``parts`` (part, block, whether the unit is of two parts) rows are
+    versions, and pairs of one block don't count, nor those of one part in a unit of two."""
+    u = _Unit(batch, start, q, threshold)
+    n = len(u.doc)
+    # versions: equal sets of tokens
+    least = int(2 * threshold * t / (1 + threshold))  # two passages of t tokens with fewer equal ones don't reach the threshold
+    alive = (u.common >= least) & (u.e - u.s + 1 >= t)
+    by = np.lexsort((np.arange(n), u.n, u.hash, u.unit))
+    by = by[alive[by]]
+    lead = np.arange(n)
+    if len(by):
+        new = np.r_[True, (u.hash[by][1:] != u.hash[by][:-1]) | (u.n[by][1:] != u.n[by][:-1]) | (u.unit[by][1:] != u.unit[by][:-1])]
+        if parts is not None:
+            new[:] = True
+        lead[by] = np.repeat(by[new], np.diff(np.append(np.flatnonzero(new), len(by))))
+    weight = np.bincount(lead, u.weight, n).astype(np.int64)
+    last = u.last.copy()
+    np.maximum.at(last, lead, u.last)
+    links = np.zeros(n, dtype=np.int64)
+    far = np.iinfo(np.int64).max
+    s, e, ls, le = np.full(n, far), np.full(n, -1), np.full(n, far), np.full(n, -1)
+
+    def add(i: np.ndarray, low: np.ndarray, high: np.ndarray, lower: np.ndarray) -> None:
+        np.minimum.at(s, i, low)
+        np.maximum.at(e, i, high)
+        np.minimum.at(ls, i[lower], low[lower])
+        np.maximum.at(le, i[lower], high[lower])
+
+    firsts = np.flatnonzero(alive & (lead == np.arange(n)))
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def link(a: np.ndarray, b: np.ndarray, sa: np.ndarray, ea: np.ndarray, sb: np.ndarray, eb: np.ndarray) -> None:
+        links[:] += np.bincount(a, weight[b], n).astype(np.int64) + np.bincount(b, weight[a], n).astype(np.int64)
+        add(a, sa, ea, u.doc[b] < u.doc[a])
+        add(b, sb, eb, u.doc[a] < u.doc[b])
+        edges.append((a, b))
+        nonlocal waiting
+        waiting += len(a)
+        if waiting > 1 << 19:  # a forest takes the place of the links
+            root = connected(n, *(np.concatenate(x) for x in zip(*edges, strict=True)))
+            edges[:] = [(np.flatnonzero(root != np.arange(n)), root[root != np.arange(n)])]
+            waiting = 0
+
+    places = _Places(u, firsts)
+
+    def compared(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> None:
+        """Link pairs of versions with enough common tokens, as wholes or in part."""
+        ok = ~((u.doc[a] == last[a]) & (u.doc[b] == last[b]) & (u.doc[a] == u.doc[b]))
+        if parts is not None:
+            part, block, two = parts
+            ok &= (block[a] != block[b]) & (~two[a] | (part[a] != part[b]))
+        a, b, common = a[ok], b[ok], common[ok]
+        whole = common >= threshold * (u.n[a] + u.n[b] - common)
+        link(a[whole], b[whole], u.s[a[whole]], u.e[a[whole]], u.s[b[whole]], u.e[b[whole]])
+        a, b = a[~whole], b[~whole]
+        if not len(a):
+            return
+        # where a batch has too large a table, tables of some versions take its place, one after the other
+        rows = np.unique(np.concatenate([a, b]))
+        groups = [rows] if places.fits else np.array_split(rows, -(-len(rows) // TABLE))
+        for i, one in enumerate(groups):
+            for other in groups[i:]:
+                mine = np.ones(len(a), dtype=bool) if len(groups) == 1 else (np.isin(a, one) & np.isin(b, other)) | (np.isin(a, other) & np.isin(b, one))
+                if mine.any():
+                    x, y = a[mine], b[mine]
+                    *ends, good = (places if places.fits else _Places(u, np.union1d(one, other))).parts(x, y, t, threshold)
+                    link(x[good], y[good], *(p[good] for p in ends))
+
+    # common tokens of small units: by the distance of two rows in the sorted list of a token's rows
+    which = u.unit[firsts]
+    edge = np.r_[0, np.flatnonzero(which[1:] != which[:-1]) + 1, len(firsts)]
+    k = np.diff(edge)
+    small, slot = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+    few = np.repeat((k > 1) & (k <= SMALL), k)
+    small[firsts[few]] = True
+    slot[firsts] = np.arange(len(firsts)) - np.repeat(edge[:-1], k)
+    row = u.row[u.by]
+    token = u.by[small[row] & (u.fresh & u.shared)[u.by] & (u.by >= u.s[row]) & (u.by <= u.e[row])]
+    row, name = u.row[token], u.name[token]
+    common = np.zeros(len(np.unique(u.unit)) * SMALL * SMALL if len(token) else 0, dtype=np.int64)
+    for d in range(1, SMALL):
+        pair = np.flatnonzero(name[d:] == name[:-d]) if len(name) > d else np.zeros(0, np.int64)
+        if not len(pair):
+            break
+        x, y = row[pair], row[pair + d]
+        common += np.bincount((u.unit[x] * SMALL + slot[x]) * SMALL + slot[y], minlength=len(common))
+    pair = np.flatnonzero(common >= least)
+    if len(pair):
+        begin = np.zeros(int(which[-1]) + 1, dtype=np.int64)
+        begin[which[edge[:-1]]] = edge[:-1]
+        base = begin[pair // (SMALL * SMALL)]
+        compared(firsts[base + pair // SMALL % SMALL], firsts[base + pair % SMALL], common[pair])
+    # and of others, by bitmaps
+    for f, g in zip(edge[:-1][k > SMALL].tolist(), edge[1:][k > SMALL].tolist(), strict=True):
+        rows = firsts[f:g]
+        size = u.e[rows] - u.s[rows] + 1
+        who = np.repeat(np.arange(g - f), size)
+        at = np.arange(len(who)) - np.repeat(np.cumsum(size) - size - u.s[rows], size)
+        on = u.fresh[at] & u.shared[at]
+        who = who[on]
+        names, column = np.unique(u.name[at[on]], return_inverse=True)
+        both = np.zeros((g - f, g - f), dtype=np.int16)
+        for low in range(0, len(names), 1 << 15):
+            part = (column >= low) & (column < low + (1 << 15))
+            place = column[part] - low
+            bits = np.zeros((g - f, -(-min(len(names) - low, 1 << 15) // 64) * 8), dtype=np.uint8)
+            np.bitwise_or.at(bits, (who[part], place >> 3), (1 << (place & 7)).astype(np.uint8))
+            bits = bits.view(U64)
+            step = max(1, (1 << 17) // max(1, (g - f) * bits.shape[1]))
+            for i in range(0, g - f - 1, step):
+                both[i : i + step, i + 1 :] += np.bitwise_count(bits[i : i + step, None] & bits[None, i + 1 :]).sum(axis=2, dtype=np.int16)
+        step = max(1, (1 << 19) // (g - f))
+        for i in range(0, g - f, step):
+            x, y = np.nonzero(both[i : i + step] >= least)
+            x += i
+            x, y = x[x < y], y[x < y]
+            compared(rows[x], rows[y], both[x, y].astype(np.int64))
+    # members of versions
+    member = np.flatnonzero((weight[lead] > u.weight) & (last[lead] != u.doc[lead]))
+    has_low = le >= 0
+    add(member, u.s[member], u.e[member], (u.doc[lead[member]] < u.doc[member]) | has_low[lead[member]])
+    edges.append((lead[member], member))
+    pairs = [np.concatenate(x) for x in zip(*edges, strict=True)]
+    root = connected(n, *pairs)
+    total = links[lead]
+    spread = np.flatnonzero((lead != np.arange(n)) & (links[lead] > 0))  # a version's other links are those of its first
+    add(spread, u.s[spread], u.e[spread], (u.doc[lead[spread]] < u.doc[spread]) | has_low[lead[spread]])
+    if parts is None:
+        total = total + np.where(last[lead] != u.doc[lead], weight[lead] - 1, 0)
+    base = u.begin[:-1]
+    none = e < 0
+    low = le < 0
+    return {
+        "lead": lead, "links": total, "weight": weight, "s": np.where(none, 0, s - base), "e": np.where(none, -1, e - base), "ls": np.where(low, 0, ls - base), "le": np.where(low, -1, le - base), "root": root,
+    }
+
+
+_OUT = "key bigint, block int, content bigint, first bigint, weight bigint, links bigint, c int, s int, e int, ls int, le int, root_doc bigint, root_at bigint, words binary"
+
+
+def _meet(contents: DataFrame, unit: list[str], q: int, t: int, threshold: float) -> DataFrame:
+    """_OUT of contents, by units; ``first`` is the content of the first window of a version.  First windows in blocks keep their words."""
+    pairs = unit != ["key", "block"]
 
-def _unpack(packed: bytes) -> str:
-    return pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), codec="zstd", asbytes=True).decode("utf-8", "replace")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_units(batches, unit, 1 << 20):
+            change = np.zeros(batch.num_rows, dtype=bool)
+            change[0] = True
+            for k in unit:
+                x = batch.column(k).to_numpy()
+                change[1:] |= x[1:] != x[:-1]
+            parts = (batch.column("part").to_numpy(), batch.column("block").to_numpy(), batch.column("low").to_numpy() != batch.column("high").to_numpy()) if pairs else None
+            got = _links(batch, np.flatnonzero(change), parts, q, t, threshold)
+            content, c, doc = batch.column("content").to_numpy(), batch.column("c").to_numpy(), batch.column("doc").to_numpy()
+            where = (batch.column("at").to_numpy() >> 32) + c
+            root = got["root"]
+            columns = [batch.column("key"), batch.column("block"), pa.array(content), pa.array(content[got["lead"]]), pa.array(got["weight"]), pa.array(got["links"]), pa.array(c)]
+            columns += [pa.array(got[x].astype(np.int32)) for x in ("s", "e", "ls", "le")] + [pa.array(doc[root]), pa.array(where[root])]
+            kept = np.zeros(len(doc), dtype=bool) if pairs else (batch.column("block").to_numpy() > 0) & (got["lead"] == np.arange(len(doc)))
+            columns.append(batch.column("words").take(pa.array(np.arange(len(doc)), mask=~kept)))
+            keep = (got["links"] > 0) if pairs else (got["links"] > 0) | (batch.column("block").to_numpy() > 0)
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _OUT.split(", ")]).filter(pa.array(keep))
+
+    return contents.repartition(*unit).sortWithinPartitions(*unit, "doc", "at").mapInArrow(run, _OUT)
+
+
+def linked_windows(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int = FUNCTIONS, threshold: float = THRESHOLD) -> DataFrame:
+    """Windows with a near copy in another document: doc_id, s and e (first and last token), ls and le (of the part that a lower document has,
+    le < ls if none), links, anchor (a token of it), and root_doc and root_at, a window that it is connected with."""
+    texts = one_row_each(id_text(docs))
+    met = cut(_met(texts, q, t, functions))
+    firsts = met.where("(varied or block > 0) and doc_id = doc and reach = at").select("key", "block", "content", "doc", "at", "copies", "last")
+    found = cut(_meet(_contents(firsts, texts, q), ["key", "block"], q, t, threshold))
+    same = ["key", "block", "content"]
+    edges = None
+    leads = found.where("block > 0 and content = first")
+    parts = leads.groupBy("key").agg(F.count("*").alias("n")).select("key", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("parts"))
+    if not leads.isEmpty():  # versions that are left in the blocks of a large unit
+        again = firsts.drop("copies").join(leads.select(*same, F.col("weight").alias("copies"), "c", "words"), same).join(parts, "key")
+        again = again.withColumn("part", F.expr("cast(pmod(xxhash64(doc, 2), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        again = again.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "other")
+        across = cut(_meet(again, ["key", "low", "high"], q, t, threshold))
+        summed = across.groupBy(*same).agg(F.sum("links").alias("more"), F.min("s").alias("s2"), F.max("e").alias("e2"), F.min(F.expr("if(le >= ls, ls, null)")).alias("ls2"), F.max("le").alias("le2"))
+        edges = across.select(*same, "root_doc", "root_at")
+        found = found.join(summed.select("key", "block", F.col("content").alias("first"), "more"), ["key", "block", "first"], "left").join(summed.drop("more"), same, "left")
+        found = found.select(
+            *same, "first", "weight", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"), "c", F.expr("if(s2 is null, s, if(e < s, s2, least(s, s2)))").alias("s"), F.expr("greatest(e, coalesce(e2, -1))").alias("e"),
+            F.expr("if(ls2 is null, ls, if(le < ls, ls2, least(ls, ls2)))").alias("ls"), F.expr("greatest(le, coalesce(le2, -1))").alias("le"), "root_doc", "root_at",
+        ).where("links > 0")
+    # every occurrence of a window, with what was found for its content
+    placed = met.join(found.drop("first", "weight", "words"), same, "left").where("links > 0 or doc < last")
+    l, r = F.expr("cast(shiftright(reach, 32) as int)"), F.expr("cast(shiftright(reach, 32) + (shiftright(reach, 16) & 65535) + (reach & 65535) as int)")
+    copied, later = F.expr("doc < last"), F.expr("doc_id > doc")
+    first = F.expr("cast(shiftright(at, 32) as bigint)")
+    rows = placed.select(
+        "doc_id",
+        F.when(copied, l).otherwise(l + F.col("s")).alias("s"), F.when(copied, r).otherwise(l + F.col("e")).alias("e"),
+        F.when(later, l).otherwise(l + F.coalesce("ls", F.lit(0))).alias("ls"), F.when(later, r).otherwise(l + F.coalesce("le", F.lit(-1))).alias("le"),
+        F.coalesce("links", F.col("copies") - 1).alias("links"), (l + F.coalesce("c", F.lit(0))).cast("bigint").alias("anchor"),
+        F.coalesce("root_doc", "doc").alias("root_doc"), F.coalesce("root_at", first).alias("root_at"),
+    ).where("e >= s")
+    if edges is not None:
+        more = edges.join(firsts.select(*same, "doc", "at"), same).join(found.select(*same, "c", "s", "e", "links"), same)
+        begin = F.expr("cast(shiftright(at, 32) as int)")
+        rows = rows.unionByName(
+            more.select(
+                F.col("doc").alias("doc_id"), (begin + F.col("s")).alias("s"), (begin + F.col("e")).alias("e"), begin.alias("ls"), (begin - 1).alias("le"),
+                "links", (begin + F.col("c")).cast("bigint").alias("anchor"), "root_doc", "root_at",
+            )
+        )
+    return rows
 
-def _packed(texts: DataFrame) -> DataFrame:
-    """(doc_id, packed): compressed texts, for exchanges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                data, offsets = buffers(part.column("text"))
-                raw = data.tobytes()
-                packed = [_pack(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
-
-    return texts.mapInArrow(run, "doc_id bigint, packed binary")
-
-
-def _wide(grams: bytes) -> np.ndarray:
-    """Tokens that were cut to three bytes for the exchange."""
-    wide = np.zeros((len(grams) // 3, 8), dtype=np.uint8)
-    wide[:, :3] = np.frombuffer(grams, dtype=np.uint8).reshape(-1, 3)
-    return wide.view(U64).ravel()
-
-
-def _trimmed(shared: np.ndarray, c: int, threshold: float) -> tuple[int, int]:
-    """The first and last shared token that a run around c has which is shared to the threshold."""
-    sums = np.r_[0.0, np.cumsum(shared - threshold)]
-    at = np.flatnonzero(shared)
-    left, right = at[at <= c], at[at >= c]
-    from_, to = left[sums[c + 1 :].max() - sums[left] > -1e-6], right[sums[right + 1] - sums[: c + 1].min() > -1e-6]
-    return int(from_[0]) if len(from_) else c, int(to[-1]) if len(to) else c
-
-
-def _versions(rows: list[int], windows: list[np.ndarray]) -> tuple[list[int], list[tuple[int, int]]]:
-    """(first rows of windows of equal token sets, (first, other) of such windows)."""
-    first: dict[bytes, int] = {}
-    copies = []
-    for i, window in zip(rows, windows, strict=True):
-        one = first.setdefault(np.unique(window).tobytes(), i)
-        if one != i:
-            copies.append((one, i))
-    return list(first.values()), copies
-
-
-def _window_links(key: np.ndarray, doc: np.ndarray, reach: np.ndarray, c: np.ndarray, grams: list[bytes], t: int, threshold: float) -> tuple[list, list, list, list]:
-    """(doc_a, a's reach, doc_b, b's reach) of windows, sorted by key and doc_id, that may hold a near copy."""
-    size = np.array([len(g) // 3 for g in grams])
-    begin = np.r_[0, np.cumsum(size)]
-    row = np.repeat(np.arange(len(size)), size)
-    group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-    values = (group[row].astype(U64) << U64(32)) | _wide(b"".join(grams))
-    order = np.argsort(values, kind="stable")
-    edges = np.flatnonzero(np.r_[True, values[order][1:] != values[order][:-1], True])
-    name = np.empty(len(values), dtype=np.int64)
-    name[order] = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    # rows come by doc_id: a token is shared when its first and last row are of two documents
-    shared = (doc[row[order[edges[:-1]]]] != doc[row[order[edges[1:] - 1]]])[name]
-    least = int(threshold * t)  # fewer equal tokens make no passage of t tokens
-    alive = np.flatnonzero(np.add.reduceat(shared.astype(np.int64), begin[:-1]) >= least)
-    out: tuple[list, list, list, list] = ([], [], [], [])
-
-    def link(i: int, j: int, wi: tuple[int, int], wj: tuple[int, int]) -> None:
-        if doc[i] != doc[j]:
-            for column, (x, w) in zip((0, 2), ((i, wi), (j, wj)), strict=True):
-                base = int(reach[x]) >> 32
-                out[column].append(int(doc[x]))
-                out[column + 1].append((base + w[0]) << 32 | (base + w[1]))
-
-    for rows in np.split(alive, np.flatnonzero(np.diff(group[alive])) + 1):
-        if len(rows) < 2:
-            continue
-        trim = {i: _trimmed(shared[begin[i] : begin[i + 1]], int(c[i]), threshold) for i in rows.tolist()}
-        firsts, copies = _versions(list(trim), [name[begin[i] + s : begin[i] + e + 1] for i, (s, e) in trim.items()])
-        for i, j in copies:
-            link(i, j, trim[i], trim[j])
-        if len(firsts) < 2:
-            continue
-        parts = [name[begin[i] + trim[i][0] : begin[i] + trim[i][1] + 1] for i in firsts]
-        who = np.repeat(np.arange(len(firsts)), [len(p) for p in parts])
-        every = np.concatenate(parts)
-        by = np.argsort(every, kind="stable")
-        every, who = every[by], who[by]
-        for k, p in enumerate(parts[:-1]):
-            p = np.unique(p)
-            lo, hi = np.searchsorted(every, p), np.searchsorted(every, p, side="right")
-            n = hi - lo
-            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            common = np.bincount(who[at], minlength=len(firsts))
-            for m in (np.flatnonzero(common[k + 1 :] >= least) + k + 1).tolist():
-                link(firsts[k], firsts[m], trim[firsts[k]], trim[firsts[m]])
-    return out
-
-
-def _regions(links: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(b's first and last token, a's) of links joined where they overlap in both documents."""
-    links = sorted((x["b"] >> 32, x["b"] & 0xFFFFFFFF, x["a"] >> 32, x["a"] & 0xFFFFFFFF) for x in links)
-    regions: list[list] = []
-    open_regions: list[list] = []
-    for bl, br, al, ar in links:
-        # links come by their begin in b: a region that ends before it meets no further one
-        open_regions = [region for region in open_regions if region[1] >= bl]
-        for region in reversed(open_regions):
-            if al <= region[3] and ar >= region[2]:
-                region[1], region[2], region[3] = max(region[1], br), min(region[2], al), max(region[3], ar)
-                break
-        else:
-            open_regions.append([bl, br, al, ar])
-            regions.append(open_regions[-1])
-    return [tuple(r) for r in regions]
+def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int = FUNCTIONS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, start, stop (words of a passage), class_doc, class_start (the first passage of its class), links."""
+    rows = linked_windows(docs, q, t, functions, threshold)
+    by = Window.partitionBy("doc_id").orderBy("s", "e")
+    before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1))
+    rows = rows.withColumn("passage", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = cut(rows.select("doc_id", "passage", "s", "e", "links", "root_doc", "root_at"))
+    # numbers in a table that is written, so that they stay; 64 bits for the rounds of the components
+    passages = rows.groupBy("doc_id", "passage").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("links").alias("links"))
+    passages = cut(passages.withColumn("id", F.monotonically_increasing_id()))
+    anchors = rows.select("root_doc", "root_at").distinct()
+    named = anchors.join(passages.select(F.col("doc_id").alias("root_doc"), "s", "e", F.col("id").alias("root")), "root_doc").where("root_at between s and e").select("root_doc", "root_at", "root")
+    linked = rows.select("doc_id", "passage", "root_doc", "root_at").distinct().join(passages.select("doc_id", "passage", "id"), ["doc_id", "passage"])
+    roots = components(linked.join(named, ["root_doc", "root_at"]).select(F.col("id").alias("doc_a"), F.col("root").alias("doc_b")))
+    of = passages.join(roots.withColumnRenamed("doc_id", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = of.groupBy("root").agg(F.min(F.struct("doc_id", "s")).alias("first"))
+    return of.join(least, "root").select("doc_id", F.col("s").alias("start"), (F.col("e") + q).alias("stop"), F.col("first.doc_id").alias("class_doc"), F.col("first.s").alias("class_start"), "links")
 
 
 def _runs(mask: np.ndarray, gap: int) -> list[tuple[int, int]]:
@@ -244,187 +570,6 @@ def _runs(mask: np.ndarray, gap: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, breaks + 1]].tolist(), (at[np.r_[breaks, len(at) - 1]] + 1).tolist(), strict=True))
 
 
-def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The position in a of each token of b, or -1; of several, the one nearest to the diagonal of the last token that is once in a."""
-    order = np.argsort(a, kind="stable")
-    lo, hi = np.searchsorted(a[order], b), np.searchsorted(a[order], b, side="right")
-    at = np.where(hi > lo, order[np.minimum(lo, len(a) - 1)], -1)
-    single = np.flatnonzero(hi - lo == 1)
-    for i in np.flatnonzero(hi - lo > 1).tolist():
-        near = single[max(np.searchsorted(single, i) - 1, 0)] if len(single) else i
-        places = order[lo[i] : hi[i]]
-        at[i] = places[np.abs(places - i - (at[near] - near)).argmin()]
-    return at
-
-
-def _chain(start: np.ndarray, stop: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Of blocks by their order in b, those of the longest sequence that is in order in a too."""
-    best, before = size.copy(), np.full(len(size), -1)
-    for y in range(1, len(size)):
-        fits = np.where(stop[:y] <= start[y], best[:y], 0)
-        if fits.max() > 0:
-            before[y] = fits.argmax()
-            best[y] += fits.max()
-    way = [int(best.argmax())]
-    while before[way[-1]] >= 0:
-        way.append(int(before[way[-1]]))
-    return np.array(way[::-1])
-
-
-def verify(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
-    """(a_start, a_stop, b_start, b_stop, jaccard) of the near-duplicate runs of tokens of b in a.
-
-    A run goes from one block of equal tokens to another one, over whatever lies
-    between, as far as its similarity stays at the threshold.
-    """
-    if not len(a) or not len(b):
-        return []
-    at = _matches(a, b)
-    here = np.flatnonzero(at >= 0)
-    if not len(here):
-        return []
-    step = at[here[1:]] - at[here[:-1]]
-    cut_ = np.flatnonzero((np.diff(here) > 1) | (step < 0) | (step > 1))
-    first, last = here[np.r_[0, cut_ + 1]], here[np.r_[cut_, len(here) - 1]]
-    fresh = np.zeros(len(b), dtype=bool)
-    fresh[np.unique(b, return_index=True)[1]] = True
-    missing = np.r_[0, np.cumsum(fresh & (at < 0))]
-    fresh = np.zeros(len(a), dtype=bool)
-    fresh[np.unique(a, return_index=True)[1]] = True
-    lacking = np.r_[0, np.cumsum(fresh & ~np.isin(a, b))]
-    found: list[tuple[int, int, int, int, float]] = []
-
-    def similarity(start: int, stop: int, low: int, high: int) -> tuple[float, int, int]:
-        if high - low == stop - start and (np.diff(at[start:stop]) == 1).all():
-            return 1.0, low, high
-        part = np.unique(b[start:stop])
-        inside = np.isin(a, part)
-        outside = np.flatnonzero(~inside)
-        left, right = outside[outside < low], outside[outside >= high]
-        low, high = int(left[-1]) + 1 if len(left) else 0, int(right[0]) if len(right) else len(a)
-        other = np.unique(a[low:high])
-        common = len(np.intersect1d(part, other, assume_unique=True))
-        return common / (len(part) + len(other) - common), low, high
-
-    def longest(first: np.ndarray, last: np.ndarray) -> None:
-        todo = [(0, len(first))]
-        while todo:
-            x, end = todo.pop()
-            best: tuple = ()
-            for i in range(x, end):
-                if last[end - 1] + 1 - first[i] < (best[3] - best[2] + 1 if best else t):
-                    break
-                least = max(t, best[3] - best[2] + 1) if best else t
-                stop = last[i:end] + 1
-                # unshared tokens alone, of b and of a, may rule a run out
-                size = stop - first[i]
-                alone = lacking[at[last[i:end]] + 1] - lacking[at[first[i]]]
-                may = np.flatnonzero((size >= least) & (size - (missing[stop] - missing[first[i]]) >= threshold * (size + alone) - 1e-6))
-                for j in (may[::-1] + i).tolist():
-                    jaccard, low, high = similarity(int(first[i]), int(last[j]) + 1, int(at[first[i]]), int(at[last[j]]) + 1)
-                    if jaccard >= threshold and high - low >= t:
-                        best = (low, high, int(first[i]), int(last[j]) + 1, jaccard, i, j)
-                        break
-            if best:
-                found.append(best[:5])
-                todo += [(x, best[5]), (best[6] + 1, end)]
-
-    while len(first):
-        way = _chain(at[first], at[last] + 1, last + 1 - first)
-        if (last[way] + 1 - first[way]).sum() < int(threshold * t):
-            break
-        longest(first[way], last[way])
-        left = np.ones(len(first), dtype=bool)
-        left[way] = False
-        first, last = first[left], last[left]
-    return found
-
-
-def near_passages(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int = FUNCTIONS, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of near-duplicate passages: words [a_start, a_stop) of doc_a and [b_start, b_stop) of doc_b > doc_a."""
-    texts = id_text(docs).where("doc_id is not null")
-    windows = _windows(texts, q, t, functions)
-    by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "content")
-    met = windows.withColumns({"low": F.min("doc_id").over(by_key), "high": F.max("doc_id").over(by_key), "least": F.min("content").over(by_key), "most": F.max("content").over(by_key)})
-    met = cut(met.where("low < high").withColumn("one", F.min(F.struct("doc_id", "reach")).over(by_both)).selectExpr("key", "doc_id", "reach", "one", "least < most as varied"))
-    copies = met.where("doc_id != one.doc_id").selectExpr("one.doc_id as doc_a", "one.reach as a", "doc_id as doc_b", "reach as b")
-    # texts are exchanged once by doc_id, packed, for all joins
-    single = _packed(texts).groupBy("doc_id").agg(F.min("packed").alias("packed"))
-    varied = met.where("varied and doc_id = one.doc_id and reach = one.reach").groupBy("doc_id").agg(F.collect_set(F.struct("key", "reach")).alias("windows"))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, found_, packed in zip(*(batch.column(x) for x in ("doc_id", "windows", "packed")), strict=True):
-                mine = _tokens(pa.array([_unpack(packed.as_py())]), q)[0]
-                key, reach = (found_.values.field(x).to_numpy() for x in ("key", "reach"))
-                left, right = reach >> 32, reach & 0xFFFFFFFF
-                inside = right < len(mine)  # rows of one doc_id may have other texts
-                key, reach, left, right = key[inside], reach[inside], left[inside], right[inside]
-                short = mine.view(np.uint8).reshape(-1, 8)[:, :3]
-                hashed = [mix(mine ^ _SEEDS[f]) for f in range(functions)]
-                c = [int(hashed[k & 63][s : e + 1].argmin()) for k, s, e in zip(key.tolist(), left.tolist(), right.tolist(), strict=True)]
-                grams = [short[s : e + 1].tobytes() for s, e in zip(left.tolist(), right.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([doc.as_py()] * len(key), pa.int64()), pa.array(reach), pa.array(c, pa.int32()), pa.array(grams, pa.binary())], ["key", "doc_id", "reach", "c", "grams"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(table: pa.Table) -> pa.RecordBatch:
-            columns = _window_links(*(table.column(x).to_numpy() for x in ("key", "doc_id", "reach", "c")), table.column("grams").to_pylist(), t, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_a", "a", "doc_b", "b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # the last key of a batch may go on in the next one
-            key = batch.column("key").to_numpy()
-            start = int(np.flatnonzero(key == key[-1])[0])
-            if start or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                yield out(pa.Table.from_batches([*held, batch.slice(0, start)]))
-                held = []
-            held.append(batch.slice(start))
-        if held:
-            yield out(pa.Table.from_batches(held))
-
-    contents = varied.join(single, "doc_id").select("doc_id", "windows", "packed").mapInArrow(tokens, "key bigint, doc_id bigint, reach bigint, c int, grams binary")
-    near = contents.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(meet, "doc_a bigint, a bigint, doc_b bigint, b bigint")
-    pairs = copies.unionByName(near).groupBy("doc_a", "doc_b").agg(F.collect_set(F.struct("b", "a")).alias("links"))
-
-    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, words = None, None
-        for batch in batches:
-            rows = []
-            for a, b, links, packed in zip(*(batch.column(x).to_pylist() for x in ("doc_a", "doc_b", "links", "packed")), strict=True):
-                if b != at:
-                    at, words = b, Words(pa.array([_unpack(packed)]))
-                for bl, br, al, ar in _regions(links):
-                    if br + q > len(words.end):  # a row of this doc_id with another text
-                        continue
-                    rows.append((a, b, bl, al, ar, _pack(words.data[words.start[bl] : words.end[br + q - 1]].tobytes())))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_a", "doc_b", "bl", "al", "ar", "part"])
-
-    found = pairs.join(single, pairs.doc_b == single.doc_id).select("doc_a", "doc_b", "links", "packed").mapInArrow(regions, "doc_a bigint, doc_b bigint, bl int, al int, ar int, part binary")
-    sides = found.join(single.withColumnRenamed("doc_id", "doc_a"), "doc_a")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, np.zeros(0, U64)
-        for batch in batches:
-            rows = []
-            column = batch.column("packed")
-            for i, (a, b, bl, al, ar, part) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc_a", "doc_b", "bl", "al", "ar", "part")), strict=True)):
-                if a != at:
-                    at, mine = a, _tokens(pa.array([_unpack(column[i].as_py())]), q)[0]
-                theirs = _tokens(pa.array([_unpack(part)]), q)[0]
-                for s, e, bs, be, jaccard in verify(mine[al : ar + 1], theirs, t, threshold):
-                    rows.append((a, al + s, al + e + q - 1, b, bl + bs, bl + be + q - 1, jaccard))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
-
-    return sides.select("doc_a", "doc_b", "bl", "al", "ar", "part", "packed").mapInArrow(check, RESULT).distinct()
-
-
 def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs without the words [start, stop) of spans (doc_id, start, stop), by doc_id.
 
@@ -432,10 +577,11 @@ def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     that loses its last word is dropped; n_chars, if there is such a column,
     is the new length of changed rows.
     """
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
+    at = unused("spans", docs)
+    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias(at))
     sized = "n_chars" in docs.columns
     names, kept = docs.columns, StructType(list(docs.schema))
-    joined = docs.join(by_doc, "doc_id", "left").select(*[f"`{c}`" for c in names], "__spans")
+    joined = docs.join(by_doc, "doc_id", "left").select(*map(quoted, names), at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,7 +589,7 @@ def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 words = Words(part.column("text"))
                 texts = part.column("text").to_pylist()
                 keep = np.ones(len(texts), dtype=bool)
-                for i, cuts in enumerate(part.column("__spans").to_pylist()):
+                for i, cuts in enumerate(part.column(at).to_pylist()):
                     if not cuts or texts[i] is None:
                         continue
                     base, last = words.first[i], words.first[i + 1]
@@ -453,25 +599,25 @@ def cut_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     if gone.all():
                         keep[i] = False
                         continue
-                    left, at, raw = [], words.offsets[i], words.data
+                    left, here, raw = [], words.offsets[i], words.data
                     for s, e in _runs(gone, 0):
-                        left.append(raw[at : words.start[base + s]].tobytes())
-                        at = words.start[base + e] if base + e < last else words.offsets[i + 1]
-                    left.append(raw[at : words.offsets[i + 1]].tobytes())
+                        left.append(raw[here : words.start[base + s]].tobytes())
+                        here = words.start[base + e] if base + e < last else words.offsets[i + 1]
+                    left.append(raw[here : words.offsets[i + 1]].tobytes())
                     texts[i] = b"".join(left).decode("utf-8", "replace")
                 columns = {c: part.column(c) for c in names}
                 changed = pa.array(texts, pa.string())
                 if sized:
                     old = columns["n_chars"].to_pylist()
-                    spans_at = part.column("__spans").is_valid().to_pylist()
+                    spans_at = part.column(at).is_valid().to_pylist()
                     columns["n_chars"] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(texts, spans_at, old, strict=True)], columns["n_chars"].type)
                 columns["text"] = changed
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(keep))
 
-    return joined.withColumn("text", F.col("text").cast(StringType())).mapInArrow(run, kept)
+    return map_rows(joined.withColumn("text", F.col("text").cast(StringType())), run, kept)
 
 
-def drop_passages(docs: DataFrame, **options) -> DataFrame:
+def drop_passages(docs: DataFrame, q: int = Q, **options) -> DataFrame:
     """docs, each passage that is nearly in a document of lower doc_id cut out."""
-    found = near_passages(docs, **options)
-    return cut_passages(docs, found.select(F.col("doc_b").alias("doc_id"), F.col("b_start").alias("start"), F.col("b_stop").alias("stop")))
+    found = linked_windows(docs, q, **options).where("le >= ls")
+    return cut_passages(docs, found.select("doc_id", F.col("ls").alias("start"), (F.col("le") + q).alias("stop")))

@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 
-from foliospark.llm.passages import compact_windows, cut_passages, drop_passages, near_passages
+from foliospark.llm import _spark, passages
+from foliospark.llm.passages import compact_windows, cut_passages, drop_passages, linked_windows, near_passages
 
 SCHEMA = "doc_id long, text string"
 
@@ -30,13 +31,13 @@ def test_windows_hold_each_subsequence_once():
 def corpus(edits):
     rng = random.Random(edits)
     words = [f"w{i}" for i in range(2000)]
-    passages = [[rng.choice(words) for _ in range(rng.randrange(55, 90))] for _ in range(12)]
+    shared = [[rng.choice(words) for _ in range(rng.randrange(55, 90))] for _ in range(12)]
     rows, planted = [], {}
     for d in range(120):
         text = [rng.choice(words) for _ in range(rng.randrange(10, 150))]
         if d % 2:
-            copy = list(passages[rng.randrange(12)])
-            which = passages.index(copy)
+            copy = list(shared[rng.randrange(12)])
+            which = shared.index(copy)
             for _ in range(edits):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             at = rng.randrange(len(text))
@@ -50,18 +51,20 @@ def test_recall(spark):
     for edits, least in ((0, 1.0), (1, 0.9)):
         rows, planted = corpus(edits)
         got = near_passages(spark.createDataFrame(rows, SCHEMA)).collect()
-        covered = {}
+        covered, of = {}, {}
         for r in got:
-            covered.setdefault(r.doc_a, set()).update(range(r.a_start, r.a_stop))
-            covered.setdefault(r.doc_b, set()).update(range(r.b_start, r.b_stop))
-            assert r.doc_a < r.doc_b
+            covered.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+            of.setdefault((r.class_doc, r.class_start), set()).add(r.doc_id)
+            assert (r.class_doc, r.class_start) <= (r.doc_id, r.start)
         want = [x for group in planted.values() if len(group) > 1 for x in group]
         assert sum(len(covered.get(d, set()) & set(range(s, e))) >= 0.7 * (e - s) for d, s, e in want) >= least * len(want)
         assert all(d % 2 for d in covered)  # clean documents have none
-        sets = {d: split(t) for d, t in rows}
-        for r in got:  # the similarity is exact
-            x, y = ({tuple(sets[d][i : i + 5]) for i in range(s, e - 4)} for d, s, e in ((r.doc_a, r.a_start, r.a_stop), (r.doc_b, r.b_start, r.b_stop)))
-            assert abs(len(x & y) / len(x | y) - r.jaccard) < 1e-9 and r.jaccard >= 0.7
+        groups = [{d for d, _, _ in group} for group in planted.values()]
+        assert all(len(docs) > 1 and any(docs <= group for group in groups) for docs in of.values())  # a class is of one passage
+        sizes = {d: len(group) for group in groups for d in group}
+        assert all(0 < r.links < sizes[r.doc_id] for r in got)
+        if not edits:
+            assert all(r.links == sizes[r.doc_id] - 1 for r in got)
 
 
 def test_documents_against_brute_force(spark, sf):
@@ -76,8 +79,8 @@ def test_documents_against_brute_force(spark, sf):
             if seen.setdefault(key, d) != d:
                 want.add((d, i + 26))
     got = set()
-    for r in near_passages(docs).collect():
-        got.update((r.doc_b, i) for i in range(r.b_start, r.b_stop))
+    for r in linked_windows(docs).where("le >= ls").collect():
+        got.update((r.doc_id, i) for i in range(r.ls, r.le + 5))
     assert len(want & got) >= 0.9 * len(want) > 0
 
 
@@ -85,8 +88,7 @@ def test_cut_and_edges(spark):
     passage = " ".join(f"word{i}" for i in range(60))
     rows = [(1, None), (2, ""), (3, "Start. " + passage + ", end!"), (4, "Other; " + passage.upper() + " tail."), (5, passage), (None, passage), (3, "Start. " + passage + ", end!"), (6, "é " * 50_000)]
     docs = spark.createDataFrame([(*r, len(r[1] or ""), "k") for r in rows], SCHEMA + ", n_chars long, key string")
-    found = {(r.doc_a, r.doc_b, r.b_start, r.b_stop) for r in near_passages(docs).collect()}
-    assert found == {(3, 4, 1, 61), (3, 5, 0, 60)}
+    assert {tuple(r) for r in near_passages(docs).collect()} == {(3, 1, 61, 3, 1, 2), (4, 1, 61, 3, 1, 2), (5, 0, 60, 3, 1, 2)}
     kept = drop_passages(docs)
     assert kept.columns == docs.columns
     texts = {(r.doc_id, r.text, r.n_chars) for r in kept.collect() if r.doc_id != 6}
@@ -96,24 +98,12 @@ def test_cut_and_edges(spark):
     assert {r.text for r in cut_passages(docs.where("doc_id = 3"), spans).collect()} == {passage[: passage.index("word59")]}
 
 
-def found_pairs(got):
-    """All pairs that the factored form holds: those of its rows, and those of an exact copy's first document."""
-    direct = {(r.doc_a, r.doc_b) for r in got}
-    firsts = {}
-    for r in got:
-        if r.jaccard == 1:
-            firsts.setdefault(r.doc_b, {r.doc_b}).add(r.doc_a)
-    docs = sorted({d for pair in direct for d in pair})
-    near = direct | {(d, d) for d in docs}
-    return {(x, y) for x in docs for y in docs if x < y and any((min(a, b), max(a, b)) in near for a in firsts.get(x, {x}) for b in firsts.get(y, {y}))}
-
-
-def test_pair_recall_in_groups(spark):
-    """Every member of a group is a query: all pairs of a group, not only those with its first documents."""
+def test_links_in_groups(spark, monkeypatch):
+    """Every member of a group is a query: links are counted with all others, whether a group is one unit or many blocks."""
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
     rows, want = [], {}
-    for edits, n in ((1, 5), (1, 5), (1, 5), (1, 5), (1, 20), (1, 50), (0, 20)):
+    for group, (edits, n) in enumerate(((1, 5), (1, 5), (1, 5), (1, 5), (1, 20), (1, 50), (0, 20))):
         passage, members = [rng.choice(words) for _ in range(75)], []
         for _ in range(n):
             copy = list(passage)
@@ -121,11 +111,45 @@ def test_pair_recall_in_groups(spark):
                 copy[rng.randrange(75)] = rng.choice(words)
             members.append((len(rows), {tuple(copy[i : i + 5]) for i in range(71)}))
             rows.append((len(rows), " ".join([*rng.choices(words, k=rng.randrange(60)), *copy, *rng.choices(words, k=rng.randrange(60))])))
-        pairs = {(a, b) for i, (a, x) in enumerate(members) for b, y in members[i + 1 :] if len(x & y) >= 0.7 * len(x | y)}
-        want.setdefault((edits, n), set()).update(pairs)
-    found = found_pairs(near_passages(spark.createDataFrame(rows, SCHEMA)).collect())
-    for kind, pairs in want.items():
-        assert len(pairs & found) >= 0.9 * len(pairs) > 0, (kind, len(pairs & found), len(pairs))
+        for d, x in members:
+            want[d] = (members[0][0], sum(len(x & y) >= 0.7 * len(x | y) for e, y in members if e != d), (edits, n))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for block in (passages.BLOCK, 6):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = {}
+        for r in near_passages(docs).collect():
+            got[r.doc_id] = (r.class_doc, max(r.links, got.get(r.doc_id, (0, 0))[1]))
+        for kind in {k for _, _, k in want.values()}:
+            docs_ = [d for d in want if want[d][2] == kind]
+            links, most = sum(got.get(d, (0, 0))[1] for d in docs_), sum(want[d][1] for d in docs_)
+            assert 0.9 * most <= links <= 1.02 * most, (block, kind, links, most)
+            assert sum(got.get(d, (-1, 0))[0] == want[d][0] for d in docs_) >= 0.9 * len(docs_)
+
+
+def test_salted_values(spark, monkeypatch):
+    """A passage that is in most documents is found in all of them, though its windows are spread."""
+    monkeypatch.setattr(_spark, "HOT", 2)
+    monkeypatch.setattr(_spark, "SAMPLE", 2)
+    monkeypatch.setattr(_spark, "SALTED", 16)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=60)
+    rows = [(d, " ".join([*rng.choices(words, k=50), *(passage if d % 3 else []), *rng.choices(words, k=50)])) for d in range(90)]
+    got = {r.doc_id: r for r in near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == {d for d in range(90) if d % 3}
+    assert all((r.class_doc, r.links) == (1, 59) and r.start <= 50 and r.stop >= 110 for r in got.values())
+    kept = {r.doc_id: len(r.text.split()) for r in drop_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(kept[d] == (160 if d == 1 else 100) for d in kept if d % 3)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """The row with the least text is the document."""
+    rng = random.Random(7)
+    passage = " ".join(rng.choices([f"w{i}" for i in range(3000)], k=120))
+    docs = spark.createDataFrame([(1, "a b", 0), (1, passage, 0), (2, passage, 0), (3, "zz " + passage, 0)], SCHEMA + ", __spans int")
+    assert {tuple(r) for r in near_passages(docs).collect()} == {(2, 0, 120, 2, 0, 1), (3, 1, 121, 2, 0, 1)}
+    spans = docs.selectExpr("doc_id", "0 as start", "1 as stop").where("doc_id = 3")
+    assert cut_passages(docs, spans).columns == docs.columns
 
 
 def test_partial_copies_at_a_lower_doc_id(spark):
@@ -140,7 +164,7 @@ def test_partial_copies_at_a_lower_doc_id(spark):
             rows.append((len(rows), " ".join([*rng.choices(words, k=60), *copy, *rng.choices(words, k=60)])))
         want.add((len(rows) - 2, len(rows) - 1))
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert {(r.doc_a, r.doc_b) for r in near_passages(docs).collect()} == want
+    assert {(r.class_doc, r.doc_id) for r in near_passages(docs).collect() if r.doc_id != r.class_doc} == want
     kept = {r.doc_id: len(r.text.split()) for r in drop_passages(docs).collect()}
     assert all(kept[a] == 175 and kept[b] <= 120 for a, b in want)
 
@@ -161,7 +185,7 @@ def test_edits_that_lie_together(spark):
             for copy in (passage, change(passage)):
                 rows.append((len(rows), " ".join([*rng.choices(words, k=30), *copy, *rng.choices(words, k=30)])))
         got = near_passages(spark.createDataFrame(rows, SCHEMA)).collect()
-        whole = {(r.doc_a, r.doc_b) for r in got if r.b_stop - r.b_start >= 85 and 0.8 < r.jaccard < 1}
+        whole = {(r.class_doc, r.doc_id) for r in got if r.doc_id != r.class_doc and r.stop - r.start >= 85}
         assert len(whole) >= 18, edit
 
 
@@ -177,5 +201,5 @@ def test_passages_with_an_edit_near_an_end(spark):
         for one in (passage, copy):
             rows.append((len(rows), " ".join([*rng.choices(words, k=30), *one, *rng.choices(words, k=30)])))
         want.add((len(rows) - 2, len(rows) - 1))
-    found = {(r.doc_a, r.doc_b) for r in near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = {(r.class_doc, r.doc_id) for r in near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(found & want) >= 0.9 * len(want)
