@@ -7,6 +7,7 @@ classes, so both dialects agree with it.  A replacement refers to a group as $1.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 INLINE = r"\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 W, H = f"[{BLANKS}]", f"[{INLINE}]"
+BLANK_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 DIGIT, WORD = r"\p{Nd}", r"[\p{L}\p{N}_]"
 LINE_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -24,6 +26,7 @@ class Rule(NamedTuple):
     pattern: str
     replacement: str = ""
     flags: str = ""  # of i, m, s
+    needs: tuple[str, ...] = ()  # a text without any of these has no match
 
     @property
     def java(self) -> str:
@@ -36,18 +39,30 @@ class Rule(NamedTuple):
 
 
 def replace_all(text: Column, rules: Iterable[Rule]) -> Column:
+    """text after all rules in turn; a search for what a rule needs spares most texts its pattern."""
     for rule in rules:
-        text = F.regexp_replace(text, rule.java, rule.replacement)
+        if rule.needs:
+            text = let(text, _sparing(rule))
+        else:
+            text = F.regexp_replace(text, rule.java, rule.replacement)
     return text
 
 
+def _sparing(rule: Rule) -> Callable[[Column], Column]:
+    def replaced(text: Column) -> Column:
+        there = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in rule.needs])
+        return F.when(there, F.regexp_replace(text, rule.java, rule.replacement)).otherwise(text)
+
+    return replaced
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]
 
 
 def strip(text: Column) -> Column:
-    return replace_all(text, STRIP)
+    return F.trim(text, F.lit(BLANK_CHARACTERS))
 
 
 STRIP = (Rule(rf"\A{W}+"), Rule(rf"{W}+\z"))

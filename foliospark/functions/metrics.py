@@ -172,21 +172,22 @@ def bleu(prediction: str, reference: str, order: int = 4) -> float:
     return math.exp(logs / order) * (1.0 if ratio > 1 else math.exp(1 - 1 / ratio))
 
 
-SCORES = StructType().add("distance", IntegerType()).add("repetition", BooleanType()).add("bleu", DoubleType())
-
-
-@F.arrow_udf(SCORES)
-def text_scores(prediction: pa.Array, reference: pa.Array) -> pa.Array:
-    """(distance, repetition, bleu); a null is an empty text."""
-    pairs = [(p or "", g or "") for p, g in zip(prediction.to_pylist(), reference.to_pylist(), strict=True)]
-    return pa.StructArray.from_arrays(
-        [
-            pa.array([edit_distance(p, g) for p, g in pairs], pa.int32()),
-            pa.array([tail_repeats(p) for p, _ in pairs], pa.bool_()),
-            pa.array([bleu(p, g) if p.strip() else 0.0 for p, g in pairs], pa.float64()),
-        ],
-        ["distance", "repetition", "bleu"],
-    )
+SCORES = {"distance": (IntegerType(), pa.int32()), "repetition": (BooleanType(), pa.bool_()), "bleu": (DoubleType(), pa.float64())}
+_SCORE = {"distance": edit_distance, "repetition": lambda p, _: tail_repeats(p), "bleu": lambda p, g: bleu(p, g) if p.strip() else 0.0}
+
+
+def text_scores(prediction: Column, reference: Column, wanted: tuple[str, ...] = tuple(SCORES)) -> Column:
+    """A struct of the wanted ones of distance, repetition, bleu, in one exchange with the workers; a null is an empty text."""
+    kind = StructType()
+    for name in wanted:
+        kind = kind.add(name, SCORES[name][0])
+
+    @F.arrow_udf(kind)
+    def scores(prediction: pa.Array, reference: pa.Array) -> pa.Array:
+        pairs = [(p or "", g or "") for p, g in zip(prediction.to_pylist(), reference.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([_SCORE[name](p, g) for p, g in pairs], SCORES[name][1]) for name in wanted], list(wanted))
+
+    return scores(prediction, reference)
 
 
 @F.arrow_udf(IntegerType())

@@ -132,35 +132,37 @@ _VALUE = "|".join((r'"[^"]*"', r"'[^']*'", rf"[^{W[1:-1]}>]+"))
 _LINES = "caption|div|h[1-6]|li|ol|p|pre|table|tr|ul"
 _INLINE = "a|b|big|caption|chem|code|div|em|h[1-6]|i|math|ol|p|pre|small|span|strong|sub|sup|table|tbody|td|tfoot|th|thead|tr|u|ul"
 
+_TAG, _LINE = ("<",), ("\n",)
+
 BEFORE_ENTITIES = (
-    Rule(r"!\[[^\]]*\]\([^)]+\)"),
-    Rule(r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    Rule(_opening("input", rf"[^>]*\bchecked(?:=(?:{_VALUE}))?"), "[x]", "is"),
-    Rule(_opening("input"), "[ ]", "is"),
-    *(Rule(rf"<{W}*{name}{W}*/?{W}*>", "\n", "i") for name in ("br", "hr")),
-    Rule(rf"</{W}*(?:{_LINES}){W}*>", "\n", "i"),
-    Rule(rf"</{W}*t[dh]{W}*>", " | ", "i"),
-    Rule(_opening("li"), "", "i"),
-    Rule(rf"</?{W}*(?:{_INLINE})\b[^>]*>", "", "i"),
-    Rule(_opening("img"), "", "i"),
+    Rule(r"!\[[^\]]*\]\([^)]+\)", needs=("![",)),
+    Rule(r"\[([^\]]+)\]\([^)]+\)", "$1", needs=("](",)),
+    Rule(_opening("input", rf"[^>]*\bchecked(?:=(?:{_VALUE}))?"), "[x]", "is", _TAG),
+    Rule(_opening("input"), "[ ]", "is", _TAG),
+    *(Rule(rf"<{W}*{name}{W}*/?{W}*>", "\n", "i", _TAG) for name in ("br", "hr")),
+    Rule(rf"</{W}*(?:{_LINES}){W}*>", "\n", "i", _TAG),
+    Rule(rf"</{W}*t[dh]{W}*>", " | ", "i", _TAG),
+    Rule(_opening("li"), "", "i", _TAG),
+    Rule(rf"</?{W}*(?:{_INLINE})\b[^>]*>", "", "i", _TAG),
+    Rule(_opening("img"), "", "i", _TAG),
 )
 _LETTER = "[a-z]"
 AFTER_ENTITIES = (
-    Rule(rf"</?{_LETTER}[^>]*>", "", "is"),
-    Rule(rf"^{W}{{0,3}}#{{1,6}}{W}*", "", "m"),
-    Rule(rf"^{W}*[-+*]{W}+", "", "m"),
-    Rule(rf"^{W}*>{W}?", "", "m"),
-    *(Rule(mark) for mark in ("```", r"\*\*", "__", "`")),
-    Rule(r"[\t\x20]+\n", "\n"),
-    Rule(r"[\t\x20]{2,}", " "),
+    Rule(rf"</?{_LETTER}[^>]*>", "", "is", _TAG),
+    Rule(rf"^{W}{{0,3}}#{{1,6}}{W}*", "", "m", ("#",)),
+    Rule(rf"^{W}*[-+*]{W}+", "", "m", ("-", "+", "*")),
+    Rule(rf"^{W}*>{W}?", "", "m", (">",)),
+    *(Rule(mark, needs=(mark.replace("\\", ""),)) for mark in ("```", r"\*\*", "__", "`")),
+    Rule(r"[\t\x20]+\n", "\n", needs=_LINE),
+    Rule(r"[\t\x20]{2,}", " ", needs=("  ", "\t")),
     # by line: blanks and pipes at its ends, blanks around pipes; one empty line at most
-    Rule(LINE_BREAK, "\n"),
+    Rule(LINE_BREAK, "\n", needs=tuple("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")),
     Rule(rf"^{H}+", "", "m"),
     Rule(rf"{H}+$", "", "m"),
-    Rule(rf"{H}*\|{H}*$", "", "m"),
-    Rule(rf"^\|{H}*", "", "m"),
-    Rule(rf"{H}*\|{H}*", " | "),
-    Rule(r"\n{3,}", "\n\n"),
+    Rule(rf"{H}*\|{H}*$", "", "m", ("|",)),
+    Rule(rf"^\|{H}*", "", "m", ("|",)),
+    Rule(rf"{H}*\|{H}*", " | ", needs=("|",)),
+    Rule(r"\n{3,}", "\n\n", needs=("\n\n\n",)),
 )
 
 
@@ -194,9 +196,9 @@ def compatible(text: pa.Array) -> pa.Array:
     return pc.replace_with_mask(text, some, pa.array([unicodedata.normalize("NFKC", t) for t in text.filter(some).to_pylist()], text.type))
 
 
-GLYPH_RULES = tuple(Rule(a, b) for a, b in GLYPHS.items())
+GLYPH_RULES = tuple(Rule(a, b, needs=(a,)) for a, b in GLYPHS.items())
 FRACTION_RULE = Rule(f"({DIGIT})([{_FRACTIONS}])", "$1 $2")
-TILDE_RULE = Rule(rf"(\A|{W})~({WORD})", "$1$2")
+TILDE_RULE = Rule(rf"(\A|{W})~({WORD})", "$1$2", needs=("~",))
 
 
 def normalize_characters(text: Column, *, keep_long_s: bool = True) -> Column:
@@ -225,12 +227,12 @@ def fold_arabic(text: Column) -> Column:
 NORMAL_RULES = (
     Rule("[#*_`~]"),
     Rule(r"[\x{2010}-\x{2012}\x{2013}-\x{2015}\x{2212}]", "-"),
-    Rule(rf"\[figure{W}+{DIGIT}+\]"),
-    Rule("-{3,}"),
+    Rule(rf"\[figure{W}+{DIGIT}+\]", needs=("[figure",)),
+    Rule("-{3,}", needs=("---",)),
     Rule(rf"{W}+([!,.:;?])", "$1"),
-    Rule(rf"({WORD})-{W}*\n{W}*({WORD}+)", "$1$2"),
-    Rule(r"\A-+"),
-    Rule(r"-+\z"),
+    Rule(rf"({WORD})-{W}*\n{W}*({WORD}+)", "$1$2", needs=_LINE),
+    Rule(r"\A-+", needs=("-",)),
+    Rule(r"-+\z", needs=("-",)),
 )
 ONE_BLANK = Rule(f"{W}+", " ")
 

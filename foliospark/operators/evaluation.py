@@ -23,8 +23,8 @@ def normalized(text: Column, language: Column | None = None) -> Column:
     return normalize_text(xml_to_text(strip_output_tag(F.coalesce(text, F.lit("")))), arabic)
 
 
-def page_scores(pairs: DataFrame, predicted: str = "predicted_text", gold: str = "gold_text", language: str | None = "main_language", partitions: int | None = None) -> DataFrame:
-    """pairs with both normal forms and the four metrics; a null text is an empty one.
+def page_scores(pairs: DataFrame, predicted: str = "predicted_text", gold: str = "gold_text", language: str | None = "main_language", partitions: int | None = None, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """pairs with both normal forms and the metrics, all four or those that are asked for; a null text is an empty one.
 
     Columns that the metrics are called like are replaced.  partitions: rows are
     first spread evenly, for a table in few large files, as texts differ in
@@ -34,15 +34,17 @@ def page_scores(pairs: DataFrame, predicted: str = "predicted_text", gold: str =
     lang = F.col(language) if language else None
     rows = pairs.withColumns({"normalized_predicted_text": normalized(F.col(predicted), lang), "normalized_gold_text": normalized(F.col(gold), lang)})
     mine, theirs = F.col("normalized_predicted_text"), F.col("normalized_gold_text")
-    scored = rows.withColumn("__scores", text_scores(mine, theirs))
-    return scored.withColumns(
-        {
-            MAIN: similarity(F.col("__scores.distance"), mine, theirs),
-            "repetition": F.col("__scores.repetition").cast("double"),
-            "is_empty": (F.length(mine) == 0).cast("double"),
-            "bleu": F.col("__scores.bleu"),
-        }
-    ).drop("__scores")
+    parts = {MAIN: "distance", "repetition": "repetition", "bleu": "bleu"}
+    wanted = tuple(parts[m] for m in metrics if m in parts)
+    if wanted:
+        rows = rows.withColumn("__scores", text_scores(mine, theirs, wanted))
+    made = {
+        MAIN: lambda: similarity(F.col("__scores.distance"), mine, theirs),
+        "repetition": lambda: F.col("__scores.repetition").cast("double"),
+        "is_empty": lambda: (F.length(mine) == 0).cast("double"),
+        "bleu": lambda: F.col("__scores.bleu"),
+    }
+    return rows.withColumns({m: made[m]() for m in metrics}).drop("__scores")
 
 
 def failed_scores(pairs: DataFrame, predicted: str = "predicted_text", gold: str = "gold_text") -> DataFrame:

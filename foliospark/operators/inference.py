@@ -81,13 +81,11 @@ def transcribe(pages: DataFrame, make_backend: Callable[[], Backend], batch_size
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make_backend()
         for whole in batches:
-            for i in range(0, len(whole), batch_size):
-                batch = whole.iloc[i : i + batch_size]
-                answers = _answers(backend, batch, errors, **options)
-                out = batch[names].copy()
-                out["text"] = ["" if t is None else t for t, _ in answers]
-                out["ocr_metadata"] = [{str(k): str(v) for k, v in m.items()} for _, m in answers]
-                yield out
+            answers = [x for i in range(0, len(whole), batch_size) for x in _answers(backend, whole.iloc[i : i + batch_size], errors, **options)]
+            out = whole[names].copy()
+            out["text"] = ["" if t is None else t for t, _ in answers]
+            out["ocr_metadata"] = [{str(k): str(v) for k, v in m.items()} for _, m in answers]
+            yield out
 
     return pages.mapInPandas(run, kept.add("text", StringType()).add("ocr_metadata", MapType(StringType(), StringType())))
 
@@ -105,11 +103,10 @@ def detect(pages: DataFrame, make_detector: Callable[[], Callable[[pd.DataFrame]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = make_detector()
         for whole in batches:
-            for i in range(0, len(whole), batch_size):
-                batch = whole.iloc[i : i + batch_size]
-                out = batch[names].copy()
-                out["candidates"] = [[dict(zip(EDGES, map(float, b), strict=True)) for b in boxes] for boxes in detector(batch)]
-                yield out
+            found = [boxes for i in range(0, len(whole), batch_size) for boxes in detector(whole.iloc[i : i + batch_size])]
+            out = whole[names].copy()
+            out["candidates"] = [[dict(zip(EDGES, map(float, b), strict=True)) for b in boxes] for boxes in found]
+            yield out
 
     box = StructType.fromDDL("candidates array<struct<left:double,top:double,right:double,bottom:double>>")
     return pages.mapInPandas(run, StructType([*kept, *box]))

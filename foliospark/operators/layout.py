@@ -34,20 +34,21 @@ def parse_layout(output: Column) -> Column:
     reversed corners are swapped.  A null output gives null.
     """
 
-    def block(piece: Column) -> Column:
-        x1, y1, x2, y2 = (F.regexp_extract(piece, HEAD, i).try_cast("int") for i in (1, 2, 3, 4))
-        kind = F.lower(F.regexp_extract(piece, HEAD, 5))
-        turned = F.regexp_extract(piece, HEAD, 6)
+    def block(part: Column) -> Column:
+        x1, y1, x2, y2 = (F.get(part, F.lit(i)).try_cast("int") for i in range(4))
+        kind, turned = F.lower(F.get(part, F.lit(4))), F.get(part, F.lit(5))
         angle = F.lit(None).cast("int")
         for name, degrees in _ANGLES.items():
             angle = F.when(turned == f"<|rotate_{name}|>", degrees).otherwise(angle)
         bbox = G.box(*[c / 1000.0 for c in (F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2))])
-        good = piece.rlike(HEAD) & (F.greatest(x1, y1, x2, y2) <= 1000) & x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull() & (x1 != x2) & (y1 != y2) & kind.isin(*TYPES)
-        merge = (kind == "text") & F.regexp_replace(piece, HEAD, "").contains("txt_contd_tgt")
+        good = (F.size(part) == 7) & (F.greatest(x1, y1, x2, y2) <= 1000) & x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull() & (x1 != x2) & (y1 != y2) & kind.isin(*TYPES)
+        merge = (kind == "text") & F.get(part, F.lit(6)).contains("txt_contd_tgt")
         return F.struct(F.coalesce(good, F.lit(False)).alias("good"), kind.alias("type"), bbox.alias("bbox"), angle.alias("angle"), F.lit(None).cast("string").alias("content"), merge.alias("merge_prev"))
 
     pieces = F.split(output, r"<\|box_start\|>")
-    parsed = F.filter(F.transform(F.slice(pieces, 2, F.size(pieces)), block), lambda b: b["good"])
+    # one match a piece: its seven parts, or the piece as it is
+    marked = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.split(F.regexp_replace(p, rf"(?s){HEAD}(.*)\z", "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7"), "\x01", 7))
+    parsed = F.filter(F.transform(marked, block), lambda b: b["good"])
     return renumber(parsed)
 
 
@@ -113,7 +114,7 @@ def image_token(page: Column, idx: Column) -> Column:
 
 
 def to_extract(blocks: Column, image_analysis: bool = False, left_out: tuple[str, ...] = ()) -> Column:
-    """The blocks whose contents a model has to read, after captions inside images are dropped."""
+    """The blocks whose contents a model has to read, of those that drop_covered_captions() leaves."""
     skipped = {"list", "equation_block", "image_block", *left_out} | (set() if image_analysis else {"image", "chart"})
     kept = lambda b: ~b["type"].isin(*sorted(skipped))
     if "image" in skipped:

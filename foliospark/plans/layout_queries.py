@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference
 from ..operators import layout as L
-from ..plans.tables import expression, table
+from ..plans.tables import expression, spread
 
 
 def _spot(k: int, size: int) -> str:
@@ -41,13 +41,13 @@ CONTENT = "substr(text, idx * 40 + 1, 40)"
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "text", L.parse_layout(expression(RESPONSE)).alias("blocks"))
+    rows = spread(spark, d, "documents").select("doc_id", "text", L.parse_layout(expression(RESPONSE)).alias("blocks"))
     contents = F.transform("blocks", lambda b: F.substring("text", b["idx"] * 40 + 1, F.lit(40)))
     return rows.select("doc_id", L.with_contents(F.col("blocks"), contents).alias("blocks"))
 
 
 def layout_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", L.parse_layout(expression(RESPONSE)).alias("blocks"))
+    rows = spread(spark, d, "documents").select("doc_id", L.parse_layout(expression(RESPONSE)).alias("blocks"))
     return L.explode_blocks(rows, "doc_id").select("doc_id", "idx", "type", "bbox.*", "angle", "merge_prev")
 
 
@@ -80,9 +80,9 @@ class Echo:
 
 
 def two_step(spark: SparkSession, d: str) -> DataFrame:
-    """Layout, reading of each block by a model (an echo here), text."""
-    rows = table(spark, d, "documents").select("doc_id", L.parse_layout(expression(RESPONSE)).alias("blocks"))
-    rows = rows.withColumn("wanted", L.to_extract(F.col("blocks")))
+    """Layout, captions inside images dropped, reading of each block by a model (an echo here), text."""
+    rows = spread(spark, d, "documents").select("doc_id", L.parse_layout(expression(RESPONSE)).alias("blocks"))
+    rows = rows.withColumn("blocks", L.drop_covered_captions(F.col("blocks"))).withColumn("wanted", L.to_extract(F.col("blocks")))
     read = inference.read_blocks(rows, Echo).select("doc_id", L.clean_blocks(F.col("blocks")).alias("blocks"))
     return read.select("doc_id", L.to_markdown(L.post_process(F.col("blocks"), merge=False)).alias("markdown"))
 
@@ -105,9 +105,12 @@ best AS (SELECT doc_id, inner_idx, inner_top, inner_left, outer_idx FROM cover W
   QUALIFY row_number() OVER (PARTITION BY doc_id, inner_idx ORDER BY ratio DESC, outer_area, outer_idx) = 1)"""
 
 
-def _markdown_sql(content: str, dropped: str) -> str:
+_COVERED = "type = 'image_caption' AND EXISTS (SELECT 1 FROM cover WHERE cover.doc_id = blocks.doc_id AND inner_idx = idx AND outer_type IN ('image', 'chart', 'image_block') AND ratio >= 0.9)"
+
+
+def _markdown_sql(content: str, dropped: str, left_out: str = "false") -> str:
     return f"""WITH {BLOCKS_SQL},
-c AS (SELECT *, {content} AS raw FROM blocks),
+c AS (SELECT *, {content} AS raw FROM blocks WHERE NOT ({left_out})),
 w AS (SELECT doc_id, idx, type, merge_prev, CASE WHEN trim(raw, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN NULL WHEN type = 'text' OR type = 'table' THEN trim(raw, ' ' || chr(10) || chr(9) || chr(13)) WHEN type = 'equation' THEN '\\[' || chr(10) || trim(raw, ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || '\\]' ELSE raw END AS content FROM c),
 v AS (SELECT * FROM w WHERE content IS NOT NULL AND type NOT IN ({dropped}) AND NOT (type = 'image' AND EXISTS (SELECT 1 FROM best WHERE best.doc_id = w.doc_id AND best.inner_idx = w.idx))),
 t AS (SELECT *, type = 'text' AND (NOT merge_prev OR row_number() OVER (PARTITION BY doc_id, type ORDER BY idx) = 1) AS starts FROM v),
@@ -120,11 +123,11 @@ SELECT documents.doc_id, coalesce(trim(markdown, ' ' || chr(10) || chr(9) || chr
 SQL = {
     "layout_blocks": f'WITH {BLOCKS_SQL} SELECT doc_id, idx, type, "left", top, "right", bottom, CAST(angle AS INTEGER) AS angle, merge_prev FROM blocks',
     "layout_table_images": f"WITH {BLOCKS_SQL} SELECT t.doc_id, t.idx AS table_idx, coalesce(string_agg(CAST(inner_idx AS VARCHAR), ',' ORDER BY inner_top, inner_left, inner_idx), '') AS images FROM blocks t LEFT JOIN best ON t.doc_id = best.doc_id AND t.idx = best.outer_idx WHERE t.type = 'table' GROUP BY ALL",
-    "layout_captions": f"WITH {BLOCKS_SQL} SELECT doc_id, idx, type FROM blocks WHERE NOT (type = 'image_caption' AND EXISTS (SELECT 1 FROM cover WHERE cover.doc_id = blocks.doc_id AND inner_idx = idx AND outer_type IN ('image', 'chart', 'image_block') AND ratio >= 0.9))",
+    "layout_captions": f"WITH {BLOCKS_SQL} SELECT doc_id, idx, type FROM blocks WHERE NOT ({_COVERED})",
     "layout_equations": f"""WITH {BLOCKS_SQL}, c AS (SELECT *, {CONTENT} AS content FROM blocks),
 m AS (SELECT doc_id, inner_idx, list(outer_idx) AS parts FROM cover WHERE inner_type = 'equation_block' AND outer_type = 'equation' AND ratio > 0.9 GROUP BY ALL HAVING count(*) > 1)
 SELECT doc_id, idx, content FROM c WHERE type = 'equation' AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND list_contains(parts, idx))
 UNION ALL SELECT m.doc_id, inner_idx AS idx, '\\begin{{array}}{{l}} ' || string_agg(trim(content, ' ' || chr(10)), ' \\\\ ' ORDER BY idx) || ' \\end{{array}}' FROM m JOIN c ON m.doc_id = c.doc_id AND list_contains(parts, idx) GROUP BY m.doc_id, inner_idx""",
     "layout_markdown": _markdown_sql(CONTENT, "'equation_block', 'aside_text', 'footer', 'header', 'page_footnote', 'page_number', 'unknown'"),
-    "two_step": _markdown_sql("CASE WHEN type IN ('list', 'equation_block', 'image_block', 'image', 'chart') THEN '' ELSE type || ' ' || CAST(idx AS VARCHAR) END", "'equation_block'"),
+    "two_step": _markdown_sql("CASE WHEN type IN ('list', 'equation_block', 'image_block', 'image', 'chart') THEN '' ELSE type || ' ' || CAST(idx AS VARCHAR) END", "'equation_block'", _COVERED),
 }

@@ -17,8 +17,8 @@ def _partitions(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return E.page_scores(examples(spark, d), partitions=_partitions(spark))
+def _scores(spark: SparkSession, d: str, *metrics: str) -> DataFrame:
+    return E.page_scores(examples(spark, d), partitions=_partitions(spark), metrics=metrics or E.METRICS)
 
 
 def subset_select(spark: SparkSession, d: str) -> DataFrame:
@@ -29,11 +29,11 @@ def subset_select(spark: SparkSession, d: str) -> DataFrame:
 
 def page_scores(spark: SparkSession, d: str) -> DataFrame:
     chars = F.length("normalized_predicted_text").alias("predicted_chars"), F.length("normalized_gold_text").alias("gold_chars")
-    return _scores(spark, d).select("example_id", F.round(E.MAIN, 9).alias(E.MAIN), "is_empty", *chars)
+    return _scores(spark, d, E.MAIN, "is_empty").select("example_id", F.round(E.MAIN, 9).alias(E.MAIN), "is_empty", *chars)
 
 
 def bleu_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).select("example_id", F.round("bleu", 9).alias("bleu"))
+    return _scores(spark, d, "bleu").select("example_id", F.round("bleu", 9).alias("bleu"))
 
 
 def repetition_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def repetition_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_scores(spark: SparkSession, d: str) -> DataFrame:
-    return E.grouped_scores(_scores(spark, d)).withColumn("mean", F.round("mean", 6))
+    return E.grouped_scores(_scores(spark, d, E.MAIN)).withColumn("mean", F.round("mean", 6))
 
 
 def type_seeded_means(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.xml import xml_to_text
 from ..operators import profiles
 from ..operators.evaluation import normalized
 from . import sql as S
-from .tables import expression, table
+from .tables import expression, spread
 
 LF = "chr(10)"
 # built in both engines by the same expression
@@ -27,25 +27,25 @@ RESPONSES = "CASE lang WHEN 'en' THEN '<output>' || text || '</output>' WHEN 'de
 
 
 def strip_output_tag(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.strip_output_tag(expression(TAGGED)).alias("text"))
+    return spread(spark, d, "documents").select("doc_id", T.strip_output_tag(expression(TAGGED)).alias("text"))
 
 
 def markup_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.markup_to_text(F.col("html")).alias("text"))
+    return spread(spark, d, "pages").select("page_id", T.markup_to_text(F.col("html")).alias("text"))
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+    return spread(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
 def normalize_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.normalize_text(F.col("html")).alias("text"))
+    return spread(spark, d, "pages").select("page_id", T.normalize_text(F.col("html")).alias("text"))
 
 
 def arabic_folding(spark: SparkSession, d: str) -> DataFrame:
     """The language decides whether a row is folded; 'fr' stands for Arabic."""
     language = F.when(F.col("lang") == "fr", "Arabic").otherwise(F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", normalized(F.concat(F.lit(ARABIC), F.col("text")), language).alias("text"))
+    return spread(spark, d, "documents").select("doc_id", normalized(F.concat(F.lit(ARABIC), F.col("text")), language).alias("text"))
 
 
 ARABIC = "آمن أَحْمَد ـ مُؤْمِنٌ ئ "
@@ -53,35 +53,35 @@ ARABIC = "آمن أَحْمَد ـ مُؤْمِنٌ ئ "
 
 def chat_scaffold(spark: SparkSession, d: str) -> DataFrame:
     cleaned = T.strip_trailing_tokens(T.strip_chat_scaffold(expression(SCAFFOLDED), ("OCR:",)), ("<|endoftext|>", "<|im_end|>"))
-    return table(spark, d, "conversations").select("conv_id", "turn", cleaned.alias("text"))
+    return spread(spark, d, "conversations").select("conv_id", "turn", cleaned.alias("text"))
 
 
 def stop_strings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", T.trim_stop_strings(expression(SCAFFOLDED)).alias("text"))
+    return spread(spark, d, "conversations").select("conv_id", "turn", T.trim_stop_strings(expression(SCAFFOLDED)).alias("text"))
 
 
 def outer_fence(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.strip_outer_fence(expression(FENCED)).alias("text"))
+    return spread(spark, d, "documents").select("doc_id", T.strip_outer_fence(expression(FENCED)).alias("text"))
 
 
 def front_matter(spark: SparkSession, d: str) -> DataFrame:
     fields, body = T.split_front_matter(F.col("response"))
-    rows = table(spark, d, "documents").select("doc_id", expression(FRONTED).alias("response"))
+    rows = spread(spark, d, "documents").select("doc_id", expression(FRONTED).alias("response"))
     names = ("lang", "source", "n_chars", "none", "table")
     return rows.select("doc_id", fields.alias("f"), body.alias("body")).select("doc_id", *[F.col("f")[n].alias(n) for n in names], F.size("f").alias("n_fields"), "body")
 
 
 def xml_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", xml_to_text(expression(XML)).alias("text"))
+    return spread(spark, d, "documents").select("doc_id", xml_to_text(expression(XML)).alias("text"))
 
 
 def otsl_tables(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", table_html(expression(OTSL)).alias("html"))
+    return spread(spark, d, "documents").select("doc_id", table_html(expression(OTSL)).alias("html"))
 
 
 def profile_postprocess(spark: SparkSession, d: str) -> DataFrame:
     profile = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "default", "de", "glm", "es", "paddle", "fr", "deepseek")]), F.col("lang"))
-    rows = table(spark, d, "documents").select("doc_id", profile.alias("profile"), expression(RESPONSES).alias("response"))
+    rows = spread(spark, d, "documents").select("doc_id", profile.alias("profile"), expression(RESPONSES).alias("response"))
     done = profiles.postprocess_by(F.col("response"), F.col("profile"), ("default", "glm", "paddle", "deepseek"))
     return rows.select("doc_id", "profile", done.alias("p")).select("doc_id", "profile", "p.text", F.size("p.metadata").alias("n_metadata"))
 
@@ -89,13 +89,13 @@ def profile_postprocess(spark: SparkSession, d: str) -> DataFrame:
 def plain_responses(spark: SparkSession, d: str) -> DataFrame:
     """HTML answers of a model whose raw form is kept."""
     done = profiles.postprocess(F.col("html"), "chandra")
-    return table(spark, d, "pages").select("page_id", done.alias("p")).select("page_id", "p.text", F.length(F.col("p.metadata")["raw_html"]).alias("raw_chars"))
+    return spread(spark, d, "pages").select("page_id", done.alias("p")).select("page_id", "p.text", F.length(F.col("p.metadata")["raw_html"]).alias("raw_chars"))
 
 
 def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
     page = F.create_map(F.lit("page_index"), F.lit("7"), F.lit("lang"), F.col("lang"), F.lit("x"), F.lit("page"))
     caller = F.create_map(F.lit("x"), F.col("source"), F.lit("y"), F.lit("caller"))
-    rows = table(spark, d, "documents").select("doc_id", profiles.page_metadata(page, caller, F.col("doc_id"), F.lit(0)).alias("m"))
+    rows = spread(spark, d, "documents").select("doc_id", profiles.page_metadata(page, caller, F.col("doc_id"), F.lit(0)).alias("m"))
     return rows.select("doc_id", *[F.col("m")[k].alias(k) for k in ("page_index", "source_index", "lang", "x", "y")], F.size("m").alias("n"))
 
 
