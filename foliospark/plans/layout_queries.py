@@ -1,4 +1,4 @@
-"""Queries of layout blocks: a layout response is made for each document, its blocks' contents are pieces of the text."""
+"""Queries of layout blocks: a layout response is made for each document, its blocks' contents are the text in as many pieces."""
 
 from __future__ import annotations
 
@@ -36,13 +36,15 @@ _C = "CAST({} AS STRING)"
 RESPONSE = " || ".join(
     f"'<|box_start|>' || {_C.format(a)} || ' ' || {_C.format(b)} || ' ' || {_C.format(c)} || ' ' || {_C.format(e)} || '<|box_end|><|ref_start|>{kind}<|ref_end|>{tail}' || chr(10)" for kind, a, b, c, e, tail in _BOXES
 )
-#: Content of block idx.
-CONTENT = "substr(text, idx * 40 + 1, 40)"
+#: Content of block idx: its part of the text, of which the blocks have all.
+_PIECE = "CAST(ceil(length(text) / CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)) AS INTEGER)"
+CONTENT = f"substr(text, idx * {_PIECE} + 1, {_PIECE})"
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     rows = spread(spark, d, "documents").select("doc_id", "text", L.parse_layout(expression(RESPONSE)).alias("blocks"))
-    contents = F.transform("blocks", lambda b: F.substring("text", b["idx"] * 40 + 1, F.lit(40)))
+    rows = rows.withColumn("piece", F.ceil(F.length("text") / F.size("blocks")).cast("int"))
+    contents = F.transform("blocks", lambda b: F.substring("text", b["idx"] * F.col("piece") + 1, F.col("piece")))
     return rows.select("doc_id", L.with_contents(F.col("blocks"), contents).alias("blocks"))
 
 

@@ -49,29 +49,30 @@ def grouped_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_seeded_means(spark: SparkSession, d: str) -> DataFrame:
-    """Without the labelled prints, whose group is there all the same."""
-    rows = _kept_score(examples(spark, d)).where("document_type != 'print'")
-    return E.seeded_types(E.grouped_scores(rows, "score")).withColumn("mean", F.round("mean", 6))
+    """Prints are called books here, so the group of prints has no page, but is there all the same."""
+    rows = _scores(spark, d, E.MAIN).withColumn("document_type", F.regexp_replace("document_type", "^print$", "book"))
+    return E.seeded_types(E.grouped_scores(rows)).withColumn("mean", F.round("mean", 6))
 
 
 def aggregate_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _kept_score(examples(spark, d)).withColumn("quoted", F.when(F.col("gold_text").contains('"'), 1.0))
-    return E.aggregate_scores(rows, ("score", "quoted")).select(F.round("score", 6).alias("score"), F.round("quoted", 6).alias("quoted"), "n_pages")
+    """The main score, emptiness, and a score that only texts with quotation marks have."""
+    rows = _scores(spark, d, E.MAIN, "is_empty").withColumn("quoted", F.when(F.col("gold_text").contains('"'), 1.0))
+    metrics = (E.MAIN, "is_empty", "quoted")
+    return E.aggregate_scores(rows, metrics).select(*[F.round(m, 6).alias(m) for m in metrics], "n_pages")
 
 
-def _kept_score(rows: DataFrame) -> DataFrame:
-    """A score that needs no distance: how much of the text's length is left."""
-    return rows.withColumn("score", F.when(F.length("gold_text") == 0, 1.0).otherwise((F.length("predicted_text") - 17) / F.length("gold_text")))
+def _board(spark: SparkSession, d: str) -> DataFrame:
+    """The sources stand for models."""
+    rows = _scores(spark, d, E.MAIN).select(F.col("dataset_id").alias("model"), "main_language", "document_type", F.col(E.MAIN).alias("score"))
+    return L.pivot(rows, ["de", "en", "es", "fr"], digits=6)
 
 
 def leaderboard_pivot(spark: SparkSession, d: str) -> DataFrame:
-    rows = _kept_score(examples(spark, d)).withColumnRenamed("dataset_id", "model")
-    return L.pivot(rows, ["de", "en", "es", "fr"], digits=6)
+    return _board(spark, d)
 
 
 def leaderboard_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = _kept_score(examples(spark, d)).withColumnRenamed("dataset_id", "model")
-    return L.rank(L.pivot(rows, ["de", "en", "es", "fr"], digits=6), by="handwritten:de").select("model", "handwritten:de", "rank")
+    return L.rank(_board(spark, d), by="handwritten:de").select("model", "handwritten:de", "rank")
 
 
 def group_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -80,9 +81,8 @@ def group_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failed_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without a label stand for those whose evaluation broke off."""
-    rows = examples(spark, d).where("document_type = 'unlabelled'")
-    return E.failed_scores(rows).select("example_id", *E.METRICS, F.length("normalized_predicted_text").alias("predicted_chars"))
+    """All pages, as if the evaluation of each had broken off."""
+    return E.failed_scores(examples(spark, d)).select("example_id", *E.METRICS, F.length("normalized_predicted_text").alias("predicted_chars"))
 
 
 def call_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ tagged AS (SELECT *, {S.output_tag('predicted_text')} AS p0, {S.output_tag('gold
 norm AS (SELECT *, {S.normal('p0')} AS p, {S.normal('g0')} AS g FROM tagged)"""
 _SCORES = f"""{_NORMAL},
 scores AS (SELECT *, CASE WHEN greatest(length(p), length(g)) = 0 THEN 1.0 ELSE 1 - levenshtein({S.one_byte('p')}, {S.one_byte('g')}) / CAST(greatest(length(p), length(g)) AS DOUBLE) END AS nls, CASE WHEN p = '' THEN 1.0 ELSE 0.0 END AS empty FROM norm)"""
-_KEPT = "kept AS (SELECT *, CASE WHEN length(gold_text) = 0 THEN 1.0 ELSE (length(predicted_text) - 17) / CAST(length(gold_text) AS DOUBLE) END AS score FROM ex)"
+_KEPT = f"{_SCORES}, kept AS (SELECT *, nls AS score FROM scores)"
 _LEVEL = "CASE grouping(main_language) * 2 + grouping(document_type) WHEN 0 THEN 'language_type' WHEN 1 THEN 'language' WHEN 2 THEN 'type' ELSE 'all' END"
 _BOARD = ", ".join(
     f'round(avg(100 * score) FILTER (document_type = \'{kind}\'{extra}), 6) AS "{name}"'
@@ -136,11 +136,11 @@ c AS (SELECT *, d * greatest(2, (low + d - 1) // d) AS size FROM s),
 r AS (SELECT doc_id, kind, bool_or(size <= n - 1 AND substr(t, n - size + 1, size - d) = substr(t, n - size + d + 1, size - d)) AS repetition FROM c GROUP BY ALL)
 SELECT n.doc_id, n.kind, coalesce(repetition, false) AS repetition FROM n LEFT JOIN r ON n.doc_id = r.doc_id AND n.kind = r.kind""",
     "grouped_scores": f"WITH {_SCORES} SELECT {_LEVEL} AS level, main_language, document_type, round(avg(nls), 6) AS mean, count(*) AS n_pages FROM scores GROUP BY GROUPING SETS ((), (main_language), (document_type), (main_language, document_type))",
-    "type_seeded_means": f"WITH {EXAMPLES_SQL}, {_KEPT}, g AS (SELECT document_type, avg(score) AS mean FROM kept WHERE document_type <> 'print' GROUP BY document_type), s AS (SELECT unnest(['print', 'handwriting']) AS document_type UNION SELECT document_type FROM g) SELECT s.document_type, round(coalesce(mean, 0.0), 6) AS mean FROM s LEFT JOIN g ON s.document_type = g.document_type",
-    "aggregate_scores": f"WITH {EXAMPLES_SQL}, {_KEPT} SELECT round(avg(score), 6) AS score, round(avg(CASE WHEN gold_text LIKE '%\"%' THEN 1.0 ELSE 0.0 END), 6) AS quoted, count(*) AS n_pages FROM kept",
-    "leaderboard_pivot": f"WITH {EXAMPLES_SQL}, {_KEPT}, {_PIVOT} SELECT * FROM board",
-    "leaderboard_rank": f'WITH {EXAMPLES_SQL}, {_KEPT}, {_PIVOT} SELECT model, "handwritten:de", CAST(row_number() OVER (ORDER BY "handwritten:de" DESC NULLS LAST, model) AS INTEGER) AS rank FROM board',
+    "type_seeded_means": f"WITH {_KEPT}, g AS (SELECT CASE document_type WHEN 'print' THEN 'book' ELSE document_type END AS document_type, avg(score) AS mean FROM kept GROUP BY 1), s AS (SELECT unnest(['print', 'handwriting']) AS document_type UNION SELECT document_type FROM g) SELECT s.document_type, round(coalesce(mean, 0.0), 6) AS mean FROM s LEFT JOIN g ON s.document_type = g.document_type",
+    "aggregate_scores": f"WITH {_KEPT} SELECT round(avg(score), 6) AS {E.MAIN}, round(avg(CAST(empty AS DOUBLE)), 6) AS is_empty, round(avg(CASE WHEN gold_text LIKE '%\"%' THEN 1.0 ELSE 0.0 END), 6) AS quoted, count(*) AS n_pages FROM kept",
+    "leaderboard_pivot": f"WITH {_KEPT}, {_PIVOT} SELECT * FROM board",
+    "leaderboard_rank": f'WITH {_KEPT}, {_PIVOT} SELECT model, "handwritten:de", CAST(row_number() OVER (ORDER BY "handwritten:de" DESC NULLS LAST, model) AS INTEGER) AS rank FROM board',
     "group_languages": f"WITH {EXAMPLES_SQL} SELECT CASE document_type WHEN 'print' THEN 'printed' ELSE 'handwritten' END AS \"group\", string_agg(DISTINCT main_language, ',' ORDER BY main_language) AS languages FROM ex WHERE document_type <> 'unlabelled' GROUP BY 1",
-    "failed_scores": f"WITH {EXAMPLES_SQL} SELECT example_id, CAST(0 AS DOUBLE) AS normalized_levenshtein_similarity, CAST(0 AS DOUBLE) AS repetition, CAST(1 AS DOUBLE) AS is_empty, CAST(0 AS DOUBLE) AS bleu, CAST(length(predicted_text) AS INTEGER) AS predicted_chars FROM ex WHERE document_type = 'unlabelled'",
+    "failed_scores": f"WITH {EXAMPLES_SQL} SELECT example_id, CAST(0 AS DOUBLE) AS normalized_levenshtein_similarity, CAST(0 AS DOUBLE) AS repetition, CAST(1 AS DOUBLE) AS is_empty, CAST(0 AS DOUBLE) AS bleu, CAST(length(predicted_text) AS INTEGER) AS predicted_chars FROM ex",
     "call_counters": "SELECT user_id, count(*) AS request_count, count(*) FILTER (event_type = 'error') AS untracked_request_count, round(coalesce(sum(value) FILTER (event_type <> 'error'), 0.0), 4) AS total_cost, arg_max(value, event_id) FILTER (event_type <> 'error') AS last_cost FROM events GROUP BY user_id",
 }
