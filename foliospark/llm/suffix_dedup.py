@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import id_text
-from ._text import U64, Words, mix, ngrams, pieces, signed
+from ._spark import id_text, one_row_each, salted, sample
+from ._text import U64, Words, mix, ngrams, packed, pieces, signed, unpacked
 
 LENGTH = 50
 
@@ -110,28 +110,39 @@ def _sampled(texts: DataFrame, q: int, length: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket bigint, doc_id bigint, word int")
 
 
-def _refined(docs: DataFrame, q: int, length: int) -> DataFrame:
-    """Suffixes within reach of the sampled ones in ``words``, in their buckets of depth length."""
+def _opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id, words and the text of packed texts."""
+    at = 0
+    for part in unpacked(batch):
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, part.num_rows) for c in ("doc_id", "words")), part.column("text")], ["doc_id", "words", "text"])
+        at += part.num_rows
+
+
+def _refined(docs: DataFrame, q: int, length: int, all_: bool = False) -> DataFrame:
+    """Suffixes within reach of the sampled ones in ``words``, in their buckets of depth length; or all suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                words = Words(part.column("text"))
-                sampled = part.column("words")
-                flat = sampled.flatten().to_numpy().astype(np.int64)
-                owner = np.repeat(np.arange(len(sampled)), np.diff(np.asarray(sampled.offsets)))
-                flat += words.first[owner]
-                change = np.zeros(len(words.hash) + 1, dtype=np.int32)
-                np.add.at(change, np.maximum(flat - (length - q), words.first[owner]), 1)
-                np.add.at(change, flat + 1, -1)
-                reach = np.cumsum(change[:-1]) > 0
+        for part in (p for batch in batches for p in (pieces(batch, "text") if all_ else _opened(batch))):
+            words = Words(part.column("text"))
+            if all_:
                 at, names = bucket_names(words, q, length)
-                on = reach[at]
-                at, names = at[on], names[on]
-                row = words.row[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(names)), part.column("doc_id").take(pa.array(row)), pa.array(at - words.first[row], pa.int32())], ["bucket", "doc_id", "word"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(signed(names)), part.column("doc_id").take(pa.array(words.row[at])), pa.array(at - words.first[words.row[at]], pa.int32())], ["bucket", "doc_id", "word"])
+                continue
+            sampled = part.column("words")
+            flat = sampled.flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(sampled)), np.diff(np.asarray(sampled.offsets)))
+            flat += words.first[owner]
+            change = np.zeros(len(words.hash) + 1, dtype=np.int32)
+            np.add.at(change, np.maximum(flat - (length - q), words.first[owner]), 1)
+            np.add.at(change, flat + 1, -1)
+            reach = np.cumsum(change[:-1]) > 0
+            at, names = bucket_names(words, q, length)
+            on = reach[at]
+            at, names = at[on], names[on]
+            row = words.row[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(names)), part.column("doc_id").take(pa.array(row)), pa.array(at - words.first[row], pa.int32())], ["bucket", "doc_id", "word"]
+            )
 
     return docs.mapInArrow(run, "bucket bigint, doc_id bigint, word int")
 
@@ -139,15 +150,19 @@ def _refined(docs: DataFrame, q: int, length: int) -> DataFrame:
 def repeated_suffixes(docs: DataFrame, length: int = LENGTH, q: int | None = None) -> DataFrame:
     """doc_id, word, first_doc, first_word: each suffix whose first ``length`` words occur twice."""
     q = q or max(1, length // 2)
-    texts = id_text(docs).where("doc_id is not null")
-    sampled = _sampled(texts, q, length)
-    # windows, not lists: a bucket may hold any number of suffixes, and its sort can spill
-    left = sampled.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
-    texts = texts.join(left, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("words").alias("words"))
-    suffixes = _refined(texts, q, length)
-    bucket = Window.partitionBy("bucket")
-    placed = suffixes.withColumns({"n": F.count("*").over(bucket), "first": F.min(F.struct("doc_id", "word")).over(bucket)}).where("n > 1")
-    return placed.select("doc_id", "word", F.col("first.doc_id").alias("first_doc"), F.col("first.word").alias("first_word"))
+    texts = one_row_each(id_text(docs))
+    # windows, not lists: a bucket may hold any number of suffixes, and its sort can spill; very large buckets are spread over salts
+    sampled, spread = salted(_sampled(texts, q, length), _sampled(sample(texts), q, length), "bucket")
+    window = Window.partitionBy("bucket", "salt") if spread else Window.partitionBy("bucket")
+    left = sampled.withColumn("n", F.count("*").over(window)).where("n > 1 or salts > 1" if spread else "n > 1").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    suffixes = _refined(left.join(packed(texts), "doc_id").select("doc_id", "words", "packed"), q, length)
+    suffixes, spread = salted(suffixes, _refined(sample(texts), q, length, all_=True), "bucket")
+    window = Window.partitionBy("bucket", "salt") if spread else Window.partitionBy("bucket")
+    placed = suffixes.withColumns({"n": F.count("*").over(window), "first": F.min(F.struct("doc_id", "word")).over(window)})
+    if spread:  # of a salted bucket, the first of the firsts, a row for each salt
+        firsts = placed.where("salts > 1 and doc_id = first.doc_id and word = first.word").groupBy("bucket").agg(F.min("first").alias("least"))
+        placed = placed.join(F.broadcast(firsts), "bucket", "left").withColumns({"first": F.coalesce("least", "first"), "n": F.when(F.col("salts") > 1, 2).otherwise(F.col("n"))})
+    return placed.where("n > 1").select("doc_id", "word", F.col("first.doc_id").alias("first_doc"), F.col("first.word").alias("first_word"))
 
 
 def _spans(found: list[tuple[int, int, int]], doc: int, length: int) -> Iterator[tuple]:

@@ -1,6 +1,7 @@
 import random
 import re
 
+from foliospark.llm import _spark
 from foliospark.llm.suffix_dedup import depths, repeated_passages, repeated_suffixes
 
 SCHEMA = "doc_id long, text string"
@@ -67,3 +68,19 @@ def test_edges(spark):
     assert spans == {(3, 0, 55, True), (4, 1, 56, False), (6, 0, 50, True), (6, 1, 40000, False)}
     assert repeated_passages(docs.limit(0)).count() == 0
     assert depths(25, 50) == [25] and depths(4, 50) == [4, 8, 16, 18]
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """The row with the least text is the document."""
+    passage = " ".join(f"word{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, "a b"), (1, passage), (2, passage), (3, "zz " + passage), (4, "y"), (4, "x")], SCHEMA)
+    assert {tuple(r) for r in repeated_passages(docs).collect()} == {(2, 0, 120, True, 2, 0), (3, 1, 121, False, 2, 0)}
+
+
+def test_salted_buckets(spark, monkeypatch):
+    monkeypatch.setattr(_spark, "HOT", 2)
+    monkeypatch.setattr(_spark, "SAMPLE", 2)
+    monkeypatch.setattr(_spark, "SALTED", 16)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in repeated_suffixes(docs, 12).collect()} == brute(rows, 12)
