@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
-#: Name and character, in the order in which they are looked for; then the numbers that stand for another character than their own.
-FREQUENT = ("amp", "nbsp", "quot", "lt", "gt", "apos", "copy", "middot", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "bull", "eacute", "agrave", "uuml", "ouml", "auml", "szlig", "reg", "trade", "raquo", "laquo")
-NAMES = {n: html_.entities.html5[n + ";"] for n in FREQUENT} | {n[:-1]: c for n, c in sorted(html_.entities.html5.items()) if n.endswith(";")}
-NUMBERS = {n: html_.unescape(f"&#{n};") for n in (0, 13, *range(128, 160))}
+#: References that are replaced by themselves, before any other one, and the ampersand after all.
+FREQUENT = ("nbsp", "quot", "lt", "gt", "apos", "#39", "copy", "middot")
+#: Name and character.  An ampersand stays a reference here, so that what it makes isn't decoded again.
+NAMES = {n[:-1]: c.replace("&", "&amp;") for n, c in sorted(html_.entities.html5.items()) if n.endswith(";")}
+#: Numbers that stand for another character than their own.
+NUMBERS = {n: html_.unescape(f"&#{n};") for n in (0, 13, *range(128, 160))} | {38: "&amp;"}
 CONTROLS = [*range(32), 127]
 
 
@@ -48,19 +50,35 @@ def patterns() -> list[tuple[str, str]]:
     ]
 
 
-def decoded(text: Column) -> Column:
-    """text with its character references replaced, once: each piece after an ampersand begins with a reference or is left."""
-    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+def decode_references(df: DataFrame, *names: str) -> DataFrame:
+    """df with the character references in the named columns replaced, once.
+
+    In two steps, of which the second uses the first's result several times, so
+    that Catalyst works it out once.
+    """
+    first, second = {}, {}
+    for name in names:
+        made = F.col(name)
+        for reference in FREQUENT:
+            made = F.replace(made, F.lit(f"&{reference};"), F.lit(html_.unescape(f"&{reference};")))
+        first[name] = made
+        text = F.col(name)
+        rare = F.when(text.rlike("&(?!amp;)(?:#|[A-Za-z][A-Za-z0-9]*;)"), _decoded(text)).otherwise(text)
+        second[name] = F.when(F.contains(text, F.lit("&")), F.replace(rare, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    return df.withColumns(first).withColumns(second)
+
+
+def _decoded(text: Column) -> Column:
+    """text with all references but that of an ampersand replaced: each piece after an ampersand begins with a reference or is left."""
+    names = F.map_from_arrays(*[F.split(F.lit("\x01".join(x)), "\x01", -1) for x in (NAMES, NAMES.values())])
     numbers = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
 
     def piece(x: Column) -> Column:
-        body = F.substring_index(x, ";", 1)
-        rest = F.substring(x, F.length(body) + 2, F.length(x))
-        digits = F.regexp_extract(body, "^#(?:[xX]([0-9a-fA-F]{1,7})|([0-9]{1,9}))$", 0)
-        code = F.when(F.substring(digits, 2, 1).isin("x", "X"), F.conv(F.substring(digits, 3, 9), 16, 10).cast("int")).otherwise(F.substring(digits, 2, 9).cast("int"))
+        body = F.regexp_extract(x, "^(#[xX][0-9a-fA-F]{1,7}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(F.substring(body, 2, 1).isin("x", "X"), F.conv(F.substring(body, 3, 9), 16, 10).cast("int")).otherwise(F.substring(body, 2, 9).cast("int"))
         own = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        character = F.when(F.substring(x, 1, 1) == "#", F.when(digits != "", F.coalesce(F.try_element_at(numbers, code), own))).otherwise(F.try_element_at(names, body))
-        return F.coalesce(F.when(F.contains(x, F.lit(";")), F.concat(character, rest)), F.concat(F.lit("&"), x))
+        character = F.when(F.substring(body, 1, 1) == "#", F.coalesce(F.try_element_at(numbers, code), own)).otherwise(F.try_element_at(names, body))
+        return F.coalesce(F.when(body != "", F.concat(character, F.substring(x, F.length(body) + 2, F.length(x)))), F.concat(F.lit("&"), x))
 
     pieces = F.split(text, "&", -1)
     return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))
@@ -74,12 +92,15 @@ def encoded_uri(url: Column) -> Column:
     return F.when(url.rlike(r"[\x00-\x1F\x7F]"), made).otherwise(url)
 
 
-def html_text(html: Column) -> Column:
+def without_markup(html: Column) -> Column:
     for pattern, replacement in patterns():
         html = F.regexp_replace(html, pattern, replacement)
-    html = F.when(F.contains(html, F.lit("&")), decoded(html)).otherwise(html)
-    html = F.regexp_replace(html, r"[ \t\r\f\x{A0}]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(html, " ?\n ?", "\n"), "\n+", "\n"), F.lit(" \n"))
+    return html
+
+
+def tidy(text: Column) -> Column:
+    text = F.regexp_replace(text, r"[ \t\r\f\x{A0}]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, " ?\n ?", "\n"), "\n+", "\n"), F.lit(" \n"))
 
 
 def uuid(*parts: Column) -> Column:
@@ -105,14 +126,14 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response of ``records`` (the columns of responses()); the body is in ``block``."""
-    raw = F.regexp_extract("payload", r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
-    title = F.trim(F.regexp_replace(F.when(F.contains(raw, F.lit("&")), decoded(raw)).otherwise(raw), r"\s+", " "))
+    title = F.regexp_extract("payload", r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
     language = F.regexp_extract("payload", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)
     links = F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href="))
     named = records.select(
-        "*", html_text(F.col("payload")).alias("text"), title.alias("title"), language.alias("language"), links.alias("links"),
+        "*", without_markup(F.col("payload")).alias("text"), title.alias("title"), language.alias("language"), links.alias("links"),
         uuid(F.lit("metadata"), "record_id").alias("metadata_id"), uuid(F.lit("conversion"), "record_id").alias("conversion_id"),
     )
+    named = decode_references(named, "text", "title").withColumns({"text": tidy(F.col("text")), "title": F.trim(F.regexp_replace("title", r"\s+", " "))})
     fields = F.concat(
         F.lit("title: "), "title", F.lit("\r\nlanguage: "), "language", F.lit("\r\noutlinks: "), F.col("links").cast("string"),
         F.lit("\r\nsource-block-digest: "), "block_digest", F.lit("\r\nconversion-block-digest: "), sha256(F.col("text")), F.lit("\r\n"),
