@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -251,12 +252,27 @@ def normalize_text(text: Column, arabic: Column | None = None) -> Column:
 
 # --- names and prompts --------------------------------------------------------
 
-_CASEFOLD = (Rule("ß", "ss"), Rule("ſ", "s"), Rule("ς", "σ"))
+@lru_cache(1)
+def _foldings() -> dict[str, str]:
+    """What full case folding changes in lower-case letters."""
+    lowered = {c.lower() for c in map(chr, (*range(0xD800), *range(0xE000, 0x30000)))}
+    return {c: c.casefold() for c in sorted(lowered) if len(c) == 1 and c.casefold() != c}
+
+
 
 
 def filter_value(text: Column) -> Column:
-    """A value for caseless comparison: trimmed, folded, null if blank."""
-    return F.nullif(replace_all(F.lower(strip(text)), _CASEFOLD), F.lit(""))
+    """A value for caseless comparison: trimmed, folded by Unicode's full case folding, null if blank."""
+    folds = _foldings()
+    single = {c: f for c, f in folds.items() if len(f) == 1}
+
+    def fold(t: Column) -> Column:
+        made = F.translate(t, "".join(single), "".join(single.values()))
+        for c, f in folds.items():
+            made = made if c in single else F.replace(made, F.lit(c), F.lit(f))
+        return F.when(t.rlike(r"[^\x00-\x7F]"), made).otherwise(t)
+
+    return F.nullif(let(F.lower(strip(text)), fold), F.lit(""))
 
 
 def merge_prompts(*parts: Column) -> Column:

@@ -7,6 +7,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark import cli
@@ -51,7 +52,11 @@ def test_sinks(spark, tmp_path):
     report = sinks.write_metrics(E.metric_maps(scores), str(tmp_path / "all_metrics.json"))
     assert report == json.loads((tmp_path / "all_metrics.json").read_text()) and report["aggregate_metrics"]["normalized_levenshtein_similarity"] == 50.0 and report["type_metrics"] == {"handwriting": 0.0, "print": 50.0}
     images = spark.createDataFrame([(0, bytearray(b"x")), (12, bytearray(b"y")), (13, None)], "page_index int, image binary")
-    assert sorted(r[0] for r in sinks.write_page_images(images, str(tmp_path / "img")).collect()) == ["page_0000.png", "page_0012.png"] == sorted(p.name for p in (tmp_path / "img").iterdir())
+    assert sinks.write_page_images(images, str(tmp_path / "img")) == 2 and sorted(p.name for p in (tmp_path / "img").iterdir()) == ["page_0000.png", "page_0012.png"]
+    both = images.withColumn("doc", F.lit("a/1")).union(images.withColumn("doc", F.lit("b")))
+    with pytest.raises(ValueError, match="document"):
+        sinks.write_page_images(both, str(tmp_path / "two"))
+    assert sinks.write_page_images(both, str(tmp_path / "two"), document="doc") == 4 and "a_1_page_0012.png" in {p.name for p in (tmp_path / "two").iterdir()}
     sinks.write_texts(spark.createDataFrame([("a",), (None,)], "text string"), str(tmp_path / "t"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["", "a"]
 

@@ -68,4 +68,6 @@ def test_scaffold(apply):
 
 def test_filter_value_and_prompts(apply):
     assert apply(T.filter_value, " Chinese ", "STRAßE", "  ", None) == ["chinese", "strasse", None, None]
+    names = ["ﬁNLAND", "ΣΊΣΥΦΟΣ", "ΐ", "ſo", "Ᏸ", "ŉ", "plain"]
+    assert apply(T.filter_value, *names) == [n.casefold() for n in names]
     assert apply(lambda c: T.merge_prompts(c, F.lit("  "), F.lit(" b ")), " a") == "a\n\nb"
