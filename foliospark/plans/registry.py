@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import layout_queries, page_queries, score_queries, text_queries
+from . import box_queries, layout_queries, page_queries, score_queries, text_queries
 
 FLAGSHIP = "grouped_scores"
-_MODULES = (score_queries, text_queries, layout_queries, page_queries)
+_MODULES = (score_queries, text_queries, layout_queries, page_queries, box_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
