@@ -100,7 +100,7 @@ def without_markup(html: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     text = F.regexp_replace(text, r"[ \t\r\f\x{A0}]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, " ?\n ?", "\n"), "\n+", "\n"), F.lit(" \n"))
+    return F.trim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def uuid(*parts: Column) -> Column:
@@ -180,7 +180,7 @@ def _sql_text() -> str:
         text = f"regexp_replace({text}, {quote(pattern)}, {'chr(10)' if replacement else quote('')}, 'g')"
     text = _sql_names(text)
     text = f"regexp_replace({text}, '[ \\t\\r\\f\\x{{A0}}]+', ' ', 'g')"
-    return f"trim(regexp_replace(regexp_replace({text}, ' ?\\n ?', chr(10), 'g'), '\\n+', chr(10), 'g'), ' ' || chr(10))"
+    return f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
 def _sql_uuid(name: str, *parts: str) -> str:
