@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ._text import released
+
 #: Ids that repeat are broadcast up to this number of rows (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
 
@@ -108,4 +110,4 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(pa.RecordBatch.from_arrays(batch.columns, names) for batch in batches)
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(released(renamed), schema)

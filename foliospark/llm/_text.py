@@ -7,7 +7,8 @@ the raw UTF-8 buffers that Arrow hands over, so no Python string is built.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,19 @@ class _Powers:
 _bytes, _grams = _Powers(_BASE), _Powers(_BASE_N)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives memory that it doesn't use back to the system: workers go on from task to task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty string."""
     if isinstance(column, pa.ChunkedArray):
@@ -150,7 +164,7 @@ def packed(texts: DataFrame) -> DataFrame:
                 made = [pack(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "packed"])
 
-    return texts.mapInArrow(run, "doc_id bigint, packed binary")
+    return texts.mapInArrow(released(run), "doc_id bigint, packed binary")
 
 
 def unpacked(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:

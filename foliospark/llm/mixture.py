@@ -102,9 +102,10 @@ def mix(
     seed: int = 0,
     language_col: str = "lang",
     source_col: str = "source",
+    epoch_col: str = "epoch",
 ) -> DataFrame:
-    """The rows of docs that the mixture takes, with ``epoch`` (0, 1, ...): a row once for each epoch that takes it."""
-    names = [c for c in docs.columns if c != "epoch"]
+    """The rows of docs that the mixture takes, with ``epoch_col`` (0, 1, ...): a row once for each epoch that takes it."""
+    names = [c for c in docs.columns if c != epoch_col]
     row = F.struct(*[F.col(quoted(c)) for c in names]).alias("row")
     base = docs.select(
         row, F.coalesce(domain, F.lit("unknown")).alias("domain"),
@@ -135,7 +136,7 @@ def mix(
     in_edge = (F.substring("hash", 1, 3) == F.col("end_bin")) & ((F.col("hash") < F.col("last.hash")) | ((F.col("hash") == F.col("last.hash")) & (F.struct(tokens.alias("tokens"), F.xxhash64("row").alias("mark")) <= F.struct("last.tokens", "last.mark"))))
     partly = F.coalesce(inside | in_edge, F.lit(False)) & (F.col("full") < max_epochs)
     epochs = F.col("full") + F.when(partly, 1).otherwise(0)
-    return placed.select("row", epochs.alias("epochs")).where("epochs > 0").select("row", F.explode(F.expr("sequence(0, epochs - 1)")).alias("epoch")).select(*[F.col("row")[c].alias(c) for c in names], "epoch")
+    return placed.select("row", epochs.alias("epochs")).where("epochs > 0").select("row", F.explode(F.expr("sequence(0, epochs - 1)")).alias("epoch")).select(*[F.col("row")[c].alias(c) for c in names], F.col("epoch").alias(epoch_col))
 
 
 def sql(domain: str, weights: Mapping[tuple[str, ...], int], numerator: int, denominator: int, max_epochs: int, seed: int) -> str:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, id_text, one_row_each, quoted
-from ._text import U64, Words, lists, mix, ngrams, packed, pieces, signed, unpacked
+from ._text import U64, lists, mix, ngrams, packed, pieces, released, signed, unpacked, Words
 
 N, THRESHOLD, BANDS, ROWS, TOLERANCE, STEP = 3, 0.5, 36, 4, 0.002, 16
 _BITS = U64(20)  # shingles are 44-bit hashes
@@ -117,7 +117,7 @@ def _signed_docs(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "size", "set_a", "set_b", "bands"],
                 )
 
-    return texts.mapInArrow(run, "doc_id bigint, size int, set_a bigint, set_b bigint, bands array<bigint>")
+    return texts.mapInArrow(released(run), "doc_id bigint, size int, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def slabs(start: np.ndarray, stop: np.ndarray, block: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -287,7 +287,7 @@ def _classes(texts: DataFrame, n: int = N, threshold: float = THRESHOLD, bands:
             yield batch.filter(pa.array(wanted)).select(["doc", *_UNIT, "block"])
 
     unit_type = "band int, value bigint, low int, high int, block int"
-    units = met.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(needs, f"doc bigint, {unit_type}")
+    units = met.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(released(needs), f"doc bigint, {unit_type}")
     brought = cut(units).join(owner.select("doc", "copies", "bands"), "doc").join(packed(texts).withColumnRenamed("doc_id", "doc"), "doc")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def _classes(texts: DataFrame, n: int = N, threshold: float = THRESHOLD, bands:
             on = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(links[on]), pa.array(doc[label[on]])], ["doc", "links", "root"])
 
-    found = cut(brought.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(verify, "doc bigint, links bigint, root bigint"))
+    found = cut(brought.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(released(verify), "doc bigint, links bigint, root bigint"))
     linked = found.groupBy("doc").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("doc").alias("doc_a"), F.col("root").alias("doc_b")))
     classes = (

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ._spark import cut, id_text, map_rows, one_row_each, quoted, salted, sample, unused
-from ._text import U64, Words, mix, ngrams, packed, pieces, signed, unpacked
+from ._text import U64, mix, ngrams, packed, pieces, released, signed, unpacked, Words
 from .ngram_join import components, connected, whole_units
 
 Q, TOKENS, FUNCTIONS, THRESHOLD = 5, 44, 4, 0.7
@@ -130,7 +130,7 @@ def _windows(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
                         [pa.array(signed(key)), ids.take(pa.array(row[c])), pa.array(signed(content)), pa.array(signed(reach))], ["key", "doc_id", "content", "reach"]
                     )
 
-    return texts.mapInArrow(run, "key bigint, doc_id bigint, content bigint, reach bigint")
+    return texts.mapInArrow(released(run), "key bigint, doc_id bigint, content bigint, reach bigint")
 
 
 def _met(texts: DataFrame, q: int, t: int, functions: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _contents(windows: DataFrame, texts: DataFrame, q: int) -> DataFrame:
 
     schema = ", ".join(f"{x} {kinds[x]}" for x in names) + ", doc bigint, c int, words binary"
     by_doc = windows.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("windows"))  # as many as a document has
-    return by_doc.join(packed(texts).withColumnRenamed("doc_id", "doc"), "doc").select("doc", "windows", "packed").mapInArrow(run, schema)
+    return by_doc.join(packed(texts).withColumnRenamed("doc_id", "doc"), "doc").select("doc", "windows", "packed").mapInArrow(released(run), schema)
 
 
 def _around(score: np.ndarray, good: np.ndarray, begin: np.ndarray, end: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -491,7 +491,7 @@ def _meet(contents: DataFrame, unit: list[str], q: int, t: int, threshold: float
             keep = (got["links"] > 0) if pairs else (got["links"] > 0) | (batch.column("block").to_numpy() > 0)
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _OUT.split(", ")]).filter(pa.array(keep))
 
-    return contents.repartition(*unit).sortWithinPartitions(*unit, "doc", "at").mapInArrow(run, _OUT)
+    return contents.repartition(*unit).sortWithinPartitions(*unit, "doc", "at").mapInArrow(released(run), _OUT)
 
 
 def linked_windows(docs: DataFrame, q: int = Q, t: int = TOKENS, functions: int = FUNCTIONS, threshold: float = THRESHOLD) -> DataFrame:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_rows
-from ._text import U64, _grams, buffers, mix, pieces
+from ._spark import map_rows, unused
+from ._text import U64, buffers, _grams, mix, pieces, released
 
 MIN_REPEAT, MAX_FRACTION, MAX_LONGEST = 60, 0.5, 1000
 SCHEMA = "doc_id bigint, n_chars bigint, repeated_chars bigint, longest_repeat bigint"
@@ -133,11 +133,11 @@ def measure(column: pa.Array, min_repeat: int) -> tuple[np.ndarray, np.ndarray,
     return size, covered, longest
 
 
-def repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, *, keep_columns: bool = False) -> DataFrame:
+def repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, *, keep_columns: bool = False, into: str = "repetition") -> DataFrame:
     """doc_id, n_chars, repeated_chars, longest_repeat of every row; repeats are of min_repeat characters or more.
 
     keep_columns: all columns of docs and the three measures instead, as the
-    struct column ``repetition`` (it takes the place of one of that name).
+    struct column ``into`` (it takes the place of one of that name).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +148,15 @@ def repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT, *, keep_columns: b
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, covered, longest], ["doc_id", "n_chars", "repeated_chars", "longest_repeat"])
                     continue
                 struct = pa.StructArray.from_arrays([size, covered, longest], ["n_chars", "repeated_chars", "longest_repeat"])
-                names = [x for x in part.schema.names if x != "repetition"]
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), struct], [*names, "repetition"])
+                names = [x for x in part.schema.names if x != into]
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), struct], [*names, into])
 
     if not keep_columns:
-        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), SCHEMA)
     from pyspark.sql.types import StructType
 
-    kept = StructType([x for x in docs.schema if x.name != "repetition"])
-    return map_rows(docs, run, kept.add("repetition", StructType.fromDDL(SCHEMA.split(", ", 1)[1])))
+    kept = StructType([x for x in docs.schema if x.name != into])
+    return map_rows(docs, run, kept.add(into, StructType.fromDDL(SCHEMA.split(", ", 1)[1])))
 
 
 def _good(at: str, max_fraction: float, max_longest: int) -> F.Column:
@@ -170,5 +170,6 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_fraction: f
 
 def filter_documents(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    measured = repetition(docs, min_repeat, keep_columns=True)
-    return measured.where(_good("repetition.", max_fraction, max_longest)).drop("repetition")
+    into = unused("repetition", docs)
+    measured = repetition(docs, min_repeat, keep_columns=True, into=into)
+    return measured.where(_good(f"{into}.", max_fraction, max_longest)).drop(into)

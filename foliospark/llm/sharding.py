@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ._spark import cut, map_rows, quoted, unused
+from ._text import released
 
 _NUMPY_LIMIT = 10**9
 SECTION = 2 << 20
@@ -171,7 +172,7 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, section: int = SECTION) -
     dealt = map_rows(docs, deal, StructType(list(kept)).add(at[0], IntegerType()).add(at[1], LongType()).add(at[2], IntegerType()))
     begin = F.lit(0)
     if sections > 1:
-        told = spark.range(0, len(counts), 1, len(counts)).mapInArrow(rehearse, f"{at[2]} int, {at[0]} int, n bigint").groupBy(at[2], at[0]).agg(F.sum("n").alias("n"))
+        told = spark.range(0, len(counts), 1, len(counts)).mapInArrow(released(rehearse), f"{at[2]} int, {at[0]} int, n bigint").groupBy(at[2], at[0]).agg(F.sum("n").alias("n"))
         begin = unused("begin", docs)
         told = told.select(at[2], at[0], F.coalesce(F.sum("n").over(by), F.lit(0)).alias(begin))
         dealt, begin = dealt.join(told, [at[2], at[0]]), F.col(begin)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import id_text
-from ._text import U64, Words, pieces, signed
+from ._text import U64, pieces, released, signed, Words
 
 K, K1, B, SCALE, BLOCK = 10, 1.2, 0.75, 1_000_000, 256
 RESULT = "item_id bigint, doc_id bigint, score bigint, rank int"
@@ -80,7 +80,7 @@ def statistics(texts: DataFrame, queries) -> tuple[int, int, np.ndarray]:
 
     frequency = np.zeros(len(queries.value.terms), dtype=np.int64)
     totals = {-2: 0, -1: 0}
-    for term, n in texts.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():
+    for term, n in texts.mapInArrow(released(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():
         if term < 0:
             totals[term] = n
         else:
@@ -100,8 +100,10 @@ class Index:
     """Postings of one block of documents, in segments of (term, impact level)."""
 
     def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, terms: int, docs: int) -> None:
-        self.exact = np.zeros((terms, docs), dtype=np.int64)
-        self.exact[term, doc] = impact
+        self.docs = docs
+        # postings by document, for the exact scores: as many numbers as there are postings
+        by = np.lexsort((doc, term))
+        self.place, self.impact = term[by] * max(1, docs) + doc[by], impact[by]
         self.shift = max(0, int(impact.max(initial=0)).bit_length() - 6)
         level = impact >> self.shift
         by = np.lexsort((doc, -level, term))
@@ -111,6 +113,12 @@ class Index:
         self.term, self.level = key[start] >> 20, 63 - (key[start] & 0xFFFFF)
         self.of = np.searchsorted(self.term, np.arange(terms + 1))
 
+    def scores(self, terms: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Exact scores of some documents."""
+        want = terms[:, None] * max(1, self.docs) + docs[None]
+        at = np.minimum(np.searchsorted(self.place, want), len(self.place) - 1)
+        return (np.where(self.place[at] == want, self.impact[at], 0) * weight[:, None]).sum(axis=0)
+
     def top(self, terms: np.ndarray, weight: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(documents, scores) among which are all of the best k with a score of at least floor; segments processed."""
         own = np.concatenate([np.arange(self.of[t], self.of[t + 1]) for t in terms]) if len(terms) else np.zeros(0, np.int64)
@@ -120,7 +128,7 @@ class Index:
         which = np.repeat(np.arange(len(terms)), self.of[terms + 1] - self.of[terms])
         low, high = factor * (self.level[own] << self.shift), factor * ((self.level[own] + 1 << self.shift) - 1)
         order = np.argsort(-high, kind="stable")
-        lower, seen = np.zeros(self.exact.shape[1], dtype=np.int64), np.zeros(self.exact.shape[1], dtype=bool)
+        lower, seen = np.zeros(self.docs, dtype=np.int64), np.zeros(self.docs, dtype=bool)
         # the most that terms can still add: of each, its next segment
         first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
         following = np.append(high[1:], 0)
@@ -139,7 +147,7 @@ class Index:
                 break
         least = max(floor, 1, int(np.partition(lower, -k)[-k]) if len(lower) > k else 1)
         possible = np.flatnonzero((seen | (remaining >= least)) & (lower + slack + remaining >= least))
-        scores = (self.exact[np.ix_(terms, possible)] * weight[:, None]).sum(axis=0)
+        scores = self.scores(terms, weight, possible)
         good = scores >= max(floor, 1)
         return possible[good], scores[good], done
 
@@ -180,7 +188,7 @@ def _block(texts: DataFrame, ids: list[int], query_texts: list[str | None], k: i
             [pa.array(np.repeat(np.array(q.ids, dtype=np.int64), size)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["item_id", "doc_id", "score"]
         )
 
-    return texts.mapInArrow(run, "item_id bigint, doc_id bigint, score bigint")
+    return texts.mapInArrow(released(run), "item_id bigint, doc_id bigint, score bigint")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, query_id: str = "item_id", block: int = BLOCK) -> DataFrame:

@@ -63,3 +63,25 @@ def test_stages(spark, sf, tmp_path):
 
 def test_whole_run(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+def test_edges_of_stages(spark, sf):
+    """Nulls, empty and repeated rows, rows of one id with other texts, clashing names, empty tables: each stage on what the one before kept."""
+    passage = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, None), (2, ""), (3, passage), (3, passage), (4, "x " + passage), (None, passage), (None, None), (5, "b " * 3), (5, "a short text"), (6, "é" * 50_000), (7, "so " + " ".join(f"w{i}" for i in range(9_000)))]
+    names = "doc_id long, text string, lang string, source string, n_chars long, epoch int, repetition string, spans int, `a.b` int"
+    docs = spark.createDataFrame([(d, t, "en" if d else None, "src1" if d else None, len(t or ""), 1, "r", 2, 3) for d, t in rows], names)
+    for table in (docs, docs.limit(0)):
+        now, ids = table, []
+        for _, stage in corpus_pipeline.STAGES:
+            found = stage(spark, now, sf)
+            now = spark.createDataFrame(found.collect(), found.schema)
+            ids.append(sorted(str(r.doc_id) for r in now.collect()))
+            if len(ids) < 5:
+                assert now.columns == docs.columns
+        if table is docs:
+            assert {"1", "2", "3", "4", "5", "7", "None"} <= set(ids[0]) and "6" not in ids[0]
+            assert ids[1].count("3") == ids[1].count("5") == 1 and ids[1].count("None") == 2 and "4" not in ids[1]
+            assert ids[2] == ids[1] and set(ids[3]) <= set(ids[2]) and ids[4] == ids[3]
+        else:
+            assert ids == [[]] * 5

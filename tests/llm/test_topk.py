@@ -57,6 +57,12 @@ def test_stops_early_only_on_proof():
     np.add.at(exact, doc, impact)
     assert sorted(scores)[-10:] == sorted(exact)[-10:] and len(docs) < n
     assert done <= len(index.term)
+    # ten documents far above the others: many segments are never looked at
+    best = rng.choice(n, 10, replace=False)
+    impact = np.where(np.isin(doc, best), 60_000, rng.integers(1, 20_000, 5 * n))
+    index = Index(term, doc, impact, 5, n)
+    docs, scores, done = index.top(np.arange(5), np.ones(5, dtype=np.int64), 10, 0)
+    assert set(docs) >= set(best) and (scores[np.isin(docs, best)] == 300_000).all() and done < len(index.term)
 
 
 def test_sql(spark, sf):
