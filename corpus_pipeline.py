@@ -1,7 +1,14 @@
 """A training-corpus pipeline: quality rules, near duplicates, shared passages, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever else there is beside doc_id,
+text, lang and source.
+
+Defined results: a null or empty text has no repeats, duplicates or passages
+and goes through to the end, with no tokens; a null doc_id is kept by every
+stage; of several rows with one doc_id the second stage keeps the one with the
+least text, so that ids are unique after it; of equal texts the lowest doc_id
+stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import bpe, mixture, ngram_join, passages, repetition
+from foliospark.llm._spark import unused
 from foliospark.llm.registry import WEIGHTS, domain
 
 #: SQL can't express MinHash candidates, compact windows or BPE; tests/llm/test_pipeline.py holds each stage against brute force.
@@ -32,7 +40,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of 9/10 of the tokens, each document at most once (operator 8)."""
-    return mixture.mix(docs, domain(), WEIGHTS, numerator=9, denominator=10, max_epochs=1, seed=8).drop("epoch")
+    epoch = unused("epoch", docs)
+    return mixture.mix(docs, domain(), WEIGHTS, numerator=9, denominator=10, max_epochs=1, seed=8, epoch_col=epoch).drop(epoch)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
