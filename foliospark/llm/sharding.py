@@ -38,7 +38,7 @@ from ._spark import cut, map_rows, quoted, unused
 from ._text import released
 
 _NUMPY_LIMIT = 10**9
-SECTION = 2 << 20
+SECTION = 256 << 10
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -141,8 +141,8 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, section: int = SECTION) -
     counts = [found.get(p, 0) for p in range(max(found, default=0) + 1)]
     sizes = shard_sizes(sum(counts), shards)
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    # where the plan has no estimate of its size, a section has some hundred rows at least
-    sections = max(1, min(-(-size // (shards * section)), sum(counts) // shards // 250))
+    # where the plan has no estimate of its size, a section has 64 rows at least
+    sections = max(1, min(-(-size // (shards * section)), sum(counts) // shards // 64))
     shared = spark.sparkContext.broadcast(counts)
     at = [unused(x, docs) for x in ("section", "key", "shard", "position")]
 
