@@ -83,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.SQL, "op4_topk_search": topk.SQL, "op8_mixture": mixture.sql(domain_sql(), WEIGHTS, **MIXTURE), "op9_warc_derivatives": warc.SQL}
+    return {"op2_suffix_dedup": suffix_dedup.SQL, "op3_chat_format": chat.SQL, "op4_topk_search": topk.SQL, "op8_mixture": mixture.sql(domain_sql(), WEIGHTS, **MIXTURE), "op9_warc_derivatives": warc.SQL}

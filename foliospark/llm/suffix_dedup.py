@@ -1,22 +1,29 @@
-"""Operator 2: exact substring dedup by bucket-pointer refinement of a sampled suffix array.
+"""Operator 2: substring dedup by bucket-pointer refinement of a sampled suffix array.
 
 Suffixes start at words.  The aim is every passage of at least ``length`` words
 that occurs twice in the corpus.
 
-1. Initial buckets: of the q-gram hashes in each run of length - q + 1 adjacent
+1. Sampling: of the q-gram hashes in each run of length - q + 1 adjacent
    suffixes the least is sampled (minimizers), so every passage of ``length``
-   words has a sampled suffix, at the same place in each of its occurrences.
-   Sampled suffixes are sorted into buckets by their q-gram; a bucket of one
-   suffix is final and drops out.
-2. The suffixes that can begin a repeated passage are those within reach of a
-   sampled suffix that is left.  Refinement: suffixes of a bucket at depth d
-   are sorted on the bucket identifiers at offset d, which gives buckets of
-   depth 2d, whose identifiers serve in the next step, until the depth is
-   ``length``.  Identifiers are 64-bit names that a suffix's words alone
-   determine, so those of later offsets are at hand in the document itself and
-   no step has to fetch them.
-3. One sort of the refined suffixes brings equal passages together; each bucket
-   points to its first suffix in order of (doc_id, word).
+   words has a sampled suffix, at the same place in each of its occurrences.  A
+   sampled suffix whose q-gram is there once drops out; what can begin a
+   repeated passage are the suffixes within reach of those that are left.
+2. Initial buckets: these suffixes are sorted by their q-gram.  The identifier
+   of a bucket is a pointer to its first suffix, by (doc_id, word).  A suffix
+   that is alone in its bucket is final and drops out.
+3. Refinement: a bucket of depth d is split by sorting its suffixes on the
+   pointers of the buckets that the suffixes d words later are in, which are in
+   the same document; a suffix whose later one has dropped out drops out too.
+   The new buckets have depth 2d (at most ``length``), and their pointers are
+   what the next round sorts on, until the depth is ``length``.
+
+In the last round, keys that point twice into one document, at the offset, are
+final as they are: the bucket's first suffix is where they point.  Such suffixes
+come in runs, and only the runs are exchanged, to tell the first ones that they
+occur again.
+
+Only the q-grams, and the pairs of pointers of the last round, are hashes, of 64
+bits: that two different ones of n are equal has a chance of n**2 / 2**65.
 
 Spans of adjacent repeated suffixes are united.  The result has for each span
 the document, its words [start, stop), whether its passages occur there first
@@ -35,11 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import id_text, one_row_each, salted, sample
-from ._text import U64, Words, mix, ngrams, packed, pieces, signed, unpacked
+from ._spark import cut, id_text, one_row_each, salted, sample
+from ._text import U64, mix, ngrams, packed, pieces, released, signed, unpacked, Words
+from .ngram_join import whole_units
 
 LENGTH = 50
 
@@ -80,20 +89,6 @@ def depths(q: int, length: int) -> list[int]:
     return offsets
 
 
-def bucket_names(words: Words, q: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes with length words, name of their bucket at that depth), refined step by step."""
-    at, grams = ngrams(words.hash, words.row, q)
-    names = np.zeros(len(words.hash), dtype=U64)
-    names[at] = grams
-    for offset in depths(q, length):
-        names = mix(names[: len(names) - offset] * U64(5) + names[offset:])
-    m = len(words.hash) - length + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    at = np.flatnonzero(words.row[:m] == words.row[length - 1 :])
-    return at, names[at]
-
-
 def _sampled(texts: DataFrame, q: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +102,7 @@ def _sampled(texts: DataFrame, q: int, length: int) -> DataFrame:
                     [pa.array(signed(grams[chosen])), part.column("doc_id").take(pa.array(row)), pa.array(place - words.first[row], pa.int32())], ["bucket", "doc_id", "word"]
                 )
 
-    return texts.mapInArrow(run, "bucket bigint, doc_id bigint, word int")
+    return texts.mapInArrow(released(run), "bucket bigint, doc_id bigint, word int")
 
 
 def _opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -118,63 +113,163 @@ def _opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at += part.num_rows
 
 
-def _refined(docs: DataFrame, q: int, length: int, all_: bool = False) -> DataFrame:
-    """Suffixes within reach of the sampled ones in ``words``, in their buckets of depth length; or all suffixes."""
+def _reached(docs: DataFrame, q: int, length: int, all_: bool = False) -> DataFrame:
+    """Suffixes within reach of the sampled ones in ``words``, with their q-grams; or all suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in (pieces(batch, "text") if all_ else _opened(batch))):
             words = Words(part.column("text"))
-            if all_:
-                at, names = bucket_names(words, q, length)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(names)), part.column("doc_id").take(pa.array(words.row[at])), pa.array(at - words.first[words.row[at]], pa.int32())], ["bucket", "doc_id", "word"])
-                continue
-            sampled = part.column("words")
-            flat = sampled.flatten().to_numpy().astype(np.int64)
-            owner = np.repeat(np.arange(len(sampled)), np.diff(np.asarray(sampled.offsets)))
-            flat += words.first[owner]
-            change = np.zeros(len(words.hash) + 1, dtype=np.int32)
-            np.add.at(change, np.maximum(flat - (length - q), words.first[owner]), 1)
-            np.add.at(change, flat + 1, -1)
-            reach = np.cumsum(change[:-1]) > 0
-            at, names = bucket_names(words, q, length)
-            on = reach[at]
-            at, names = at[on], names[on]
+            at, grams = ngrams(words.hash, words.row, q)
+            if not all_:
+                sampled = part.column("words")
+                flat = sampled.flatten().to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(sampled)), np.diff(np.asarray(sampled.offsets)))
+                flat += words.first[owner]
+                # from where a passage that holds the sampled q-gram may begin, to where its last q-gram may
+                change = np.zeros(len(words.hash) + 1, dtype=np.int32)
+                np.add.at(change, np.maximum(flat - (length - q), words.first[owner]), 1)
+                np.add.at(change, np.minimum(flat + (length - q), words.first[owner + 1] - 1) + 1, -1)
+                reach = (np.cumsum(change[:-1]) > 0)[at]
+                at, grams = at[reach], grams[reach]
             row = words.row[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(names)), part.column("doc_id").take(pa.array(row)), pa.array(at - words.first[row], pa.int32())], ["bucket", "doc_id", "word"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(signed(grams)), part.column("doc_id").take(pa.array(row)), pa.array(at - words.first[row], pa.int32())], ["bucket", "doc_id", "word"])
 
-    return docs.mapInArrow(run, "bucket bigint, doc_id bigint, word int")
+    return docs.mapInArrow(released(run), "bucket bigint, doc_id bigint, word int")
 
 
-def repeated_suffixes(docs: DataFrame, length: int = LENGTH, q: int | None = None) -> DataFrame:
-    """doc_id, word, first_doc, first_word: each suffix whose first ``length`` words occur twice."""
+def _pointed(rows: DataFrame, keys: list[str], spread: bool) -> DataFrame:
+    """doc_id, word and ``to``, the first suffix of its bucket, of rows whose bucket (equal keys) has several."""
+    # windows, not lists: a bucket may hold any number of suffixes, and its sort can spill; very large ones are spread over salts
+    window = Window.partitionBy(*keys, "salt") if spread else Window.partitionBy(*keys)
+    placed = rows.withColumns({"n": F.count("*").over(window), "to": F.min(F.struct("doc_id", "word")).over(window)})
+    if spread:
+        salted_ = placed.where("salts > 1 and doc_id = to.doc_id and word = to.word").groupBy(*keys).agg(F.min("to").alias("least"), F.sum("n").alias("total"))
+        placed = placed.join(salted_, keys, "left").withColumns({"to": F.coalesce("least", "to"), "n": F.coalesce("total", "n")})
+    kept = placed.where("n > 1").select("doc_id", "word", F.col("to.doc_id").alias("to_doc"), F.col("to.word").alias("to_word"), *(["salts", "salt"] if spread else []))
+    return kept
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of whole documents, sorted by (doc_id, word): the batch, doc_id, word, number of the document."""
+    for batch in whole_units(batches, ["doc_id"]):
+        doc, word = batch.column("doc_id").to_numpy(), batch.column("word").to_numpy().astype(np.int64)
+        yield batch, doc, word, np.cumsum(np.r_[False, doc[1:] != doc[:-1]])
+
+
+def _later(pointed: DataFrame, offset: int) -> DataFrame:
+    """Of the suffixes whose later one, by the offset, is left too: the pointers of both buckets."""
+    more = [c for c in pointed.columns if c in ("salts", "salt")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, word, number in _by_document(batches):
+            key = number << 32 | word
+            at = np.minimum(np.searchsorted(key, key + offset), len(key) - 1)
+            here = np.flatnonzero(key[at] == key + offset)
+            mine, later = batch.take(pa.array(here)), batch.take(pa.array(at[here]))
+            columns = [mine.column(c) for c in ("doc_id", "word", "to_doc", "to_word", *more)]
+            yield pa.RecordBatch.from_arrays([*columns, later.column("to_doc"), later.column("to_word")], ["doc_id", "word", "a_doc", "a_word", *more, "b_doc", "b_word"])
+
+    schema = "doc_id bigint, word int, a_doc bigint, a_word int, " + "".join(f"{c} int, " for c in more) + "b_doc bigint, b_word int"
+    return pointed.repartition("doc_id").sortWithinPartitions("doc_id", "word").mapInArrow(released(run), schema)
+
+
+def _last(pointed: DataFrame, offset: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """_later in runs of n suffixes: kind 0 points twice into another place (to_doc, to_word), at the offset; 1 so to itself;
+    2 are single suffixes of other keys, with both pointers as one identifier of 64 bits in to_doc.  A batch is one compressed value, for a table
+    that is written and read three times."""
+    more = [c for c in pointed.columns if c in ("salts", "salt")]
+    names = ["kind", "doc_id", "word", "n", "to_doc", "to_word", *more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, doc, word, number in _by_document(batches):
+            key = number << 32 | word
+            at = np.minimum(np.searchsorted(key, key + offset), len(key) - 1)
+            here = np.flatnonzero(key[at] == key + offset)
+            later = at[here]
+            to_doc, to_word = batch.column("to_doc").to_numpy(), batch.column("to_word").to_numpy().astype(np.int64)
+            a_doc, a_word, b_doc, b_word = to_doc[here], to_word[here], to_doc[later], to_word[later]
+            doc, word, number = doc[here], word[here], number[here]
+            final = (a_doc == b_doc) & (b_word == a_word + offset)
+            kind = np.where(final, (a_doc == doc) & (a_word == word), 2).astype(np.int32)
+            going = final[1:] & (kind[1:] == kind[:-1]) & (number[1:] == number[:-1]) & (word[1:] == word[:-1] + 1) & (a_doc[1:] == a_doc[:-1]) & (a_word[1:] == a_word[:-1] + 1)
+            start = np.flatnonzero(np.r_[True, ~going]) if len(doc) else np.zeros(0, dtype=np.int64)
+            n = np.diff(np.append(start, len(doc)))
+            pair = np.zeros(len(doc), dtype=U64)
+            for x in (a_doc, a_word, b_doc, b_word):
+                pair = mix(pair * U64(5) + x.astype(np.int64).view(U64))
+            to = np.where(kind == 2, signed(pair), a_doc)
+            columns = [kind[start], doc[start], word[start].astype(np.int32), n.astype(np.int32), to[start], a_word[start].astype(np.int32)]
+            made = pa.RecordBatch.from_arrays([*map(pa.array, columns), *(batch.column(c).take(pa.array(here[start])) for c in more)], names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(made)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+    def opened(kind: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for value in batch.column("rows").to_pylist():
+                    for made in pa.ipc.open_stream(value):
+                        yield made.filter(pa.compute.equal(made.column("kind"), kind))
+
+        return table.mapInArrow(run, "kind int, doc_id bigint, word int, n int, to_doc bigint, to_word int" + "".join(f", {c} int" for c in more))
+
+    table = cut(pointed.repartition("doc_id").sortWithinPartitions("doc_id", "word").mapInArrow(released(run), "rows binary"))
+    return opened(0), opened(1), opened(2)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Of the first suffixes (kind 1), in runs, those that a run elsewhere (kind 0: the place it points to) says occur again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, doc, word, number in _by_document(batches):
+            kind, n = batch.column("kind").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+            begin = number << 32 | word
+            says, own = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            if not len(says) or not len(own):
+                continue
+            until = np.maximum.accumulate(begin[says] + n[says])
+            size = n[own]
+            row = np.repeat(own, size)
+            place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.searchsorted(begin[says], place, side="right") - 1
+            good = (at >= 0) & (until[at] > place)
+            place, row = place[good], row[good]
+            start = np.flatnonzero(np.r_[True, place[1:] != place[:-1] + 1]) if len(place) else np.zeros(0, dtype=np.int64)
+            columns = [doc[row[start]], (place[start] & 0xFFFFFFFF).astype(np.int32), np.diff(np.append(start, len(place))).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "word", "n"])
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "word").mapInArrow(released(run), "doc_id bigint, word int, n int")
+
+
+def repeated_runs(docs: DataFrame, length: int = LENGTH, q: int | None = None) -> DataFrame:
+    """doc_id, word, n, first_doc, first_word: n adjacent suffixes whose first ``length`` words occur twice, and where the first of them occurs first."""
     q = q or max(1, length // 2)
     texts = one_row_each(id_text(docs))
-    # windows, not lists: a bucket may hold any number of suffixes, and its sort can spill; very large buckets are spread over salts
     sampled, spread = salted(_sampled(texts, q, length), _sampled(sample(texts), q, length), "bucket")
     window = Window.partitionBy("bucket", "salt") if spread else Window.partitionBy("bucket")
     left = sampled.withColumn("n", F.count("*").over(window)).where("n > 1 or salts > 1" if spread else "n > 1").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
-    suffixes = _refined(left.join(packed(texts), "doc_id").select("doc_id", "words", "packed"), q, length)
-    suffixes, spread = salted(suffixes, _refined(sample(texts), q, length, all_=True), "bucket")
-    window = Window.partitionBy("bucket", "salt") if spread else Window.partitionBy("bucket")
-    placed = suffixes.withColumns({"n": F.count("*").over(window), "first": F.min(F.struct("doc_id", "word")).over(window)})
-    if spread:  # of a salted bucket, the first of the firsts, a row for each salt
-        firsts = placed.where("salts > 1 and doc_id = first.doc_id and word = first.word").groupBy("bucket").agg(F.min("first").alias("least"))
-        placed = placed.join(F.broadcast(firsts), "bucket", "left").withColumns({"first": F.coalesce("least", "first"), "n": F.when(F.col("salts") > 1, 2).otherwise(F.col("n"))})
-    return placed.where("n > 1").select("doc_id", "word", F.col("first.doc_id").alias("first_doc"), F.col("first.word").alias("first_word"))
+    suffixes = _reached(left.join(packed(texts), "doc_id").select("doc_id", "words", "packed"), q, length)
+    suffixes, spread = salted(suffixes, _reached(sample(texts), q, length, all_=True), "bucket")
+    pointed, keys = _pointed(suffixes, ["bucket"], spread), ["a_doc", "a_word", "b_doc", "b_word"]
+    offsets = depths(q, length)
+    for offset in offsets[:-1]:
+        pointed = _pointed(_later(pointed, offset), keys, spread)
+    first = [F.col("to_doc").alias("first_doc"), F.col("to_word").alias("first_word")]
+    if not offsets:
+        return pointed.select("doc_id", "word", F.lit(1).alias("n"), *first)
+    copies, own, loose = _last(pointed, offsets[-1])
+    others = _pointed(loose.withColumnRenamed("to_doc", "bucket").drop("kind", "n", "to_word"), ["bucket"], spread).select("doc_id", "word", F.lit(1).alias("n"), *first)
+    again = copies.select("doc_id", "word", "n", F.col("to_doc").alias("first_doc"), F.col("to_word").alias("first_word"))
+    says = again.groupBy(F.col("first_doc").alias("doc_id"), F.col("first_word").alias("word")).agg(F.max("n").alias("n"), F.lit(0).alias("kind"))
+    own = _told(own.select("doc_id", "word", "n", "kind").unionByName(says))
+    return others.unionByName(again).unionByName(own.select("*", F.col("doc_id").alias("first_doc"), F.col("word").alias("first_word")))
 
 
-def _spans(found: list[tuple[int, int, int]], doc: int, length: int) -> Iterator[tuple]:
-    """(start, stop, keep, first_doc, first_word) of the united spans; found is sorted by word."""
-    at = 0
-    while at < len(found):
-        start, first_doc, first_word = found[at]
-        keep = (first_doc, first_word) == (doc, start)
-        stop, at = start + length, at + 1
-        while at < len(found) and found[at][0] <= stop and ((found[at][1], found[at][2]) == (doc, found[at][0])) == keep:
-            stop, at = found[at][0] + length, at + 1
-        yield start, stop, keep, first_doc, first_word
+def repeated_suffixes(docs: DataFrame, length: int = LENGTH, q: int | None = None) -> DataFrame:
+    """doc_id, word, first_doc, first_word: each suffix whose first ``length`` words occur twice."""
+    each = repeated_runs(docs, length, q).withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
+    return each.select("doc_id", (F.col("word") + F.col("i")).alias("word"), "first_doc", (F.col("first_word") + F.col("i")).alias("first_word"))
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, q: int | None = None) -> DataFrame:
@@ -182,17 +277,29 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, q: int | None = Non
 
     Spans with keep hold first occurrences; the others repeat earlier text.
     """
-    by_doc = repeated_suffixes(docs, length, q).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "first_doc", "first_word"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, suffixes in zip(batch.column("doc_id").to_pylist(), batch.column("s"), strict=True):
-                values = suffixes.values
-                columns = [values.field(i).to_pylist() for i in range(3)]
-                rows += [(doc, *span) for span in _spans(list(zip(*columns, strict=True)), doc, length)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "stop", "keep", "first_doc", "first_word"])
-
-    return by_doc.mapInArrow(run, "doc_id bigint, start int, stop int, keep boolean, first_doc bigint, first_word int")
+        for batch, doc, word, number in _by_document(batches):
+            first_doc, first_word = batch.column("first_doc").to_numpy(), batch.column("first_word").to_numpy()
+            end = word + batch.column("n").to_numpy() - 1
+            keep = (first_doc == doc) & (first_word == word)
+            new = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (word[1:] > end[:-1] + length) | (keep[1:] != keep[:-1])])
+            last = np.append(new[1:], len(doc)) - 1
+            columns = [doc[new], word[new].astype(np.int32), (end[last] + length).astype(np.int32), keep[new], first_doc[new], first_word[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "stop", "keep", "first_doc", "first_word"])
+
+    found = repeated_runs(docs, length, q).repartition("doc_id").sortWithinPartitions("doc_id", "word")
+    return found.mapInArrow(released(run), "doc_id bigint, start int, stop int, keep boolean, first_doc bigint, first_word int")
+
+
+#: By the hashes of all runs of 50 words; ids don't repeat in the table.
+SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {LENGTH - 1}, 0))) AS word FROM w),
+g AS (SELECT doc_id, word, md5(array_to_string(w[word + 1:word + {LENGTH}], ' ')) AS gram FROM p),
+f AS (SELECT doc_id, word, count(*) OVER (PARTITION BY gram) AS n, first_value(doc_id) OVER o AS first_doc, first_value(word) OVER o AS first_word FROM g WINDOW o AS (PARTITION BY gram ORDER BY doc_id, word)),
+k AS (SELECT *, first_doc = doc_id AND first_word = word AS keep FROM f WHERE n > 1),
+s AS (SELECT *, CASE WHEN word <= lag(word) OVER o + {LENGTH} AND keep = lag(keep) OVER o THEN 0 ELSE 1 END AS starts FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY word)),
+u AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY word) AS span FROM s)
+SELECT doc_id, CAST(min(word) AS INTEGER) AS start, CAST(max(word) + {LENGTH} AS INTEGER) AS stop, bool_and(keep) AS keep, arg_min(first_doc, word) AS first_doc, CAST(arg_min(first_word, word) AS INTEGER) AS first_word FROM u GROUP BY doc_id, span
+"""

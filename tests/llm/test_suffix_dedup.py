@@ -1,8 +1,10 @@
 import random
 import re
 
+import duckdb
+
 from foliospark.llm import _spark
-from foliospark.llm.suffix_dedup import depths, repeated_passages, repeated_suffixes
+from foliospark.llm.suffix_dedup import SQL, depths, repeated_passages, repeated_suffixes
 
 SCHEMA = "doc_id long, text string"
 
@@ -36,7 +38,7 @@ def corpus():
 def test_against_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
-    for length, q in ((12, None), (13, 5), (20, 3), (2, 1)):
+    for length, q in ((12, None), (13, 5), (20, 3), (2, 1), (7, 7)):
         assert {tuple(r) for r in repeated_suffixes(docs, length, q).collect()} == brute(rows, length)
 
 
@@ -84,3 +86,10 @@ def test_salted_buckets(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
     assert {tuple(r) for r in repeated_suffixes(docs, 12).collect()} == brute(rows, 12)
+
+
+def test_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(SQL).fetchall()
+    assert {tuple(r) for r in repeated_passages(spark.read.parquet(f"{sf}/documents.parquet")).collect()} == set(want) and len(want) > 20
