@@ -43,6 +43,7 @@ looked at; an empty table gives no passages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,9 @@ from .ngram_join import components, connected, whole_units
 Q, TOKENS, FUNCTIONS, THRESHOLD = 5, 44, 4, 0.7
 _SEEDS = mix(np.arange(1, 65, dtype=U64) * U64(0x632BE59BD9B4E019))
 SIDES = 2  # times t: so far a window goes to either side of c
-TABLE, TABLE_SIZE = 64, 1 << 26  # versions that are verified together where a batch's table has more places
+TABLE_SIZE = 1 << 26  # places of a table; where a batch's has more, some versions are verified together, one group after the other
 SMALL = 8  # units of so many versions are compared all together
+TILE, DENSE, LEAST_CELLS = 128, 32, 512  # versions of a side of a grid of pairs; it is worked out as a whole where one in DENSE of its pairs, and LEAST_CELLS, are wanted
 BLOCK = 4096  # windows of a block of a large unit
 
 
@@ -325,6 +327,147 @@ class _Places:
         return (*ends, good)
 
 
+def _common(who: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+    """Common tokens of n versions, for pairs of a lower and a higher row; ``column``[i] is a token of version ``who``[i], each once."""
+    count = np.bincount(column)[column]
+    both = np.zeros((n, n), dtype=np.int16)
+    # rare tokens: by the distance of two rows in the sorted list of a token's rows
+    rare = np.flatnonzero((count > 1) & (count <= n // 22))
+    by = rare[np.lexsort((who[rare], column[rare]))]
+    row, name = who[by], column[by]
+    at, d = np.arange(len(by)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(by)]
+        at = at[name[at + d] == name[at]]
+        np.add.at(both, (row[at], row[at + d]), 1)
+    # others by bitmaps
+    often = (count > 1) & (count > n // 22)
+    who, (names, column) = who[often], np.unique(column[often], return_inverse=True)
+    for low in range(0, len(names), 1 << 15):
+        part = (column >= low) & (column < low + (1 << 15))
+        place = column[part] - low
+        bits = np.zeros((n, -(-min(len(names) - low, 1 << 15) // 64) * 8), dtype=np.uint8)
+        np.bitwise_or.at(bits, (who[part], place >> 3), (1 << (place & 7)).astype(np.uint8))
+        bits = bits.view(U64)
+        step = max(1, (1 << 17) // max(1, n * bits.shape[1]))
+        for i in range(0, n - 1, step):
+            both[i : i + step, i + 1 :] += np.bitwise_count(bits[i : i + step, None] & bits[None, i + 1 :]).sum(axis=2, dtype=np.int16)
+    return both
+
+
+class _Grid:
+    """``_Places.parts`` of all pairs of two groups of versions of one unit at once, a place after the other.
+
+    Places are counted in tokens that are the first of their kind, from c on.
+    Where the shared tokens of versions follow one order (``ordered``; others
+    are left to ``_Places``), the k-th common token from c is the same one in
+    both, so common tokens of two parts are the lesser number on either side of c.
+    """
+
+    def __init__(self, u: _Unit, rows: np.ndarray, who: np.ndarray, at: np.ndarray) -> None:
+        """who: the version, by its place in rows, of each token ``at`` from s to e."""
+        self.u, self.rows = u, rows
+        fresh = u.fresh[at]
+        who, at = who[fresh], at[fresh]
+        c = u.c[rows]
+        rel = u.fresh_sum[at] - u.fresh_sum[c][who]
+        self.lo, self.hi = int(-rel.min()), int(rel.max())
+        self.place = np.zeros((len(rows), self.lo + self.hi + 1), dtype=np.int64)
+        self.place[who, rel + self.lo] = at
+        names, column, count = np.unique(u.name[at], return_inverse=True, return_counts=True)
+        on = (u.shared[at]) & (count[column] > 1)
+        used = np.zeros(len(names), dtype=bool)
+        used[column[on]] = True
+        self.width = int(used.sum())
+        self.who, self.column, rel = who[on], (np.cumsum(used) - 1)[column[on]], rel[on]
+        self.columns = np.full((self.lo + self.hi + 1, len(rows)), self.width, dtype=np.int64)
+        self.columns[rel + self.lo, self.who] = self.column
+        self.first = np.searchsorted(self.who, np.arange(len(rows) + 1))
+        middle = self.columns[self.lo]
+        most = np.bincount(middle, minlength=self.width + 1)[: self.width]
+        self.ordered = u.fresh[c] & (middle == most.argmax() if self.width else False)
+        # levels of tokens that rise along each version; if there are none, versions in another order than most are left out
+        near = self.who[1:] == self.who[:-1]
+        a, b, row = self.column[:-1][near], self.column[1:][near], self.who[1:][near]
+        number = np.bincount(self.column, minlength=self.width)
+        median = rel[np.lexsort((rel, self.column))][np.cumsum(number) - number // 2 - 1]
+        usual = np.ones(len(rows), dtype=bool)
+        for _ in range(2):
+            edges = np.unique((a * (self.width + 1) + b)[usual[row]])
+            x, y = edges // (self.width + 1), edges % (self.width + 1)
+            level = median.copy()
+            for _ in range(400):
+                wrong = level[y] <= level[x]
+                if not wrong.any():
+                    break
+                np.maximum.at(level, y[wrong], level[x[wrong]] + 1)
+            else:
+                usual[row[median[b] < median[a]]] = False
+                continue
+            break
+        self.ordered[row[level[b] <= level[a]]] = False
+
+    def _hits(self, rows: slice) -> np.ndarray:
+        hits = np.zeros((self.width + 1, rows.stop - rows.start), dtype=np.int8)
+        mine = slice(self.first[rows.start], self.first[rows.stop])
+        hits[self.column[mine], self.who[mine] - rows.start] = 1
+        return hits
+
+    def _side(self, rows: slice, hits: np.ndarray, density: float) -> list[np.ndarray]:
+        """For each of the rows and each version of the hits: places that its part goes to the left and right of c, and common tokens there (c on the right)."""
+        cost = int(np.ceil(100 * density - 1e-9))
+        table = hits * np.int16(100) - np.int16(cost)
+        size = (rows.stop - rows.start, hits.shape[1])
+        sums = []
+        for columns in (self.columns[: self.lo, rows][::-1], self.columns[self.lo :, rows]):
+            score = np.empty((len(columns) + 1, *size), dtype=np.int16)
+            score[0] = 0
+            for i, x in enumerate(columns):
+                np.take(table, x, axis=0, out=score[i + 1], mode="clip")
+                score[i + 1] += score[i]
+            sums.append(score)
+        left, right = sums
+        least = -right[1:].max(axis=0), -left.max(axis=0)
+        kind = np.uint8 if max(self.lo, self.hi) < 255 else np.uint16
+        ok, hit = np.empty(size, dtype=bool), np.empty(size, dtype=bool)
+        ends = []
+        for score, low in zip(sums, least, strict=True):
+            seen, end = np.zeros(size, dtype=bool), np.zeros(size, dtype=kind)
+            for i in range(len(score) - 1, 0, -1):  # from the far end: places from the last one on that is a common token and not below
+                np.greater_equal(score[i], low, out=ok)
+                np.greater(score[i], score[i - 1], out=hit)
+                ok &= hit
+                seen |= ok
+                end += seen.view(np.uint8)
+            end = end.astype(np.int16)
+            value = np.take_along_axis(score, end[None].astype(np.int64), axis=0)[0]
+            ends.append((end, (value + end * np.int16(cost)) // np.int16(100)))
+        return [ends[0][0], ends[1][0] - np.int16(1), ends[0][1], ends[1][1]]
+
+    def parts(self, a: slice, b: slice, wanted: np.ndarray, t: int, threshold: float) -> tuple[np.ndarray, ...]:
+        """(rows, rows, a's first and last token, b's) of the wanted pairs that are near copies in part; both slices are of ``rows``, wanted is a matrix."""
+        least = int(2 * threshold * t / (1 + threshold))
+        hits_b = self._hits(b)
+        hits_a = hits_b if a == b else self._hits(a)
+        found = []
+        for density in (threshold, 2 * threshold / (1 + threshold)):
+            mine = self._side(a, hits_b, density)
+            other = [x.T for x in (mine if a == b else self._side(b, hits_a, density))]
+            common = np.minimum(mine[2], other[2]) + np.minimum(mine[3], other[3])
+            both = mine[0] + mine[1] + other[0] + other[1] + np.int16(2)
+            x, y = np.nonzero(wanted & (common >= threshold * (both - common)))
+            i, j = x + a.start, y + b.start
+            ends = [self.place[i, self.lo - mine[0][x, y]], self.place[i, self.lo + mine[1][x, y]], self.place[j, self.lo - other[0][x, y]], self.place[j, self.lo + other[1][x, y]]]
+            ok = (ends[1] - ends[0] + 1 >= t) & (ends[3] - ends[2] + 1 >= t)
+            found.append([p[ok] for p in (self.rows[i], self.rows[j], *ends)])
+            wanted = wanted & (common >= least)
+            wanted[x[ok], y[ok]] = False
+            if not wanted.any():
+                break
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _links(batch: pa.RecordBatch, start: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None, q: int, t: int, threshold: float) -> dict[str, np.ndarray]:
     """For each window of the units: ``lead`` (the first row of its version), links (occurrences linked with it), its linked span, the part of that span which
     a lower document has (tokens from l; -1 if none), and ``root``, the least row that it is connected with.  With ``parts`` (part, block, whether the unit is of two parts) rows are
@@ -373,8 +516,8 @@ def _links(batch: pa.RecordBatch, start: np.ndarray, parts: tuple[np.ndarray, np
 
     places = _Places(u, firsts)
 
-    def compared(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> None:
-        """Link pairs of versions with enough common tokens, as wholes or in part."""
+    def compared(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Link pairs of versions with enough common tokens as wholes; the pairs that may be linked in part."""
         ok = ~((u.doc[a] == last[a]) & (u.doc[b] == last[b]) & (u.doc[a] == u.doc[b]))
         if parts is not None:
             part, block, two = parts
@@ -382,12 +525,16 @@ def _links(batch: pa.RecordBatch, start: np.ndarray, parts: tuple[np.ndarray, np
         a, b, common = a[ok], b[ok], common[ok]
         whole = common >= threshold * (u.n[a] + u.n[b] - common)
         link(a[whole], b[whole], u.s[a[whole]], u.e[a[whole]], u.s[b[whole]], u.e[b[whole]])
-        a, b = a[~whole], b[~whole]
+        return a[~whole], b[~whole]
+
+    def in_part(a: np.ndarray, b: np.ndarray) -> None:
+        """Link pairs of versions in part."""
         if not len(a):
             return
         # where a batch has too large a table, tables of some versions take its place, one after the other
         rows = np.unique(np.concatenate([a, b]))
-        groups = [rows] if places.fits else np.array_split(rows, -(-len(rows) // TABLE))
+        most = max(2, isqrt(TABLE_SIZE // (2 * SIDES * t + 2)))
+        groups = [rows] if places.fits or len(rows) <= most else np.array_split(rows, -(-len(rows) // (most // 2)))
         for i, one in enumerate(groups):
             for other in groups[i:]:
                 mine = np.ones(len(a), dtype=bool) if len(groups) == 1 else (np.isin(a, one) & np.isin(b, other)) | (np.isin(a, other) & np.isin(b, one))
@@ -419,7 +566,7 @@ def _links(batch: pa.RecordBatch, start: np.ndarray, parts: tuple[np.ndarray, np
         begin = np.zeros(int(which[-1]) + 1, dtype=np.int64)
         begin[which[edge[:-1]]] = edge[:-1]
         base = begin[pair // (SMALL * SMALL)]
-        compared(firsts[base + pair // SMALL % SMALL], firsts[base + pair % SMALL], common[pair])
+        in_part(*compared(firsts[base + pair // SMALL % SMALL], firsts[base + pair % SMALL], common[pair]))
     # and of others, by bitmaps
     for f, g in zip(edge[:-1][k > SMALL].tolist(), edge[1:][k > SMALL].tolist(), strict=True):
         rows = firsts[f:g]
@@ -427,24 +574,25 @@ def _links(batch: pa.RecordBatch, start: np.ndarray, parts: tuple[np.ndarray, np
         who = np.repeat(np.arange(g - f), size)
         at = np.arange(len(who)) - np.repeat(np.cumsum(size) - size - u.s[rows], size)
         on = u.fresh[at] & u.shared[at]
-        who = who[on]
-        names, column = np.unique(u.name[at[on]], return_inverse=True)
-        both = np.zeros((g - f, g - f), dtype=np.int16)
-        for low in range(0, len(names), 1 << 15):
-            part = (column >= low) & (column < low + (1 << 15))
-            place = column[part] - low
-            bits = np.zeros((g - f, -(-min(len(names) - low, 1 << 15) // 64) * 8), dtype=np.uint8)
-            np.bitwise_or.at(bits, (who[part], place >> 3), (1 << (place & 7)).astype(np.uint8))
-            bits = bits.view(U64)
-            step = max(1, (1 << 17) // max(1, (g - f) * bits.shape[1]))
-            for i in range(0, g - f - 1, step):
-                both[i : i + step, i + 1 :] += np.bitwise_count(bits[i : i + step, None] & bits[None, i + 1 :]).sum(axis=2, dtype=np.int16)
-        step = max(1, (1 << 19) // (g - f))
-        for i in range(0, g - f, step):
-            x, y = np.nonzero(both[i : i + step] >= least)
-            x += i
-            x, y = x[x < y], y[x < y]
-            compared(rows[x], rows[y], both[x, y].astype(np.int64))
+        both = _common(who[on], np.unique(u.name[at[on]], return_inverse=True)[1], g - f)
+        grid = None
+        for i in range(0, g - f, TILE):
+            for j in range(i, g - f, TILE):
+                x, y = np.nonzero(both[i : i + TILE, j : j + TILE] >= least)
+                x, y = x[x + i < y + j] + i, y[x + i < y + j] + j
+                if not len(x):
+                    continue
+                a, b = compared(rows[x], rows[y], both[x, y].astype(np.int64))
+                p, q_ = slice(i, min(i + TILE, g - f)), slice(j, min(j + TILE, g - f))
+                if len(a) >= max(LEAST_CELLS, (p.stop - i) * (q_.stop - j) // DENSE):
+                    grid = grid or _Grid(u, rows, who, at)
+                    x, y = np.searchsorted(rows, a), np.searchsorted(rows, b)
+                    on = grid.ordered[x] & grid.ordered[y]
+                    wanted = np.zeros((p.stop - i, q_.stop - j), dtype=bool)
+                    wanted[x[on] - i, y[on] - j] = True
+                    link(*grid.parts(p, q_, wanted, t, threshold))
+                    a, b = a[~on], b[~on]
+                in_part(a, b)
     # members of versions
     member = np.flatnonzero((weight[lead] > u.weight) & (last[lead] != u.doc[lead]))
     has_low = le >= 0

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from foliospark.llm import _spark, passages
 from foliospark.llm.passages import compact_windows, cut_passages, drop_passages, linked_windows, near_passages
@@ -203,3 +204,39 @@ def test_passages_with_an_edit_near_an_end(spark):
         want.add((len(rows) - 2, len(rows) - 1))
     found = {(r.class_doc, r.doc_id) for r in near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(found & want) >= 0.9 * len(want)
+
+
+def test_pairs_of_edited_copies_at_once(monkeypatch):
+    """Of n edited copies in one unit nearly all pairs are verified together, with what each pair gives by itself; also where words are moved, repeated, inserted or left out."""
+    rng = np.random.default_rng(11)
+    base, rows = rng.integers(0, 1 << 16, 120), []
+    for d in range(400):
+        words, c = base.copy(), 57
+        edits = rng.choice(np.r_[:50, 66:120], rng.integers(9), replace=False)
+        words[edits] = rng.integers(0, 1 << 16, len(edits))
+        if d % 20 == 1:
+            words = np.r_[words[10:30], words[:10], words[30:]]
+        elif d % 20 == 2:
+            words = np.r_[words[:90], words[70:90], words[90:]]
+        elif d % 20 == 3:
+            words, c = np.delete(words, rng.integers(50)), 56
+        elif d % 20 == 4:
+            words = np.insert(words, 90, rng.integers(1 << 16, size=3))
+        elif d % 20 == 5:
+            words = words[: rng.integers(90, 120)]
+        rows.append((d, d, 1, c, words.astype(np.uint16).tobytes()))
+    kinds = {"doc": pa.int64(), "last": pa.int64(), "copies": pa.int64(), "c": pa.int32(), "words": pa.binary()}
+    batch = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+    alone, number = passages._Places.parts, [0]
+
+    def counted(self, a, *rest):
+        number[0] += len(a)
+        return alone(self, a, *rest)
+
+    monkeypatch.setattr(passages._Places, "parts", counted)
+    got = passages._links(batch, np.array([0]), None, 5, 44, 0.7)
+    together, number[0] = number[0], 0
+    monkeypatch.setattr(passages, "LEAST_CELLS", 1 << 40, raising=False)
+    want = passages._links(batch, np.array([0]), None, 5, 44, 0.7)
+    assert all((got[k] == want[k]).all() for k in want) and want["links"].sum() > 50_000
+    assert number[0] > 20_000 and together < number[0] / 4, (together, number[0])
