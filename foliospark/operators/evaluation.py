@@ -89,10 +89,10 @@ def grouped_scores(scores: DataFrame, metric: str = MAIN, language: str = "main_
 def seeded_types(groups: DataFrame) -> DataFrame:
     """document_type and mean of grouped_scores(); print and handwriting are there even if they have no page."""
     spark = groups.sparkSession
-    seeds = reduce(DataFrame.unionAll, [spark.range(1).select(F.lit(t).alias("document_type")) for t in TYPES])
-    found = groups.where("level = 'type'").select("document_type", "mean")
-    every = found.select("document_type").unionByName(seeds).distinct()
-    return every.join(found, "document_type", "left").select("document_type", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    seeds = reduce(DataFrame.unionAll, [spark.range(1).select(F.lit(t).alias("document_type"), F.lit(0.0).alias("mean"), F.lit(True).alias("seed")) for t in TYPES])
+    found = groups.where("level = 'type'").select("document_type", "mean", F.lit(False).alias("seed"))
+    # the groups are named once: a plan that joined them with themselves would work out all scores again
+    return found.unionByName(seeds).groupBy("document_type").agg(F.min_by("mean", "seed").alias("mean"))
 
 
 def metric_maps(scores: DataFrame, elapsed_s: float = 0.0, metric: str = MAIN) -> DataFrame:

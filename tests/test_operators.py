@@ -326,3 +326,34 @@ def test_retry():
     assert I.wait_seconds(late, 1) == 7 and I.wait_seconds(limited, 9) == 16 and I.transient(limited) and I.transient(TimeoutError())
 
 
+
+
+def test_edit_distance_by_bounds(monkeypatch):
+    """Confusions of letters in a long text need no table; what the bounds leave open has the right distance too."""
+    rng = random.Random(7)
+    gold = " ".join("".join(rng.choices("etaonhrdlcuiswmb", k=rng.randrange(2, 9))) for _ in range(900))
+    read = gold.replace("rn", "m").replace("cl", "d").replace("h", "b")
+    want = M._whole(gold, read)
+    for x, y in ((gold, read), (read, gold), (gold, gold[:700] + gold[760:]), (gold, "x" + gold)):
+        assert M._least(x, y) <= M._whole(max(x, y, key=len), min(x, y, key=len)) <= M._aligned(x, y, 10**6)
+    moved = read[:2000] + read[2003:2600] + read[2000:2003] + read[2600:]
+    assert M.edit_distance(gold, moved) == M._whole(gold, moved)
+    for _ in range(200):
+        a = "".join(rng.choices("abcd", k=150))
+        b = "".join(c if rng.random() < 0.9 else rng.choice(("", "a", "xy")) for c in a)
+        assert M.edit_distance(a, b) == M._whole(*sorted((a, b), key=len, reverse=True))
+    clear = gold.replace("m", "o").replace("d", "o").replace("b", "o")
+    monkeypatch.setattr(M, "_whole", None)
+    monkeypatch.setattr(M, "_banded", None)
+    clear_read = clear.replace("rn", "m").replace("cl", "d").replace("h", "b")
+    assert M.edit_distance(clear, clear_read) == M.edit_distance(clear_read, clear) == len(clear) - len(clear_read) + clear_read.count("b") + clear_read.count("m") + clear_read.count("d")
+    assert want > 100
+
+
+def test_seeded_types_name_their_groups_once(spark):
+    """Scores are worked out once, and a type without pages has 0."""
+    pairs = spark.createDataFrame([("1", "pred", "pred", "en", "book"), ("2", "a", "b", "en", "print")], "example_id string, predicted_text string, gold_text string, main_language string, document_type string")
+    seeded = E.seeded_types(E.grouped_scores(E.page_scores(pairs, metrics=(E.MAIN,))))
+    assert {r.document_type: r["mean"] for r in seeded.collect()} == {"book": 1.0, "print": 0.0, "handwriting": 0.0}
+    plan = seeded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gold_text#") and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1 and "Join" not in plan
