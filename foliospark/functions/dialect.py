@@ -6,6 +6,7 @@ classes, so both dialects agree with it.  A replacement refers to a group as $1.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import NamedTuple
@@ -18,6 +19,7 @@ BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 INLINE = r"\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 W, H = f"[{BLANKS}]", f"[{INLINE}]"
 BLANK_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+INLINE_CHARACTERS = "".join(c for c in BLANK_CHARACTERS if c not in "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029")
 DIGIT, WORD = r"\p{Nd}", r"[\p{L}\p{N}_]"
 LINE_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -33,6 +35,12 @@ class Rule(NamedTuple):
         # d: only a line feed ends a line; U: Unicode case folding and word boundaries
         return f"(?{self.flags}{'d' if 'm' in self.flags else ''}U)" + self.pattern
 
+    @property
+    def python(self) -> re.Pattern:
+        pattern = self.pattern.replace(W, r"\s").replace(WORD, r"\w").replace(DIGIT, r"\d").replace(r"\z", r"\Z")
+        pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern)
+        return re.compile((f"(?{self.flags})" if self.flags else "") + pattern)
+
     @property
     def re2(self) -> str:
         return (f"(?{self.flags})" if self.flags else "") + self.pattern
@@ -48,6 +56,19 @@ def replace_all(text: Column, rules: Iterable[Rule]) -> Column:
     return text
 
 
+def in_python(rules: Iterable[Rule]) -> Callable[[str], str]:
+    """replace_all() of one text in Python."""
+    ready = [(rule.needs, rule.python.sub, rule.replacement.replace("$", "\\")) for rule in rules]
+
+    def replaced(text: str) -> str:
+        for needs, sub, new in ready:
+            if not needs or any(x in text for x in needs):
+                text = sub(new, text)
+        return text
+
+    return replaced
+
+
 def _sparing(rule: Rule) -> Callable[[Column], Column]:
     def replaced(text: Column) -> Column:
         there = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in rule.needs])

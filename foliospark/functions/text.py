@@ -1,7 +1,8 @@
 """Plain text out of transcription responses, and its normal form for comparison.
 
-All steps are built-in expressions, but for the decoding of HTML entities and
-Unicode compatibility forms, which are Arrow functions over whole batches.
+The steps on wrappers and front matter are built-in expressions.  Plain text of
+markup and the normal form are one Arrow function each: their rules are the
+same as in SQL, but Python finds out faster that a text needs few of them.
 A null text stays null throughout.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .dialect import DIGIT, LINE_BREAK, WORD, H, Rule, W, let, replace_all, strip
+from .batches import in_slices
+from .dialect import DIGIT, INLINE_CHARACTERS, LINE_BREAK, WORD, H, Rule, W, in_python, let, replace_all, strip
+from .xml import flatten
 
 OUTPUT_TAG = "output"
 
@@ -148,7 +151,7 @@ BEFORE_ENTITIES = (
     Rule(_opening("img"), "", "i", _TAG),
 )
 _LETTER = "[a-z]"
-AFTER_ENTITIES = (
+_MARKUP = (
     Rule(rf"</?{_LETTER}[^>]*>", "", "is", _TAG),
     Rule(rf"^{W}{{0,3}}#{{1,6}}{W}*", "", "m", ("#",)),
     Rule(rf"^{W}*[-+*]{W}+", "", "m", ("-", "+", "*")),
@@ -156,29 +159,38 @@ AFTER_ENTITIES = (
     *(Rule(mark, needs=(mark.replace("\\", ""),)) for mark in ("```", r"\*\*", "__", "`")),
     Rule(r"[\t\x20]+\n", "\n", needs=_LINE),
     Rule(r"[\t\x20]{2,}", " ", needs=("  ", "\t")),
-    # by line: blanks and pipes at its ends, blanks around pipes; one empty line at most
     Rule(LINE_BREAK, "\n", needs=tuple("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")),
-    Rule(rf"^{H}+", "", "m"),
-    Rule(rf"{H}+$", "", "m"),
+)
+# by line: blanks and pipes at its ends, blanks around pipes; one empty line at most
+_ENDS = (Rule(rf"^{H}+", "", "m"), Rule(rf"{H}+$", "", "m"))
+_PIPES = (
     Rule(rf"{H}*\|{H}*$", "", "m", ("|",)),
     Rule(rf"^\|{H}*", "", "m", ("|",)),
     Rule(rf"{H}*\|{H}*", " | ", needs=("|",)),
     Rule(r"\n{3,}", "\n\n", needs=("\n\n\n",)),
 )
+AFTER_ENTITIES = (*_MARKUP, *_ENDS, *_PIPES)
+_before, _markup, _pipes = in_python(BEFORE_ENTITIES), in_python(_MARKUP), in_python(_PIPES)
+
+
+def plain(text: str) -> str:
+    """markup_to_text() of one text."""
+    text = _before(text.strip())
+    if "&" in text:
+        text = html.unescape(text)
+    text = _markup(text)
+    text = "\n".join([line.strip(INLINE_CHARACTERS) for line in text.split("\n")])  # _ENDS
+    return _pipes(text).strip()
 
 
 @F.arrow_udf(StringType())
-def decode_entities(text: pa.Array) -> pa.Array:
-    """Character references of HTML decoded; only texts with an ampersand are looked at."""
-    some = pc.fill_null(pc.match_substring(text, "&"), False)
-    if not pc.any(some).as_py():
-        return text
-    return pc.replace_with_mask(text, some, pa.array([html.unescape(t) for t in text.filter(some).to_pylist()], text.type))
+def _plain(text: pa.Array) -> pa.Array:
+    return in_slices(lambda ts: pa.array([None if t is None else plain(t) for t in ts], pa.string()), text)
 
 
 def markup_to_text(text: Column) -> Column:
     """Plain text of Markdown and HTML: links and cells keep their text, tables become lines with ``|``."""
-    return strip(replace_all(decode_entities(replace_all(strip(text), BEFORE_ENTITIES)), AFTER_ENTITIES))
+    return _plain(text)
 
 
 # --- normal form --------------------------------------------------------------
@@ -236,6 +248,42 @@ NORMAL_RULES = (
     Rule(r"-+\z", needs=("-",)),
 )
 ONE_BLANK = Rule(f"{W}+", " ")
+# the first of NORMAL_RULES takes single characters out, the second is for texts beyond ASCII, the sixth for lines that end in a hyphen
+_dashes, _stops, _joined, _hyphens = (in_python(NORMAL_RULES[a:b]) for a, b in ((1, 2), (2, 5), (5, 6), (6, None)))
+_line_ends_in_hyphen = re.compile(r"-\s*\n").search
+_fractions, _glyphs = in_python([FRACTION_RULE]), in_python((*GLYPH_RULES, TILDE_RULE))
+_marks, _carried = in_python([_MARKS]), in_python([_CARRIED])
+
+
+def folded(text: str) -> str:
+    """fold_arabic() of one text."""
+    text = _marks(text)
+    if text.startswith(_MADDA) and len(text) == 3:
+        text = _HAMZA + "ا" + text[1:]
+    return _carried(text.replace(_MADDA, _HAMZA * 2))
+
+
+def normal(text: str, arabic: bool = False) -> str:
+    """normalize_text() of one text."""
+    text = plain(text)
+    if arabic:
+        text = folded(text)
+    text = text.lower()
+    for mark in "#*_`~":
+        if mark in text:
+            text = text.replace(mark, "")
+    text = _stops(text if text.isascii() else _dashes(text))
+    if "-" in text and _line_ends_in_hyphen(text):
+        text = _joined(text)
+    text = _hyphens(text)
+    if not text.isascii():
+        text = _glyphs(unicodedata.normalize("NFKC", _fractions(text)))
+    return " ".join(text.split())
+
+
+@F.arrow_udf(StringType())
+def _normal(text: pa.Array, arabic: pa.Array) -> pa.Array:
+    return in_slices(lambda ts, folds: pa.array([None if t is None else normal(t, bool(f)) for t, f in zip(ts, folds, strict=True)], pa.string()), text, arabic)
 
 
 def normalize_text(text: Column, arabic: Column | None = None) -> Column:
@@ -243,11 +291,32 @@ def normalize_text(text: Column, arabic: Column | None = None) -> Column:
 
     arabic: whether a row's Arabic letters are folded.
     """
-    text = markup_to_text(text)
-    if arabic is not None:
-        text = let(text, lambda t: F.when(arabic, fold_arabic(t)).otherwise(t))
-    text = normalize_characters(replace_all(F.lower(text), NORMAL_RULES), keep_long_s=False)
-    return strip(replace_all(text, [ONE_BLANK]))
+    return _normal(text, F.lit(False) if arabic is None else arabic)
+
+
+def untagged(text: str) -> str:
+    """strip_output_tag() of one text."""
+    bare = text.strip()
+    if bare.startswith(_OPEN) and bare.endswith(_CLOSE):
+        return bare[len(_OPEN) : -len(_CLOSE)].strip()
+    return _stray(text).strip() if "<" in text else bare
+
+
+_OPEN, _CLOSE, _stray = f"<{OUTPUT_TAG}>", f"</{OUTPUT_TAG}>", in_python(tag_patterns()[1:])
+
+
+def comparable(text: str | None, arabic: bool | None = False) -> str:
+    """A transcription as it is compared: without output tags, flattened if it is XML, in normal form; null is empty."""
+    return normal(flatten(untagged(text or "")), bool(arabic))
+
+
+@F.arrow_udf(StringType())
+def _comparable(text: pa.Array, arabic: pa.Array) -> pa.Array:
+    return in_slices(lambda ts, folds: pa.array(list(map(comparable, ts, folds)), pa.string()), text, arabic)
+
+
+def comparable_text(text: Column, arabic: Column) -> Column:
+    return _comparable(text, arabic)
 
 
 # --- names and prompts --------------------------------------------------------

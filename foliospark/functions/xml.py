@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .batches import in_slices
+
 ROOT = "HistoricalDocument"
 _LEFT_OUT = [
     (re.compile(rf"<{name}\b[^>]*>.*?</{name}>", re.DOTALL), re.compile(rf"<{name}\b[^>]*/>"))
@@ -45,7 +47,7 @@ def _flatten(text: pa.Array) -> pa.Array:
     some = pc.fill_null(pc.match_substring(text, ROOT), False)
     if not pc.any(some).as_py():
         return text
-    return pc.replace_with_mask(text, some, pa.array([flatten(t) for t in text.filter(some).to_pylist()], text.type))
+    return pc.replace_with_mask(text, some, in_slices(lambda ts: pa.array([flatten(t) for t in ts], text.type), text.filter(some)))
 
 
 def xml_to_text(text: Column) -> Column:

@@ -1,9 +1,15 @@
 """Golden values of the text functions."""
 
+import html
+import random
+import unicodedata
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.functions.batches import in_slices
 
 TABLE = "<table><tr><th>Place</th><th>Count</th></tr><tr><td>Rome</td><td>17</td></tr></table>"
 
@@ -71,3 +77,37 @@ def test_filter_value_and_prompts(apply):
     names = ["ﬁNLAND", "ΣΊΣΥΦΟΣ", "ΐ", "ſo", "Ᏸ", "ŉ", "plain"]
     assert apply(T.filter_value, *names) == [n.casefold() for n in names]
     assert apply(lambda c: T.merge_prompts(c, F.lit("  "), F.lit(" b ")), " a") == "a\n\nb"
+
+
+def test_one_function_as_the_rules_say(apply):
+    """The function of one text gives what the rules of the SQL give in their order; memory follows slices, not batches."""
+    rng = random.Random(2)
+    bits = ["<b>", "</td>", "< br/>", "<input checked>", "![a](b)", "[t](u)", "&lt;i&gt;", "# ", "- ", "> ", "**", "`", "~w", "  ", "\t", "\n", "\n\n\n", "\r\n", "\x1c", "\xa0", "|", "word", "Foo-", "---", "–", "[figure 12]", "1½", "ſ", "ﬁ", "’", "É", " ,", "\n!", "آمن", "ؤ"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 20))) for _ in range(400)]
+    assert apply(T.markup_to_text, *texts) == [T.plain(t) for t in texts]
+    for text, found in zip(texts, apply(T.normalize_text, *texts), strict=True):
+        want = text.strip()
+        for rule in T.BEFORE_ENTITIES:
+            want = rule.python.sub(rule.replacement.replace("$", "\\"), want)
+        want = html.unescape(want)
+        for rule in T.AFTER_ENTITIES:
+            want = rule.python.sub(rule.replacement.replace("$", "\\"), want)
+        want = want.strip().lower()
+        for rule in (*T.NORMAL_RULES, T.FRACTION_RULE):
+            want = rule.python.sub(rule.replacement.replace("$", "\\"), want)
+        want = unicodedata.normalize("NFKC", want)
+        for rule in (*T.GLYPH_RULES, T.TILDE_RULE, T.ONE_BLANK):
+            want = rule.python.sub(rule.replacement.replace("$", "\\"), want)
+        assert found == want.strip() == T.normal(text), text
+
+
+def test_slices():
+    sizes = []
+
+    def run(texts, numbers):
+        sizes.append(len(texts))
+        return pa.array([f"{t}{n}" for t, n in zip(texts, numbers, strict=True)], pa.string())
+
+    texts, numbers = pa.array(["a", None, "b"] * 100), pa.array(range(300))
+    assert in_slices(run, texts, numbers, rows=64).to_pylist() == [f"{t}{n}" for t, n in zip(texts.to_pylist(), range(300), strict=True)] and max(sizes) == 64
+    assert in_slices(run, texts[:0], numbers[:0]).to_pylist() == []
