@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import percentage, round_metric, similarity, text_scores
-from ..functions.text import normalize_text, strip_output_tag
-from ..functions.xml import xml_to_text
+from ..functions.text import comparable_text
 
 METRICS = ("normalized_levenshtein_similarity", "repetition", "is_empty", "bleu")
 MAIN = METRICS[0]
@@ -19,8 +18,11 @@ TYPES = ("print", "handwriting")
 
 def normalized(text: Column, language: Column | None = None) -> Column:
     """A transcription as it is compared: without output tags, flattened if it is XML, in normal form."""
-    arabic = None if language is None else F.coalesce(language.isin(*ARABIC), F.lit(False))
-    return normalize_text(xml_to_text(strip_output_tag(F.coalesce(text, F.lit("")))), arabic)
+    return comparable_text(text, _folds(language))
+
+
+def _folds(language: Column | None) -> Column:
+    return F.lit(False) if language is None else F.coalesce(language.isin(*ARABIC), F.lit(False))
 
 
 def page_scores(pairs: DataFrame, predicted: str = "predicted_text", gold: str = "gold_text", language: str | None = "main_language", partitions: int | None = None, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -31,13 +33,11 @@ def page_scores(pairs: DataFrame, predicted: str = "predicted_text", gold: str =
     length a lot and long ones cost most.
     """
     pairs = pairs if partitions is None else pairs.repartition(partitions)
-    lang = F.col(language) if language else None
-    rows = pairs.withColumns({"normalized_predicted_text": normalized(F.col(predicted), lang), "normalized_gold_text": normalized(F.col(gold), lang)})
     mine, theirs = F.col("normalized_predicted_text"), F.col("normalized_gold_text")
     parts = {MAIN: "distance", "repetition": "repetition", "bleu": "bleu"}
     wanted = tuple(parts[m] for m in metrics if m in parts)
-    if wanted:
-        rows = rows.withColumn("__scores", text_scores(mine, theirs, wanted))
+    rows = pairs.withColumn("__scores", text_scores(F.col(predicted), F.col(gold), _folds(F.col(language) if language else None), wanted))
+    rows = rows.withColumns({"normalized_predicted_text": F.col("__scores.mine"), "normalized_gold_text": F.col("__scores.theirs")})
     made = {
         MAIN: lambda: similarity(F.col("__scores.distance"), mine, theirs),
         "repetition": lambda: F.col("__scores.repetition").cast("double"),

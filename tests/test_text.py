@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.functions.batches import in_slices
+from foliospark.operators import evaluation as E
 
 TABLE = "<table><tr><th>Place</th><th>Count</th></tr><tr><td>Rome</td><td>17</td></tr></table>"
 
@@ -111,3 +112,12 @@ def test_slices():
     texts, numbers = pa.array(["a", None, "b"] * 100), pa.array(range(300))
     assert in_slices(run, texts, numbers, rows=64).to_pylist() == [f"{t}{n}" for t, n in zip(texts.to_pylist(), range(300), strict=True)] and max(sizes) == 64
     assert in_slices(run, texts[:0], numbers[:0]).to_pylist() == []
+
+
+def test_one_exchange_for_scores(spark):
+    """Normal forms and scores come from one function, so a task has one worker."""
+    pairs = spark.createDataFrame([("<output>A b</output>", "a b", "en")], "predicted_text string, gold_text string, main_language string")
+    scored = E.page_scores(pairs)
+    assert [scored.first()[c] for c in ("normalized_predicted_text", "normalized_gold_text", E.MAIN)] == ["a b", "a b", 1.0]
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert pairs.select(E.normalized(F.col("predicted_text")))._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
