@@ -13,9 +13,11 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import MapType, StringType, StructType
 
+from ..functions.batches import ROWS, release
 from ..functions.geometry import EDGES
 
 ATTEMPTS, FIRST_WAIT_S, LONGEST_WAIT_S = 6, 1.0, 16.0
@@ -115,24 +117,25 @@ def detect(pages: DataFrame, make_detector: Callable[[], Callable[[pd.DataFrame]
 def read_blocks(pages: DataFrame, make_reader: Callable[[], Callable[[list[dict]], Sequence[str | None]]], blocks: str = "blocks", wanted: str = "wanted", batch_size: int = 32) -> DataFrame:
     """pages with contents in ``blocks``: the second step after the layout, for the blocks of the array ``wanted``.
 
-    Blocks of many pages share a batch and go back to their pages in the same
-    task, so nothing is exchanged.  The reader gets the page's columns and the
+    Blocks of some pages share a batch and go back to their pages in the same
+    task, so nothing is exchanged, and the objects of these pages only are there.  The reader gets the page's columns and the
     block's fields of each request.
     """
-    schema = pages.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = make_reader()
-        for batch in batches:
-            rows = batch.to_dict("records")
-            asks = [(i, b["idx"]) for i, row in enumerate(rows) for b in (row[wanted] if row[wanted] is not None else [])]
-            contents: dict[tuple[int, int], str | None] = {}
-            for k in range(0, len(asks), batch_size):
-                part = asks[k : k + batch_size]
-                requests = [{**{c: v for c, v in rows[i].items() if c not in (blocks, wanted)}, **next(b for b in rows[i][blocks] if b["idx"] == idx)} for i, idx in part]
-                contents.update(zip(part, reader(requests), strict=True))
-            out = batch.copy()
-            out[blocks] = [None if row[blocks] is None else [{**b, "content": contents.get((i, b["idx"]), b["content"])} for b in row[blocks]] for i, row in enumerate(rows)]
-            yield out
-
-    return pages.mapInPandas(run, schema)
+        for whole in batches:
+            at = whole.schema.get_field_index(blocks)
+            for start in range(0, max(whole.num_rows, 1), ROWS):
+                batch = whole.slice(start, ROWS)
+                rows = batch.to_pylist(maps_as_pydicts="lossy")
+                asks = [(i, b["idx"]) for i, row in enumerate(rows) for b in (row[wanted] if row[wanted] is not None else [])]
+                contents: dict[tuple[int, int], str | None] = {}
+                for k in range(0, len(asks), batch_size):
+                    part = asks[k : k + batch_size]
+                    requests = [{**{c: v for c, v in rows[i].items() if c not in (blocks, wanted)}, **next(b for b in rows[i][blocks] if b["idx"] == idx)} for i, idx in part]
+                    contents.update(zip(part, reader(requests), strict=True))
+                made = [None if row[blocks] is None else [{**b, "content": contents.get((i, b["idx"]), b["content"])} for b in row[blocks]] for i, row in enumerate(rows)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
+        release()
+
+    return pages.mapInArrow(run, pages.schema)

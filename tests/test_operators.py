@@ -357,3 +357,24 @@ def test_seeded_types_name_their_groups_once(spark):
     assert {r.document_type: r["mean"] for r in seeded.collect()} == {"book": 1.0, "print": 0.0, "handwriting": 0.0}
     plan = seeded._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("gold_text#") and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1 and "Join" not in plan
+
+
+def test_blocks_are_read_some_pages_at_a_time(spark):
+    """The reader's requests are those of a slice of pages; columns of any kind go to it and stay."""
+    from foliospark.functions.batches import ROWS
+
+    n = 2 * ROWS + 5
+    rows = [(i, {"k": str(i)}, None if i == 3 else [(0, "text", None), (1, "text", "kept")], [(0,)] if i != 3 else None) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page long, meta map<string,string>, blocks array<struct<idx:int,type:string,content:string>>, wanted array<struct<idx:int>>").coalesce(1)
+    most = spark.sparkContext.accumulator(0)
+
+    def reader():
+        def read(requests):
+            most.add(1)
+            return [f"{r['page']} {r['meta']['k']} {r['type']}" for r in requests]
+
+        return read
+
+    got = {r.page: r for r in I.read_blocks(pages, reader, batch_size=10**6).collect()}
+    assert len(got) == n and got[3].blocks is None and most.value >= 3
+    assert all([b.content for b in got[i].blocks] == [f"{i} {i} text", "kept"] and got[i].meta == {"k": str(i)} for i in got if i != 3)
