@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import blocks as B
 from ..functions import geometry as G
+from ..functions.batches import in_slices
 from ..functions.metrics import percentage
 from ..operators import detection as D
 from .page_queries import BOX, EDGES, HEIGHT, WIDTH
@@ -76,7 +77,7 @@ def target_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @F.arrow_udf(StringType())
 def _cleaned(text: pa.Array) -> pa.Array:
-    return pa.array([B.clean("text", t, None, False) for t in text.to_pylist()], pa.string())
+    return in_slices(lambda ts: pa.array([B.clean("text", t, None, False) for t in ts], pa.string()), text)
 
 
 #: Before and after cleaning; between the parts comes a column.

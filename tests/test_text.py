@@ -121,3 +121,16 @@ def test_one_exchange_for_scores(spark):
     assert [scored.first()[c] for c in ("normalized_predicted_text", "normalized_gold_text", E.MAIN)] == ["a b", "a b", 1.0]
     assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert pairs.select(E.normalized(F.col("predicted_text")))._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_formulas_are_cleaned_in_slices(monkeypatch):
+    from foliospark.plans import box_queries
+
+    seen = []
+
+    def spy(run, *columns):
+        return in_slices(lambda *lists: (seen.append(len(lists[0])), run(*lists))[1], *columns)
+
+    monkeypatch.setattr(box_queries, "in_slices", spy)
+    found = box_queries._cleaned.func(pa.array([r"\[v\]", None] * 200))
+    assert found.to_pylist() == [r"\(v\)", None] * 200 and max(seen) <= 128
